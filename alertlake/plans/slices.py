@@ -4,7 +4,7 @@ A window over ``(host, log_id)`` puts all rows of a key into one task, and one k
 Here the rows of a key are first cut into slices that follow the order of the key. A window then covers one slice,
 and what a slice must know of the earlier ones is carried over from one summary row per key and slice.
 
-* ``time_slice``: slices of fixed width in time; nothing is run ahead. For tables with a steady rate per key.
+* ``KeyWindow``: slices of fixed width in time, for lifecycle, status and message tables.
 * ``range_slices``: slices of equal row count by range partitioning, whatever the keys and times look like.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE = "slice"
+# Rows of one key that a window task is given at most.
+KEY_ROWS = 5_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,71 +53,88 @@ def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
     return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def time_slice(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Place of each row within its key, from 1, for keys of any size: rows are only numbered inside a slice."""
+    rows = range_slices(df, keys, order)
+    counts = rows.groupBy(*keys, SLICE).count()
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, SLICE, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
+    numbered = rows.withColumn("_inside", inside).join(offsets, [*keys, SLICE])
+    return numbered.withColumn(name, F.col("_offset") + F.col("_inside")).drop(SLICE, "_offset", "_inside")
 
 
-class SlicedWindow:
-    """Running values over ``keys`` in ``order``, computed slice by slice.
+def time_slice(ts: Column, seconds: float) -> Column:
+    return F.floor(F.unix_micros(ts) / F.lit(int(seconds * 1_000_000))).cast("bigint")
 
-    Each method returns the rows with one more column. The summary behind it has one row per key and slice.
-    """
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str]):
-        self.keys, self.order = list(keys), list(order)
-        self.within = Window.partitionBy(*self.keys, SLICE).orderBy(*self.order)
-        self.across = Window.partitionBy(*self.keys).orderBy(SLICE)
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly expressions over an input of fewer splits than cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-    def position(self) -> Column:
-        return F.struct(*self.order)
 
-    def carry(self, rows: DataFrame, summary: dict[str, Column], values: dict[str, Column]) -> DataFrame:
-        """Attach to every row what ``values`` compute over the summaries of other slices of its key."""
-        named = [column.alias(name) for name, column in summary.items()]
-        slices = rows.groupBy(*self.keys, SLICE).agg(*named).withColumns(values)
-        right = slices.select(
-            *[F.col(key).alias(f"_{key}") for key in [*self.keys, SLICE]], *[F.col(name) for name in values]
-        )
-        same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in [*self.keys, SLICE]]
-        joined = rows.join(right, same, "left")
-        return joined.drop(*[f"_{key}" for key in [*self.keys, SLICE]])
+class KeyWindow:
+    """Running values over ``keys`` in ``order``; each method returns the rows with one more column.
 
-    @property
-    def before(self):
-        return self.across.rowsBetween(Window.unboundedPreceding, -1)
+    While every key fits one task this is a plain window. With a larger key among them the rows are cut into slices
+    of ``slice_seconds`` of the first order column, and the summaries of the slices, one row each, are carried over.
+    """
 
-    @property
-    def after(self):
-        return self.across.rowsBetween(1, Window.unboundedFollowing)
+    def __init__(self, keys: Sequence[str], order: Sequence[str], sliced: bool = False, slice_seconds: float = 600):
+        self.keys, self.order, self.sliced, self.slice_seconds = list(keys), list(order), sliced, slice_seconds
+        part = [*self.keys, SLICE] if sliced else self.keys
+        within = Window.partitionBy(*part).orderBy(*self.order)
+        across = Window.partitionBy(*self.keys).orderBy(SLICE)
+        self.up_to = within.rowsBetween(Window.unboundedPreceding, 0)
+        self.before = within.rowsBetween(Window.unboundedPreceding, -1)
+        self.after = within.rowsBetween(1, Window.unboundedFollowing)
+        self.earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+        self.later = across.rowsBetween(1, Window.unboundedFollowing)
+
+    @classmethod
+    def fit(cls, rows: DataFrame, keys: Sequence[str], order: Sequence[str], key_rows: int = KEY_ROWS, **slices):
+        """Measure the largest key to choose the form."""
+        largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        return cls(keys, order, largest > key_rows, **slices)
 
     def last(self, rows: DataFrame, value: Column, name: str, including: bool = False) -> DataFrame:
-        """Last non-null value before the row (or up to it)."""
-        local = F.last(value, ignorenulls=True).over(
-            self.within.rowsBetween(Window.unboundedPreceding, 0 if including else -1)
-        )
-        newest = F.max_by(value, F.when(value.isNotNull(), self.position()))
-        carried = F.last("_newest", ignorenulls=True).over(self.before)
-        out = self.carry(rows.withColumn(name, local), {"_newest": newest}, {"_carried": carried})
-        return out.withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+        """Last non-null value before the row, or up to it."""
+        newest = F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order)))
+        local = F.last(value, ignorenulls=True).over(self.up_to if including else self.before)
+        return self._run(rows, name, local, newest, lambda v: F.last(v, True).over(self.earlier), F.coalesce)
 
     def next(self, rows: DataFrame, value: Column, name: str) -> DataFrame:
         """First non-null value after the row."""
-        local = F.first(value, ignorenulls=True).over(self.within.rowsBetween(1, Window.unboundedFollowing))
-        oldest = F.min_by(value, F.when(value.isNotNull(), self.position()))
-        carried = F.first("_oldest", ignorenulls=True).over(self.after)
-        out = self.carry(rows.withColumn(name, local), {"_oldest": oldest}, {"_carried": carried})
-        return out.withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+        oldest = F.min_by(value, F.when(value.isNotNull(), F.struct(*self.order)))
+        local = F.first(value, ignorenulls=True).over(self.after)
+        return self._run(rows, name, local, oldest, lambda v: F.first(v, True).over(self.later), F.coalesce)
 
     def sum(self, rows: DataFrame, value: Column, name: str) -> DataFrame:
-        """Sum of all values up to and including the row."""
-        local = F.sum(value).over(self.within.rowsBetween(Window.unboundedPreceding, 0))
-        carried = F.sum("_total").over(self.before)
-        out = self.carry(rows.withColumn(name, local), {"_total": F.sum(value)}, {"_carried": carried})
-        return out.withColumn(name, F.col(name) + F.coalesce("_carried", F.lit(0))).drop("_carried")
+        """Sum of the values up to and including the row."""
+        local = F.sum(value).over(self.up_to)
+
+        def add(here: Column, carried: Column) -> Column:
+            return here + F.coalesce(carried, F.lit(0))
+
+        return self._run(rows, name, local, F.sum(value), lambda v: F.sum(v).over(self.earlier), add)
 
     def max(self, rows: DataFrame, value: Column, name: str, including: bool = True) -> DataFrame:
-        """Greatest value up to the row."""
-        local = F.max(value).over(self.within.rowsBetween(Window.unboundedPreceding, 0 if including else -1))
-        carried = F.max("_greatest").over(self.before)
-        out = self.carry(rows.withColumn(name, local), {"_greatest": F.max(value)}, {"_carried": carried})
-        return out.withColumn(name, F.greatest(name, "_carried")).drop("_carried")
+        """Greatest value up to the row, or before it."""
+        local = F.max(value).over(self.up_to if including else self.before)
+        return self._run(rows, name, local, F.max(value), lambda v: F.max(v).over(self.earlier), F.greatest)
+
+    def _run(self, rows, name, local, summary, carry, combine) -> DataFrame:
+        if not self.sliced:
+            return rows.withColumn(name, local)
+        cut = rows.withColumn(SLICE, time_slice(F.col(self.order[0]), self.slice_seconds))
+        # Both the rows and the summary read the stored rows, so a chain of steps does not repeat its input.
+        stored = checkpointed(cut)
+        keys = [*self.keys, SLICE]
+        slices = stored.groupBy(*keys).agg(summary.alias("_slice_value")).withColumn("_carried", carry(F.col("_slice_value")))
+        right = slices.select(*[F.col(key).alias(f"_{key}") for key in keys], "_carried")
+        same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
+        joined = stored.withColumn(name, local).join(right, same, "left")
+        return joined.withColumn(name, combine(F.col(name), F.col("_carried"))).drop(
+            SLICE, "_carried", *[f"_{key}" for key in keys]
+        )
