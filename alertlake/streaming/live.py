@@ -18,6 +18,7 @@ from alertlake.settings import Settings
 from alertlake.sources.sinks import Sink, best_effort, fan_out, file_sink, outbox_sink
 
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Single events are spread over this many state keys per host; they leave no state behind.
 SALTS = 256
 OUTPUT = (
@@ -150,6 +151,8 @@ def stream_batches(
     quiet, and groups that wait for an alert are forgotten after ``ttl_seconds``. Without it, for runs over what is
     available, a quiet group is ended by a row whose ``marker`` is true (a column of its own, optional).
     """
+    # Keyed state in several columns needs this state store, which also keeps large state out of the heap.
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     marker = F.coalesce("marker", F.lit(False)) if "marker" in events.columns else F.lit(False)
     single = F.coalesce(is_single(), F.lit(False)) & ~marker
     rows = events.select(
