@@ -552,7 +552,7 @@ def explode_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def request_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = probes.request_events(stored_events(spark, sf))
-    return rows.select(us("timestamp").alias("ts_us"), "request.url", "request.method", "request.x_forwarded_for")
+    return rows.select(us("timestamp").alias("ts_us"), *[F.col("request")[name].alias(name) for name in ("url", "method", "x_forwarded_for")])
 
 
 def strip_query_urls(spark: SparkSession, sf: str) -> DataFrame:

@@ -82,7 +82,7 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
 
 def merge_windows(windows: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """Windows of a host: it is in replay while any of its streams is."""
-    by_host = KeyWindow.fit(windows, ["host"], ["start_ts", "container"], key_rows, slice_seconds=86400)
+    by_host = KeyWindow.fit(windows, ["host"], ["start_ts", "container"], key_rows)
     reached = by_host.max(windows, F.col("end_ts"), "reached", including=False)
     fresh = F.when(F.col("reached").isNull() | (F.col("start_ts") >= F.col("reached")), 1).otherwise(0)
     islands = by_host.sum(reached, fresh, "island")

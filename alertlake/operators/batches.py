@@ -127,10 +127,10 @@ def keep_last(events: DataFrame, flush_size: int) -> DataFrame:
     The rank limit runs before the shuffle as well, so a task sends at most one buffer per key.
     """
     newest = Window.partitionBy(*KEYS).orderBy(F.desc("ingest_ts"), F.desc("seq"))
+    ranked = grouped_events(events).withColumn("rank", F.row_number().over(newest))
+    buffered = ranked.where(F.col("rank") <= max(flush_size, 1) * BUFFER_FACTOR).drop("rank")
     alerted = grouped_events(events).where("alert_matched").select(*KEYS).distinct()
-    waiting = grouped_events(events).join(alerted, KEYS, "left_anti")
-    ranked = waiting.withColumn("rank", F.row_number().over(newest))
-    return ranked.where(F.col("rank") <= max(flush_size, 1) * BUFFER_FACTOR).drop("rank")
+    return buffered.join(alerted, KEYS, "left_anti")
 
 
 # ---- size and ticks -------------------------------------------------------------------------------------------

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.functions.json import json_object
+from alertlake.functions.json import json_object, lower_keys
 from alertlake.functions.requests import client_ip, strip_query
 from alertlake.functions.text import trim_space
 from alertlake.plans.slices import row_positions
-from alertlake.schema import REQUEST
+from alertlake.schema import REQUEST_FIELDS
 
 # Fixed values.
 DEFAULT_PATHS = ("/api/.env", "/api/.git/config")
@@ -33,10 +33,11 @@ def explode_events(batches: DataFrame) -> DataFrame:
 
 
 def request_events(events: DataFrame) -> DataFrame:
-    """Events that log a request, with the fields of the request."""
+    """Events that log a request, with the fields of the request under ``request``."""
     logged = events.where((F.col("message") == REQUEST_MESSAGE) & (F.col("raw") != ""))
-    valid = logged.where(json_object(trim_space(F.col("raw"))).isNotNull())
-    return valid.withColumn("request", F.from_json("raw", REQUEST))
+    fields = lower_keys(json_object(trim_space(F.col("raw"))))
+    read = logged.withColumn("fields", fields).where(F.col("fields").isNotNull())
+    return read.withColumn("request", F.struct(*[F.col("fields")[name].alias(name) for name in REQUEST_FIELDS])).drop("fields")
 
 
 def with_path(requests: DataFrame) -> DataFrame:
@@ -48,10 +49,19 @@ def path_in(requests: DataFrame, paths: Sequence[str]) -> DataFrame:
     return with_path(requests).where(F.col("path").isin(list(dict.fromkeys(paths))))
 
 
+def may_hold_path(raw: Column, paths: Sequence[str]) -> Column:
+    """Cheap test in front of the JSON reader: a path without escapes stands in the text as it is."""
+    hint = raw.contains("%") | raw.contains("\\")
+    for path in paths:
+        hint = hint | raw.contains(path)
+    return hint
+
+
 def probe_hits(events: DataFrame, paths: Sequence[str] = DEFAULT_PATHS) -> DataFrame:
     """Requests for the paths, with the client; requests without a client address are left out."""
     request = F.col("request")
-    hits = path_in(request_events(events), paths).withColumn(
+    candidates = events.where((F.col("message") == REQUEST_MESSAGE) & may_hold_path(F.col("raw"), paths))
+    hits = path_in(request_events(candidates), paths).withColumn(
         "client",
         client_ip(request["x_real_ip"], request["x_forwarded_for"], request["ip"], request["remote_addr"]),
     )
@@ -67,12 +77,25 @@ def probe_hits(events: DataFrame, paths: Sequence[str] = DEFAULT_PATHS) -> DataF
     )
 
 
+KINDS = ("method", "url", "container")
+
+
+def _combinations(hits: DataFrame) -> DataFrame:
+    """Hits reduced to distinct combinations; both halves of the report start from this one shuffle."""
+    return hits.groupBy("path", "ip", *KINDS).agg(
+        F.count("*").alias("hits"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
+    )
+
+
+def _values(combinations: DataFrame) -> DataFrame:
+    pairs = [F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("value")) for kind in KINDS]
+    rows = combinations.select("path", "ip", "hits", F.inline(F.array(*pairs))).where(F.col("value") != "")
+    return rows.groupBy("path", "ip", "kind", "value").agg(F.sum("hits").alias("hits"))
+
+
 def probe_values(hits: DataFrame) -> DataFrame:
     """Distinct methods, URLs and containers of every path and client, as rows."""
-    kinds = {"method": "method", "url": "url", "container": "container"}
-    pairs = [F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value")) for kind, column in kinds.items()]
-    rows = hits.select("path", "ip", F.inline(F.array(*pairs)))
-    return rows.where(F.col("value") != "").groupBy("path", "ip", "kind", "value").agg(F.count("*").alias("hits"))
+    return _values(_combinations(hits))
 
 
 def probe_stats(hits: DataFrame, inline: int = INLINE_VALUES) -> DataFrame:
@@ -82,12 +105,13 @@ def probe_stats(hits: DataFrame, inline: int = INLINE_VALUES) -> DataFrame:
     Values are made distinct and counted before any list is collected.
     """
     key = ["path", "ip"]
-    seen = hits.groupBy(*key).agg(
-        F.count("*").alias("hits"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
+    combinations = _combinations(hits)
+    seen = combinations.groupBy(*key).agg(
+        F.sum("hits").alias("hits"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     )
-    values = probe_values(hits)
+    values = _values(combinations)
     counts = values.groupBy(*key).agg(
-        *[F.count_if(F.col("kind") == kind).alias(f"n_{kind}s") for kind in ("method", "url", "container")]
+        *[F.count_if(F.col("kind") == kind).alias(f"n_{kind}s") for kind in KINDS]
     )
 
     def small(kind: str) -> Column:
@@ -100,12 +124,12 @@ def probe_stats(hits: DataFrame, inline: int = INLINE_VALUES) -> DataFrame:
         .agg(
             *[
                 F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(f"{kind}s")
-                for kind in ("method", "url", "container")
+                for kind in KINDS
             ]
         )
     )
     listed = seen.join(counts, key, "left").join(lists, key, "left")
-    number = {kind: F.coalesce(f"n_{kind}s", F.lit(0)) for kind in ("method", "url", "container")}
+    number = {kind: F.coalesce(f"n_{kind}s", F.lit(0)) for kind in KINDS}
     empty = F.array().cast("array<string>")
     return listed.select(
         *key,

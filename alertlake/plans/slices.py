@@ -1,11 +1,9 @@
 """Order-dependent work on keys of any size.
 
 A window over ``(host, log_id)`` puts all rows of a key into one task, and one key may hold a third of the data.
-Here the rows of a key are first cut into slices that follow the order of the key. A window then covers one slice,
-and what a slice must know of the earlier ones is carried over from one summary row per key and slice.
-
-* ``KeyWindow``: slices of fixed width in time, for lifecycle, status and message tables.
-* ``range_slices``: slices of equal row count by range partitioning, whatever the keys and times look like.
+Here the rows are first sorted by key and order over the whole cluster and cut into slices of equal row count, so a
+large key fills many slices. A window then covers one key within one slice, and what a slice must know of the
+earlier ones is carried over from one summary row per key and slice.
 """
 
 from __future__ import annotations
@@ -25,10 +23,12 @@ KEY_ROWS = 5_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: named by the cluster, made here only where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="alertlake-")
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="alertlake-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -77,14 +77,12 @@ def spread(df: DataFrame) -> DataFrame:
 class KeyWindow:
     """Running values over ``keys`` in ``order``; each method returns the rows with one more column.
 
-    While every key fits one task this is a plain window. With a larger key among them the rows are cut into slices
-    of ``slice_seconds`` of the first order column, and the summaries of the slices, one row each, are carried over.
+    While every key fits one task this is a plain window. With a larger key among them it works in slices.
     """
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str], sliced: bool = False, slice_seconds: float = 600):
-        self.keys, self.order, self.sliced, self.slice_seconds = list(keys), list(order), sliced, slice_seconds
-        part = [*self.keys, SLICE] if sliced else self.keys
-        within = Window.partitionBy(*part).orderBy(*self.order)
+    def __init__(self, keys: Sequence[str], order: Sequence[str], sliced: bool = False):
+        self.keys, self.order, self.sliced = list(keys), list(order), sliced
+        within = Window.partitionBy(*self.keys, *([SLICE] if sliced else [])).orderBy(*self.order)
         across = Window.partitionBy(*self.keys).orderBy(SLICE)
         self.up_to = within.rowsBetween(Window.unboundedPreceding, 0)
         self.before = within.rowsBetween(Window.unboundedPreceding, -1)
@@ -93,10 +91,10 @@ class KeyWindow:
         self.later = across.rowsBetween(1, Window.unboundedFollowing)
 
     @classmethod
-    def fit(cls, rows: DataFrame, keys: Sequence[str], order: Sequence[str], key_rows: int = KEY_ROWS, **slices):
+    def fit(cls, rows: DataFrame, keys: Sequence[str], order: Sequence[str], key_rows: int = KEY_ROWS):
         """Measure the largest key to choose the form."""
         largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        return cls(keys, order, largest > key_rows, **slices)
+        return cls(keys, order, largest > key_rows)
 
     def last(self, rows: DataFrame, value: Column, name: str, including: bool = False) -> DataFrame:
         """Last non-null value before the row, or up to it."""
@@ -127,9 +125,8 @@ class KeyWindow:
     def _run(self, rows, name, local, summary, carry, combine) -> DataFrame:
         if not self.sliced:
             return rows.withColumn(name, local)
-        cut = rows.withColumn(SLICE, time_slice(F.col(self.order[0]), self.slice_seconds))
-        # Both the rows and the summary read the stored rows, so a chain of steps does not repeat its input.
-        stored = checkpointed(cut)
+        # Both the rows and the summary read the stored slices, so a chain of steps does not repeat its input.
+        stored = range_slices(rows, self.keys, self.order)
         keys = [*self.keys, SLICE]
         slices = stored.groupBy(*keys).agg(summary.alias("_slice_value")).withColumn("_carried", carry(F.col("_slice_value")))
         right = slices.select(*[F.col(key).alias(f"_{key}") for key in keys], "_carried")

@@ -35,7 +35,7 @@ BATCH_FIELDS = [
 # What the probe queries read of a stored batch; the JSON reader skips all other fields.
 PROBE_BATCH = "events array<struct<timestamp:timestamp,container:struct<name:string>,message:string,raw:string>>"
 
-REQUEST = "msg string, url string, method string, ip string, x_real_ip string, x_forwarded_for string, remote_addr string"
+REQUEST_FIELDS = ["msg", "url", "method", "ip", "x_real_ip", "x_forwarded_for", "remote_addr"]
 
 CONTAINER_EVENT = (
     "host string, ts timestamp, seq bigint, Type string, Action string, id string,"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake.operators.lines import drop_blank_lines, split_timestamp_prefix
@@ -17,12 +17,13 @@ def read_raw_logs(spark: SparkSession, path: str, form: str = "parquet") -> Data
     """Log lines of all containers and both output streams.
 
     ``parquet`` and ``json`` hold the raw-log table; ``text`` holds plain log files, one line per row, with the time
-    as first word and the origin in the path. The offset of a line in its file orders lines of one arrival time.
+    as first word and the origin in the path. ``seq`` grows along a file and only orders lines of the same time.
     """
     if form != "text":
         return spark.read.schema(RAW_LOG).format(form).load(path)
     files = spark.read.option("recursiveFileLookup", True).text(path)
-    return _from_files(files)
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return _from_files(files, F.col("_metadata.file_block_start") + row)
 
 
 def stream_raw_logs(spark: SparkSession, path: str, form: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -32,10 +33,10 @@ def stream_raw_logs(spark: SparkSession, path: str, form: str = "parquet", max_f
         reader = reader.option("maxFilesPerTrigger", max_files)
     if form != "text":
         return reader.schema(RAW_LOG).format(form).load(path)
-    return _from_files(reader.option("recursiveFileLookup", True).text(path))
+    return _from_files(reader.option("recursiveFileLookup", True).text(path), F.col("_metadata.file_block_start"))
 
 
-def _from_files(files: DataFrame) -> DataFrame:
+def _from_files(files: DataFrame, seq: Column) -> DataFrame:
     path = F.col("_metadata.file_path")
     host, container_id, name, stream = (F.url_decode(F.regexp_extract(path, LOG_PATH, group)) for group in range(1, 5))
     lines = files.select(
@@ -44,7 +45,7 @@ def _from_files(files: DataFrame) -> DataFrame:
         stream.alias("stream"),
         F.col("value").alias("line"),
         F.col("_metadata.file_modification_time").alias("landed"),
-        F.monotonically_increasing_id().alias("seq"),
+        seq.alias("seq"),
     )
     split = split_timestamp_prefix(drop_blank_lines(lines))
     return split.withColumn("ingest_ts", F.coalesce("timestamp", "landed")).select(
