@@ -86,7 +86,8 @@ def tick_groups(events: DataFrame, interval: float, origin: float = 0.0) -> Data
             F.bool_or("alert_matched").alias("has_alert"),
         )
     )
-    later = Window.partitionBy(*KEYS).orderBy("tick").rowsBetween(0, Window.unboundedFollowing)
+    # From the last tick backwards the frame grows row by row; forwards it would be computed anew for each.
+    later = Window.partitionBy(*KEYS).orderBy(F.desc("tick")).rowsBetween(Window.unboundedPreceding, 0)
     return ticks.withColumn("batch_tick", F.min(F.when(F.col("has_alert"), F.col("tick"))).over(later))
 
 

@@ -6,13 +6,18 @@ its size, whether it holds an alert, and where it started.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import types as T
 
+# The scan travels with the job, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: a group without an alert holds this many times the batch size.
 BUFFER_FACTOR = 10
 ROW_BITS = 40
@@ -147,7 +152,7 @@ class BatchScan:
                 starts, left = cuts[state]
                 if starts and heads[index] is None:
                     heads[index] = rows + starts[0]
-                exits[index] = left if left is NOTHING else self.place(left, group, rows)
+                exits[index] = self.place(left, group, rows) if left.size else NOTHING
             rows += run.rows
             last = (run.last_key, int(run.ticks[-1]))
         if first is None:

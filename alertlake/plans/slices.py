@@ -74,6 +74,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def largest_key(rows: DataFrame, keys: Sequence[str]) -> int:
+    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 class KeyWindow:
     """Running values over ``keys`` in ``order``; each method returns the rows with one more column.
 
@@ -82,19 +86,19 @@ class KeyWindow:
 
     def __init__(self, keys: Sequence[str], order: Sequence[str], sliced: bool = False):
         self.keys, self.order, self.sliced = list(keys), list(order), sliced
-        within = Window.partitionBy(*self.keys, *([SLICE] if sliced else [])).orderBy(*self.order)
-        across = Window.partitionBy(*self.keys).orderBy(SLICE)
-        self.up_to = within.rowsBetween(Window.unboundedPreceding, 0)
-        self.before = within.rowsBetween(Window.unboundedPreceding, -1)
-        self.after = within.rowsBetween(1, Window.unboundedFollowing)
-        self.earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-        self.later = across.rowsBetween(1, Window.unboundedFollowing)
+        within = Window.partitionBy(*self.keys, *([SLICE] if sliced else []))
+        across = Window.partitionBy(*self.keys)
+        self.up_to = within.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        self.before = within.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
+        self.earlier = across.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        # A frame that ends with the key is computed anew for every row; in reverse order it grows row by row.
+        self.after = within.orderBy(*map(F.desc, self.order)).rowsBetween(Window.unboundedPreceding, -1)
+        self.later = across.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
 
     @classmethod
     def fit(cls, rows: DataFrame, keys: Sequence[str], order: Sequence[str], key_rows: int = KEY_ROWS):
         """Measure the largest key to choose the form."""
-        largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        return cls(keys, order, largest > key_rows)
+        return cls(keys, order, largest_key(rows, keys) > key_rows)
 
     def last(self, rows: DataFrame, value: Column, name: str, including: bool = False) -> DataFrame:
         """Last non-null value before the row, or up to it."""
@@ -105,8 +109,8 @@ class KeyWindow:
     def next(self, rows: DataFrame, value: Column, name: str) -> DataFrame:
         """First non-null value after the row."""
         oldest = F.min_by(value, F.when(value.isNotNull(), F.struct(*self.order)))
-        local = F.first(value, ignorenulls=True).over(self.after)
-        return self._run(rows, name, local, oldest, lambda v: F.first(v, True).over(self.later), F.coalesce)
+        local = F.last(value, ignorenulls=True).over(self.after)
+        return self._run(rows, name, local, oldest, lambda v: F.last(v, True).over(self.later), F.coalesce)
 
     def sum(self, rows: DataFrame, value: Column, name: str) -> DataFrame:
         """Sum of the values up to and including the row."""

@@ -35,14 +35,15 @@ def with_day(batches: DataFrame) -> DataFrame:
 def write_batches(batches: DataFrame, path: str, commit: int = 0) -> None:
     """Store batches as JSON lines under month, day and kind.
 
-    Files of one commit replace what an earlier try of the same commit has left, and nothing else. The rows are
-    spread within their folder, so that one busy day is written by many tasks.
+    Files of one commit replace what an earlier try of the same commit has left, and nothing else. Rebalancing brings
+    the rows of a folder together, so that there are few files, and splits a busy day among several tasks.
     """
     filed = with_day(batches.select(*[c for c in BATCH_FIELDS if c in batches.columns]))
     muted = F.when(F.col("suppress_alert_sinks"), True)
     (
         filed.withColumn("suppress_alert_sinks", muted)
         .withColumn("commit", F.lit(commit))
+        .hint("rebalance", "month", "day", "kind")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("timestampFormat", TIME_FORM)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -17,6 +19,9 @@ from alertlake.schema import BATCH_FIELDS, EVENT
 from alertlake.settings import Settings
 from alertlake.sources.sinks import Sink, best_effort, fan_out, file_sink, outbox_sink
 
+# The state processor travels with the job, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Single events are spread over this many state keys per host; they leave no state behind.
@@ -43,47 +48,42 @@ class GroupBuffer(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        host, log_id, single = key[0], key[1], key[2] >= 0
         batch = pd.concat(list(rows)).sort_values(["marker", "arrival", "seq"], kind="stable")
-        out = []
-        if single:
-            for row in batch.itertuples():
-                out.append(self.emit(host, log_id, [(row.ts, row.arrival, row.seq, row.line)], row.ts, row.ts, {row.container}, row.arrival, "single"))
-            if out:
-                yield pd.concat(out)
+        if key[2] >= 0:
+            lines = [(row, [(row.ts, row.arrival, row.seq, row.line)]) for row in batch.itertuples()]
+            single = [self.record(key, line, row.ts, row.ts, {row.container}, row.arrival, "single") for row, line in lines]
+            yield pd.DataFrame(single)
             return
-        group = self.load()
+        group, stored = self.load()
+        out = []
         for row in batch.itertuples():
-            if row.marker:
-                if group["alert"]:
-                    out.append(self.finish(host, log_id, group, "interval"))
-                    group = new_group()
-                continue
             tick = row.arrival // self.interval
-            if group["alert"] and tick != group["tick"]:
-                out.append(self.finish(host, log_id, group, "interval"))
+            if group["alert"] and (row.marker or tick != group["tick"]):
+                out.append(self.finish(key, group, "interval"))
                 group = new_group()
+            if row.marker:
+                continue
             self.append(group, row, tick)
             if group["alert"] and len(group["events"]) >= self.size:
-                out.append(self.finish(host, log_id, group, "size"))
+                out.append(self.finish(key, group, "size"))
                 group = new_group()
-        self.save(group)
+        self.save(group, stored)
         if self.timers and group["alert"]:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.interval // 1000)
         if out:
-            yield pd.concat(out)
+            yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        group = self.load()
+        group, stored = self.load()
         if group["alert"]:
-            self.save(new_group())
-            yield self.finish(key[0], key[1], group, "interval")
+            self.save(new_group(), stored)
+            yield pd.DataFrame([self.finish(key, group, "interval")])
 
-    def finish(self, host, log_id, group, cause) -> pd.DataFrame:
+    def finish(self, key, group, cause) -> dict:
         last = max(event[1] for event in group["events"])
         at = last if cause == "size" else (group["tick"] + 1) * self.interval
         first = group["events"][0][0] if group["total"] > self.room else group["first"]
-        return self.emit(host, log_id, group["events"], first, group["last"], group["containers"], at, cause)
+        return self.record(key, group["events"], first, group["last"], group["containers"], at, cause)
 
     def append(self, group, row, tick) -> None:
         group["events"].append((row.ts, row.arrival, row.seq, row.line))
@@ -100,32 +100,35 @@ class GroupBuffer(StatefulProcessor):
         pass
 
     @staticmethod
-    def emit(host, log_id, events, first, last, containers, at, cause) -> pd.DataFrame:
+    def record(key, events, first, last, containers, at, cause) -> dict:
         ordered = sorted(events, key=lambda e: (-1 if e[0] is None or pd.isna(e[0]) else e[0], e[1], e[2]))
-        row = {
-            "host": host, "log_id": log_id, "first_seen": _time(first), "last_seen": _time(last), "count": len(events),
+        return {
+            "host": key[0], "log_id": key[1], "first_seen": _time(first), "last_seen": _time(last), "count": len(events),
             "containers": sorted(c for c in containers if c is not None), "lines": [e[3] for e in ordered],
             "flushed_at": _time(at), "cause": cause,
         }
-        return pd.DataFrame([row])
 
-    def load(self) -> dict:
-        if not self.facts.exists():
-            return new_group()
-        first, last, alert, tick, total, containers = self.facts.get()
-        return {
+    def load(self) -> tuple[dict, bool]:
+        """The open group, and whether there is stored state."""
+        facts = self.facts.get()
+        if facts is None:
+            return new_group(), False
+        first, last, alert, tick, total, containers = facts
+        group = {
             "events": [tuple(event) for event in self.events.get()], "first": first, "last": last, "alert": alert,
             "tick": tick, "total": total, "containers": set(containers),
         }
-
-    def save(self, group: dict) -> None:
-        if not group["events"]:
+        return group, True
+
+    def save(self, group: dict, stored: bool) -> None:
+        if group["events"]:
+            self.events.put([tuple(_plain(value) for value in event) for event in group["events"]])
+            facts = [_plain(group[name]) for name in ("first", "last", "alert", "tick", "total")]
+            self.facts.update((*facts, sorted(c for c in group["containers"] if c is not None)))
+        elif stored:
             self.events.clear()
             self.facts.clear()
-            return
-        self.events.put([tuple(_plain(value) for value in event) for event in group["events"]])
-        facts = [group[name] for name in ("first", "last", "alert", "tick", "total")]
-        self.facts.update((*[_plain(value) for value in facts], sorted(c for c in group["containers"] if c is not None)))
+
 
 def new_group() -> dict:
     return {"events": [], "first": None, "last": None, "alert": False, "tick": 0, "total": 0, "containers": set()}
