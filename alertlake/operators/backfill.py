@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertlake.functions.times import duration_text
 from alertlake.operators.health import health_batch
-from alertlake.plans.slices import KEY_ROWS, KeyWindow, time_slice
+from alertlake.plans.slices import KEY_ROWS, KeyWindow, checkpointed, time_slice
 from alertlake.schema import BATCH_FIELDS
 
 # Fixed values.
@@ -36,6 +36,7 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
     buckets = lines.groupBy(*stream, "bucket").agg(
         F.min("ingest_ts").alias("first_row"), F.max("ingest_ts").alias("last_row")
     )
+    buckets = checkpointed(buckets)
     in_order = Window.partitionBy(*stream).orderBy("bucket")
     gap = (F.unix_micros("first_row") - F.unix_micros(F.lag("last_row").over(in_order))) / 1e6
     opened = buckets.withColumn("disconnected_for", gap).where(F.col("disconnected_for") >= threshold)
@@ -82,6 +83,7 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
 
 def merge_windows(windows: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """Windows of a host: it is in replay while any of its streams is."""
+    windows = checkpointed(windows)
     by_host = KeyWindow.fit(windows, ["host"], ["start_ts", "container"], key_rows)
     reached = by_host.max(windows, F.col("end_ts"), "reached", including=False)
     fresh = F.when(F.col("reached").isNull() | (F.col("start_ts") >= F.col("reached")), 1).otherwise(0)

@@ -14,6 +14,7 @@ from alertlake.functions import text as tx
 from alertlake.functions.json import ci_get, json_object, leaf_texts, lower_keys
 from alertlake.functions.patterns import any_match, compile_patterns
 from alertlake.functions.times import json_time
+from alertlake.plans.once import compute_once
 from alertlake.settings import BARE_LEVEL_REGEXPS, MESSAGE_FIELDS, TIME_FIELDS, Settings
 
 
@@ -90,24 +91,23 @@ def parse_events(raw: DataFrame, settings: Settings | Mapping[str, Settings]) ->
     ``settings`` is one set for all rows or one per host; rows of a host without settings are dropped.
     """
     parsed = parse_lines(raw, settings)
-    event = F.struct(
-        "host",
-        F.col("event_ts").alias("timestamp"),
-        "container",
-        "stream",
-        F.coalesce("level", F.lit("")).alias("level"),
-        "log_id",
-        F.col("level").isNotNull().alias("alert_matched"),
-        "message",
-        F.col("line").alias("raw"),
-        F.col("fields").isNotNull().alias("parsed_from_json"),
-        "ingest_ts",
-        "seq",
-        "unknown_log_id",
-        "excluded",
-    )
-    # A filter above a projection would be pushed below it and parse every line twice; a generator keeps it above.
-    events = parsed.select(F.inline(F.array(event)))
+    columns = {
+        "host": F.col("host"),
+        "timestamp": F.col("event_ts"),
+        "container": F.col("container"),
+        "stream": F.col("stream"),
+        "level": F.coalesce("level", F.lit("")),
+        "log_id": F.col("log_id"),
+        "alert_matched": F.col("level").isNotNull(),
+        "message": F.col("message"),
+        "raw": F.col("line"),
+        "parsed_from_json": F.col("fields").isNotNull(),
+        "ingest_ts": F.col("ingest_ts"),
+        "seq": F.col("seq"),
+        "unknown_log_id": F.col("unknown_log_id"),
+        "excluded": F.col("excluded"),
+    }
+    events = compute_once(parsed, columns, keep=[])
     relevant = F.col("alert_matched") | (F.col("log_id") != F.col("unknown_log_id"))
     return events.where(~F.col("excluded") & relevant).drop("excluded")
 

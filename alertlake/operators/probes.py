@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from alertlake.functions.json import json_object, lower_keys
 from alertlake.functions.requests import client_ip, strip_query
 from alertlake.functions.text import trim_space
-from alertlake.plans.slices import row_positions
+from alertlake.plans.once import compute_once
+from alertlake.plans.slices import checkpointed, row_positions
 from alertlake.schema import REQUEST_FIELDS
 
 # Fixed values.
@@ -35,18 +36,17 @@ def explode_events(batches: DataFrame) -> DataFrame:
 def request_events(events: DataFrame) -> DataFrame:
     """Events that log a request, with the fields of the request under ``request``."""
     logged = events.where((F.col("message") == REQUEST_MESSAGE) & (F.col("raw") != ""))
-    fields = lower_keys(json_object(trim_space(F.col("raw"))))
-    read = logged.withColumn("fields", fields).where(F.col("fields").isNotNull())
-    return read.withColumn("request", F.struct(*[F.col("fields")[name].alias(name) for name in REQUEST_FIELDS])).drop("fields")
-
-
-def with_path(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("path", strip_query(F.coalesce(F.col("request.url"), F.lit(""))))
+    read = compute_once(logged, {"fields": lower_keys(json_object(trim_space(F.col("raw"))))})
+    request = F.struct(*[F.col("fields")[name].alias(name) for name in REQUEST_FIELDS])
+    return read.where(F.col("fields").isNotNull()).withColumn("request", request).drop("fields")
 
 
 def path_in(requests: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Requests whose path is one of the given ones."""
-    return with_path(requests).where(F.col("path").isin(list(dict.fromkeys(paths))))
+    """Requests whose path is one of the given ones, with ``path`` and ``client``."""
+    request = F.col("request")
+    client = client_ip(request["x_real_ip"], request["x_forwarded_for"], request["ip"], request["remote_addr"])
+    path = strip_query(F.coalesce(request["url"], F.lit("")))
+    return compute_once(requests, {"path": path, "client": client}).where(F.col("path").isin(list(dict.fromkeys(paths))))
 
 
 def may_hold_path(raw: Column, paths: Sequence[str]) -> Column:
@@ -61,10 +61,7 @@ def probe_hits(events: DataFrame, paths: Sequence[str] = DEFAULT_PATHS) -> DataF
     """Requests for the paths, with the client; requests without a client address are left out."""
     request = F.col("request")
     candidates = events.where((F.col("message") == REQUEST_MESSAGE) & may_hold_path(F.col("raw"), paths))
-    hits = path_in(request_events(candidates), paths).withColumn(
-        "client",
-        client_ip(request["x_real_ip"], request["x_forwarded_for"], request["ip"], request["remote_addr"]),
-    )
+    hits = path_in(request_events(candidates), paths)
     kept = [name for name in events.columns if name == "file"]
     return hits.where(F.col("client") != "").select(
         "path",
@@ -81,7 +78,7 @@ KINDS = ("method", "url", "container")
 
 
 def _combinations(hits: DataFrame) -> DataFrame:
-    """Hits reduced to distinct combinations; both halves of the report start from this one shuffle."""
+    """Hits reduced to distinct combinations of what the report shows."""
     return hits.groupBy("path", "ip", *KINDS).agg(
         F.count("*").alias("hits"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
     )
@@ -105,7 +102,8 @@ def probe_stats(hits: DataFrame, inline: int = INLINE_VALUES) -> DataFrame:
     Values are made distinct and counted before any list is collected.
     """
     key = ["path", "ip"]
-    combinations = _combinations(hits)
+    # Stored once: the steps below would each scan the batches again.
+    combinations = checkpointed(_combinations(hits))
     seen = combinations.groupBy(*key).agg(
         F.sum("hits").alias("hits"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     )

@@ -13,7 +13,7 @@ from alertlake.operators.health import health_batches, health_transitions
 from alertlake.operators.lines import exclude_container, match_containers, prefix_host
 from alertlake.operators.notify import notifications, send_schedule
 from alertlake.operators.parse import parse_events
-from alertlake.operators.probes import probe_hits, probe_stats
+from alertlake.operators.probes import DEFAULT_PATHS, probe_hits, probe_stats, rank_probes
 from alertlake.plans.slices import checkpointed
 from alertlake.settings import Settings
 
@@ -36,8 +36,8 @@ def run_alerts(
 ) -> AlertTables:
     """Raw lines to stored batches and scheduled messages.
 
-    Parsing is the costly part and its result is read several times (to sample, to sort, to count), so it is stored
-    once.
+    What is read several times is stored once: events (to sample, to sort, to count) and batches (to file, to notify,
+    to measure the queue).
     """
     lines = exclude_container(match_containers(raw, settings.include_patterns), own_id)
     events = checkpointed(parse_events(prefix_host(lines) if many_hosts else lines, settings))
@@ -45,13 +45,15 @@ def run_alerts(
         backfill_windows(lines, settings.seconds("backfill_threshold"), settings.seconds("backfill_max_duration"))
     )
     batches = flush_batches(events, settings.flush_size, settings.seconds("flush_interval")).drop("cause")
-    stored = mark_suppressed(batches, windows).unionByName(backfill_summary(events, windows))
+    every = mark_suppressed(batches, windows).unionByName(backfill_summary(events, windows))
     if status is not None:
-        stored = stored.unionByName(health_batches(health_transitions(status)))
+        every = every.unionByName(health_batches(health_transitions(status)))
+    stored = checkpointed(every)
     messages = notifications(stored, settings).withColumn("webhook", F.lit(settings.webhook_url))
-    return AlertTables(events, stored, send_schedule(messages, ["webhook"], ["arrival", "host", "log_id", "first_seen", "part"]))
+    order = ["arrival", "host", "log_id", "first_seen", "part"]
+    return AlertTables(events, stored, send_schedule(messages, ["webhook"], order))
 
 
-def run_probe_report(events: DataFrame, paths) -> DataFrame:
-    """Clients per path from rows of events."""
-    return probe_stats(probe_hits(events, paths))
+def run_probe_report(events: DataFrame, paths=DEFAULT_PATHS) -> DataFrame:
+    """Clients per path, ranked, from rows of events."""
+    return rank_probes(probe_stats(probe_hits(events, paths)), paths)
