@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,17 @@ def joined(column: str | Column) -> Column:
     return F.array_join(column, ",")
 
 
+def in_utc(query: Query) -> Query:
+    """The tables hold times without a zone; read them as UTC."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf)
+
+    return run
+
+
 def raw_logs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(fixtures.raw_logs(spark, sf))
 
@@ -623,4 +635,4 @@ def all_queries() -> dict[str, Query]:
         explode_events, request_events, strip_query_urls, client_ips, probe_hits, probe_values, probe_stats, rank_probes,
         path_summary, total_hits,
     ]
-    return {query.__name__: query for query in named}
+    return {query.__name__: in_utc(query) for query in named}

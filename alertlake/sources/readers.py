@@ -83,6 +83,6 @@ def read_probe_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Number of unreadable lines per file."""
+    """Number of unreadable lines per file, and of those that still showed an id."""
     stored = _read_stored(spark, path, BATCH).where(F.col(BAD_LINE).isNotNull())
-    return stored.groupBy("file").agg(F.count(BAD_LINE).alias("lines"))
+    return stored.groupBy("file").agg(F.count(BAD_LINE).alias("lines"), F.count("log_id").alias("with_id"))
