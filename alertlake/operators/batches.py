@@ -93,16 +93,16 @@ def tick_groups(events: DataFrame, interval: float, origin: float = 0.0) -> Data
 
 def flush_by_interval(events: DataFrame, interval: float, origin: float = 0.0) -> DataFrame:
     """Batches cut by ticks alone, as summaries: without a size limit a batch may hold any number of events."""
-    merged = (
-        tick_groups(events, interval, origin)
-        .where(F.col("batch_tick").isNotNull())
-        .groupBy(*KEYS, "batch_tick")
-        .agg(
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
-            F.sum("count").alias("count"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_set("containers")))).alias("containers"),
-        )
+    emitted = tick_groups(events, interval, origin).where(F.col("batch_tick").isNotNull())
+    # Names one by one, so that the set is made distinct in the map tasks; the count goes with the first name only.
+    named = emitted.select(
+        *KEYS, "batch_tick", "first_seen", "last_seen", "count", F.posexplode_outer("containers").alias("place", "container")
+    )
+    merged = named.groupBy(*KEYS, "batch_tick").agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.sum(F.when(F.coalesce("place", F.lit(0)) == 0, F.col("count"))).alias("count"),
+        F.sort_array(F.collect_set("container")).alias("containers"),
     )
     return merged.withColumn("flushed_at", tick_end(F.col("batch_tick"), interval, origin))
 
