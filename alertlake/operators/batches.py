@@ -161,25 +161,33 @@ def batch_groups(
     events: DataFrame, flush_size: int, interval: float | None, origin: float = 0.0, slices: int | None = None
 ) -> DataFrame:
     """Every group of the input, emitted or still waiting, one row each."""
-    size, room = max(flush_size, 1), max(flush_size, 1) * BUFFER_FACTOR
-    kept = F.struct("timestamp", *ORDER, event_struct().alias("event"))
-    groups = (
-        assign_batches(events, flush_size, interval, origin, slices)
-        .groupBy(*KEYS, "batch_id")
-        .agg(
-            F.count("*").alias("total"),
-            F.bool_or("alert_matched").alias("has_alert"),
-            F.min("timestamp").alias("earliest"),
-            F.max("timestamp").alias("last_seen"),
-            F.min_by("timestamp", F.when(F.col("keep"), F.struct(*ORDER))).alias("oldest_kept"),
-            F.sort_array(F.collect_set("container.name")).alias("containers"),
-            F.max("tick").alias("tick"),
-            F.max("ingest_ts").alias("last_arrival"),
-            # At most one buffer per batch: the scan has marked the rows that the buffer still holds at the end.
-            F.collect_list(F.when(F.col("keep"), kept)).alias("kept"),
-        )
-    )
-    full = F.col("has_alert") & (F.col("total") >= size)
+    marked = assign_batches(events, flush_size, interval, origin, slices)
+    return as_batches(marked.groupBy(*KEYS, "batch_id").agg(*group_facts(ORDER)), flush_size, interval, origin)
+
+
+def group_facts(order: list[str]) -> list[Column]:
+    """What is collected of each group of marked events."""
+    kept = F.struct("timestamp", *order, event_struct().alias("event"))
+    return [
+        F.count("*").alias("total"),
+        F.bool_or("alert_matched").alias("has_alert"),
+        F.min("timestamp").alias("earliest"),
+        F.max("timestamp").alias("last_seen"),
+        F.min_by("timestamp", F.when(F.col("keep"), F.struct(*order))).alias("oldest_kept"),
+        F.sort_array(F.collect_set("container.name")).alias("containers"),
+        F.max("tick").alias("tick"),
+        F.max("ingest_ts").alias("last_arrival"),
+        # At most one buffer per batch: the scan has marked the rows that the buffer still holds at the end.
+        F.collect_list(F.when(F.col("keep"), kept)).alias("kept"),
+    ]
+
+
+def is_full(flush_size: int) -> Column:
+    return F.col("has_alert") & (F.col("total") >= max(flush_size, 1))
+
+
+def as_batches(groups: DataFrame, flush_size: int, interval: float | None, origin: float = 0.0) -> DataFrame:
+    room, full = max(flush_size, 1) * BUFFER_FACTOR, is_full(flush_size)
     ticked = F.col("last_arrival") if interval is None else tick_end(F.col("tick"), interval, origin)
     return groups.select(
         *KEYS,
@@ -199,11 +207,18 @@ def assign_batches(
     events: DataFrame, flush_size: int, interval: float | None, origin: float = 0.0, slices: int | None = None
 ) -> DataFrame:
     """Every grouped event with ``batch_id`` and ``keep``, whether the buffer still holds it at the end."""
+    return mark_batches(grouped_events(events), flush_size, interval, origin, slices)[0]
+
+
+def mark_batches(
+    rows: DataFrame, flush_size: int, interval: float | None, origin: float = 0.0, slices: int | None = None, order=None
+) -> tuple[DataFrame, int | None]:
+    """Rows with the start of their batch, and the newest tick among them."""
     tick = F.lit(0).cast("bigint") if interval is None else tick_of(F.col("ingest_ts"), interval, origin)
-    sliced = range_slices(grouped_events(events).withColumn("tick", tick), KEYS, ORDER, slices)
+    sliced = range_slices(rows.withColumn("tick", tick), KEYS, order or ORDER, slices)
     scan = BatchScan(max(flush_size, 1))
-    notes = sliced.select(SLICE, *KEYS, "tick", "alert_matched").mapInArrow(scan.summarise, SUMMARY_SCHEMA)
     # One small row per slice, however many events there are.
-    entries = scan.chain(notes.collect())
-    marked = T.StructType([*sliced.schema.fields, *MARKS.fields])
-    return sliced.mapInArrow(lambda batches: scan.mark(batches, entries), marked)
+    notes = sliced.select(SLICE, *KEYS, "tick", "alert_matched").mapInArrow(scan.summarise, SUMMARY_SCHEMA).collect()
+    entries = scan.chain(notes)
+    marked = sliced.mapInArrow(lambda batches: scan.mark(batches, entries), T.StructType([*sliced.schema.fields, *MARKS.fields]))
+    return marked, max((note["newest_tick"] for note in notes), default=None)

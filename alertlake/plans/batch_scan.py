@@ -40,6 +40,7 @@ SUMMARY_SCHEMA = T.StructType(
         T.StructField("first_tick", T.LongType()),
         T.StructField("last_key", T.ArrayType(T.StringType())),
         T.StructField("last_tick", T.LongType()),
+        T.StructField("newest_tick", T.LongType()),
         T.StructField("exits", EXIT),
     ]
 )
@@ -133,7 +134,7 @@ class BatchScan:
     # ---- first pass: what a slice does to the group that is open before it
 
     def summarise(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
+        first = last = newest = None
         rows, exits, heads = 0, [], []
         for batch in batches:
             if not batch.num_rows:
@@ -155,6 +156,7 @@ class BatchScan:
                 exits[index] = self.place(left, group, rows) if left.size else NOTHING
             rows += run.rows
             last = (run.last_key, int(run.ticks[-1]))
+            newest = max(int(run.ticks.max()), last[1] if newest is None else newest)
         if first is None:
             return
         noted = [
@@ -164,7 +166,7 @@ class BatchScan:
         record = [
             {
                 "slice": first[0], "rows": rows, "first_key": first[1], "first_tick": first[2],
-                "last_key": last[0], "last_tick": last[1], "exits": noted,
+                "last_key": last[0], "last_tick": last[1], "newest_tick": newest, "exits": noted,
             }
         ]
         yield pa.RecordBatch.from_pylist(record, schema=_arrow_summary())
@@ -256,7 +258,8 @@ def _arrow_summary() -> pa.Schema:
     return pa.schema(
         [
             ("slice", pa.int32()), ("rows", pa.int64()), ("first_key", pa.list_(pa.string())), ("first_tick", pa.int64()),
-            ("last_key", pa.list_(pa.string())), ("last_tick", pa.int64()), ("exits", pa.list_(exit_)),
+            ("last_key", pa.list_(pa.string())), ("last_tick", pa.int64()),
+            ("newest_tick", pa.int64()), ("exits", pa.list_(exit_)),
         ]
     )
 
