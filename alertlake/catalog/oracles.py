@@ -318,6 +318,7 @@ def all_oracles() -> dict[str, str]:
             q.SIZE, None, "has_alert AND NOT by_size", "log_id, first_us, last_us, count, containers, events_md5"
         ),
         "stream_batches": emitted,
+        "group_commits": emitted,
         "backfill_windows": f"WITH {WINDOWS} SELECT host, container, start_us, end_us, gap_us, reason FROM windows",
         "merge_windows": f"WITH {WINDOWS} SELECT host, start_us, end_us, gap_us FROM merged",
         "mark_suppressed": f"""WITH RECURSIVE {BATCHES}, {WINDOWS[len(RAW) + 1 :]},

@@ -19,7 +19,7 @@ from alertlake.operators import backfill, batches, health, lifecycle, lines, not
 from alertlake.plans.slices import checkpointed, scratch_path, spread
 from alertlake.settings import Settings, apply_host_settings, resolve_host_settings
 from alertlake.sources import readers, sinks
-from alertlake.streaming import live
+from alertlake.streaming import commits, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -379,6 +379,17 @@ def stream_batches(spark: SparkSession, sf: str) -> DataFrame:
     return _batch_columns(spark.read.schema(stream.schema).parquet(out))
 
 
+def group_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """The grouping commit by commit: the month in three parts, and a shutdown at the end."""
+    rows, state = events(spark, sf), scratch_path(spark, "groups")
+    first, second = F.col("ingest_ts") < "2024-01-11", F.col("ingest_ts") < "2024-01-21"
+    made = []
+    for commit, part in enumerate((first, second & ~first, ~second)):
+        made.append(commits.group_commit(rows.where(part), commit, state, SIZE, INTERVAL))
+    made.append(commits.final_flush(spark, 2, state, SIZE, INTERVAL))
+    return _batch_columns(functools.reduce(DataFrame.unionByName, made))
+
+
 # ---- replay windows
 
 
@@ -628,7 +639,7 @@ def all_queries() -> dict[str, Query]:
         host_labels, prefix_host, host_settings, json_objects, ci_fields, messages, event_times, time_strings, first_groups,
         alert_levels, log_ids, exclude_shallow, exclude_deep, parse_events, parse_per_host, single_event_batches,
         flush_by_size, flush_small_buffer, flush_by_interval, assign_ticks, flush_batches, sort_events, keep_last,
-        pending_groups, final_flush, stream_batches, backfill_windows, merge_windows, mark_suppressed, backfill_summary,
+        pending_groups, final_flush, stream_batches, group_commits, backfill_windows, merge_windows, mark_suppressed, backfill_summary,
         normalize_container_events, container_sessions, container_replacements, container_renames, active_containers,
         live_states, failure_runs, health_transitions, health_batches, health_components, batch_hosts, titles,
         should_mention, markdown, health_markdown, event_detail, mention_text, notifications, fit_payload, send_schedule,

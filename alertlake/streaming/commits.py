@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +34,8 @@ def _commit_path(state: str, commit: int) -> str:
     return f"{state}/commit={commit}"
 
 
-def _groups_of(spark: SparkSession, state: str, commit: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(_commit_path(state, commit))
-    except AnalysisException:
-        return None
+def _groups_of(spark: SparkSession, state: str, commit: int) -> DataFrame:
+    return spark.read.parquet(_commit_path(state, commit))
 
 
 def _reopened(groups: DataFrame, room: int) -> DataFrame:
@@ -64,14 +60,14 @@ def _reopened(groups: DataFrame, room: int) -> DataFrame:
 def group_commit(events: DataFrame, commit: int, state: str, flush_size: int, interval: float) -> DataFrame:
     """Batches that this commit completes. Its open groups stay in the state folder.
 
-    A group with an alert is complete when it is full, or when rows of a later tick have arrived anywhere.
+    A group with an alert is complete when it is full, or when rows of a later tick have arrived anywhere. Commits are
+    numbered from 0, as ``foreachBatch`` does; a missing predecessor is an error, for its open groups would be lost.
     """
     spark, room = events.sparkSession, max(flush_size, 1) * 10
     nothing = {name: F.lit(None).cast(kind) for name, kind in CARRIED.items()} | {"dropped": F.lit(0).cast("bigint")}
     rows = grouped_events(events).drop("unknown_log_id").withColumns({"fresh": F.lit(1), **nothing})
-    before = _groups_of(spark, state, commit - 1)
-    if before is not None:
-        rows = rows.unionByName(_reopened(before, room))
+    if commit > 0:
+        rows = rows.unionByName(_reopened(_groups_of(spark, state, commit - 1), room))
     marked, newest = mark_batches(rows, flush_size, interval, order=ORDER)
 
     facts = marked.groupBy(*KEYS, "batch_id").agg(

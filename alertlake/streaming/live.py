@@ -18,6 +18,7 @@ from alertlake.plans.batch_scan import BUFFER_FACTOR
 from alertlake.schema import BATCH_FIELDS, EVENT
 from alertlake.settings import Settings
 from alertlake.sources.sinks import Sink, best_effort, fan_out, file_sink, outbox_sink
+from alertlake.streaming.commits import grouping_sink
 
 # The state processor travels with the job, so that workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -190,13 +191,20 @@ def alert_sink(settings: Settings, outbox: str | None, windows: Callable[[], Dat
 
 def start_alerts(
     raw: DataFrame, settings: Settings, checkpoint: str, outbox: str | None = None, continuous: bool = True,
-    windows: Callable[[], DataFrame] | None = None,
+    windows: Callable[[], DataFrame] | None = None, state: str | None = None,
 ) -> StreamingQuery:
-    """Run the whole job on a stream of raw lines. ``windows`` reads the replay windows anew for each commit."""
-    events = parse_events(raw, settings)
-    batches = stream_batches(events, settings.flush_size, settings.seconds("flush_interval"), continuous)
-    writer = batches.drop("cause").writeStream.foreachBatch(alert_sink(settings, outbox, windows))
+    """Run the whole job on a stream of raw lines. ``windows`` reads the replay windows anew for each commit.
+
+    Groups are kept in keyed state or, with a ``state`` folder, commit by commit: choose the latter where one id may
+    hold much of the stream.
+    """
+    events, interval = parse_events(raw, settings), settings.seconds("flush_interval")
+    sink = alert_sink(settings, outbox, windows)
+    if state:
+        writer = events.writeStream.foreachBatch(grouping_sink(state, settings.flush_size, interval, sink))
+    else:
+        batches = stream_batches(events, settings.flush_size, interval, continuous)
+        writer = batches.drop("cause").writeStream.foreachBatch(sink)
     writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
-    trigger = {"processingTime": f"{settings.seconds('flush_interval')} seconds"} if continuous else {"availableNow": True}
+    trigger = {"processingTime": f"{interval} seconds"} if continuous else {"availableNow": True}
     return writer.trigger(**trigger).start()
-

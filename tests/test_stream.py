@@ -52,7 +52,8 @@ def test_stream_equals_batch(spark, tmp_path, size):
     assert comparable(spark.table(f"grouped{size}").collect()) == comparable(expected)
 
 
-def test_whole_job_writes_files_and_outbox(spark, tmp_path):
+@pytest.mark.parametrize("state", [None, "groups"])
+def test_whole_job_writes_files_and_outbox(spark, tmp_path, state):
     start = dt.datetime(2026, 3, 24, 10, 0)
     rows = [
         ("h", ("c", "api"), "stdout", f"{level} step log_id={key}", start + dt.timedelta(seconds=n), start + dt.timedelta(seconds=n), n)
@@ -66,7 +67,9 @@ def test_whole_job_writes_files_and_outbox(spark, tmp_path):
         span = (start + dt.timedelta(seconds=2), start + dt.timedelta(seconds=9))
         return spark.createDataFrame([("h", *span)], "host string, start_ts timestamp, end_ts timestamp")
 
-    query = live.start_alerts(readers.stream_raw_logs(spark, landed), settings, str(tmp_path / "ck"), outbox, continuous=False, windows=windows)
+    folder = str(tmp_path / state) if state else None
+    source = readers.stream_raw_logs(spark, landed)
+    query = live.start_alerts(source, settings, str(tmp_path / "ck"), outbox, continuous=False, windows=windows, state=folder)
     assert query.awaitTermination(300)
     stored = {r.log_id: r for r in readers.read_batches(spark, out).collect()}
     assert {k: (v["count"], v.suppress_alert_sinks) for k, v in stored.items()} == {"a": (2, False), "b": (2, True)}
