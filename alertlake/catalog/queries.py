@@ -16,6 +16,7 @@ from alertlake.functions.patterns import any_match, compile_patterns
 from alertlake.functions.requests import client_ip, strip_query
 from alertlake.functions.times import parse_time_string
 from alertlake.operators import backfill, batches, health, lifecycle, lines, notify, parse, probes
+from alertlake.plans.session import tune
 from alertlake.plans.slices import checkpointed, scratch_path, spread
 from alertlake.settings import Settings, apply_host_settings, resolve_host_settings
 from alertlake.sources import readers, sinks
@@ -40,13 +41,10 @@ def joined(column: str | Column) -> Column:
     return F.array_join(column, ",")
 
 
-def in_utc(query: Query) -> Query:
-    """The tables hold times without a zone; read them as UTC."""
-
+def tuned(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return query(spark, sf)
+        return query(tune(spark), sf)
 
     return run
 
@@ -646,4 +644,4 @@ def all_queries() -> dict[str, Query]:
         explode_events, request_events, strip_query_urls, client_ips, probe_hits, probe_values, probe_stats, rank_probes,
         path_summary, total_hits,
     ]
-    return {query.__name__: in_utc(query) for query in named}
+    return {query.__name__: tuned(query) for query in named}

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SLICE = "slice"
 # Rows of one key that a window task is given at most.
 KEY_ROWS = 5_000_000
+# Estimated size of a slice; estimates tend to be low for text that has been parsed.
+SLICE_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,13 +45,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slice_count(df: DataFrame) -> int:
+    """As many slices as shuffle partitions, fewer for an input that is known to be small."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(most, max(spark.sparkContext.defaultParallelism, known // SLICE_BYTES))
+
+
 def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
     """Sort by key and order over the whole cluster; ``slice`` numbers the partitions in that order.
 
     A big key fills many slices. Only the last key of a slice can go on in the next one.
     """
-    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = df.repartitionByRange(slices or slice_count(df), *keys, *order).sortWithinPartitions(*keys, *order)
     return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
