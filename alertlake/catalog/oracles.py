@@ -94,7 +94,7 @@ def batch_rows(name: str = "cut", interval_us: int | None = None) -> str:
   FROM facts_{name} JOIN texts_{name} USING (host, log_id, batch_no)"""
 
 
-SINGLE = """SELECT host, log_id, -seq - 1 AS batch_no, ts_us AS first_us, ts_us AS last_us, 1 AS count, container_name AS containers,
+SINGLE = """SELECT host, log_id, -seq - 1 AS batch_no, ts_us AS first_us, ts_us AS last_us, 1::BIGINT AS count, container_name AS containers,
   md5(raw) AS events_md5, in_us AS flushed_us, true AS has_alert, false AS by_size
   FROM ev WHERE alert AND log_id = 'unknown'"""
 BATCH_COLUMNS = "log_id, first_us, last_us, count, containers, events_md5, flushed_us"
@@ -238,7 +238,7 @@ def all_oracles() -> dict[str, str]:
         "read_container_events": f"""SELECT host, seq, action AS "Action", id, name, epoch_us(ts) AS ts_us
             FROM ({LIFECYCLE_RAW}) WHERE seq % 11 <> 0""",
         "write_batches": f"""WITH RECURSIVE {BATCHES} SELECT strftime(make_timestamp(last_us), '%Y-%m-%d') AS day,
-            count(*) AS batches, sum(count) AS events, max(last_us) AS last_us FROM emitted GROUP BY 1""",
+            count(*) AS batches, sum(count)::BIGINT AS events, max(last_us) AS last_us FROM emitted GROUP BY 1""",
         "read_batches": emitted,
         "fan_out": f"WITH {EV}, singles AS ({SINGLE}) SELECT {BATCH_COLUMNS} FROM singles",
         "outbox": f"""WITH RECURSIVE {BATCHES},
@@ -324,7 +324,7 @@ def all_oracles() -> dict[str, str]:
         "mark_suppressed": f"""WITH RECURSIVE {BATCHES}, {WINDOWS[len(RAW) + 1 :]},
             marked AS (SELECT *, EXISTS (SELECT 1 FROM merged w WHERE w.host = e.host AND e.flushed_us >= w.start_us
               AND e.flushed_us < w.end_us) AS suppress_alert_sinks FROM emitted e)
-            SELECT log_id, flushed_us, suppress_alert_sinks, count(*) AS batches, sum(count) AS events FROM marked GROUP BY 1, 2, 3""",
+            SELECT log_id, flushed_us, suppress_alert_sinks, count(*) AS batches, sum(count)::BIGINT AS events FROM marked GROUP BY 1, 2, 3""",
         "backfill_summary": f"""WITH {EV}, {WINDOWS[len(RAW) + 1 :]},
             n AS (SELECT w.host, w.island, w.start_us, w.end_us, w.gap_us, (SELECT count(*) FROM ev e WHERE e.host = w.host AND e.alert
               AND e.in_us >= w.start_us AND e.in_us < w.end_us) AS alerts, CAST(round(w.gap_us / 1e6) AS BIGINT) AS s FROM merged w)

@@ -55,10 +55,6 @@ def split_timestamp_prefix(line: Column) -> tuple[Column, Column]:
     return time, rest
 
 
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts)
-
-
 def parse_duration(text: str) -> float:
     """Seconds of a duration such as ``1h30m``, ``10s``, ``-1.5h`` or ``0``."""
     sign, body = (-1, text[1:]) if text[:1] == "-" else (1, text.removeprefix("+"))
