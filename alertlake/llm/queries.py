@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import quality_rules
+from alertlake.llm import cnn, html_text, language, quality_rules
 from alertlake.llm.frames import id_text, residue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,30 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = id_text(table(spark, sf, "documents"), "doc_id", "text")
     labels = table(spark, sf, "labels").where(residue("doc_id", 4) != 2)
     return quality_rules.assess(docs, quality_rules.fit(docs, labels)).drop("text")
 
 
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(residue("doc_id", 3) != 1))
+    texts = docs.select("doc_id", F.coalesce(residue("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
+    return language.identify(texts, model).drop("text")
+
+
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = id_text(table(spark, sf, "documents"), "doc_id", "text")
+    net = cnn.train(docs, table(spark, sf, "labels").where(residue("doc_id", 4) != 2))
+    texts = docs.select("doc_id", F.coalesce(residue("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
+    return cnn.classify(texts, net).drop("text")
+
+
 def all_queries() -> dict[str, Query]:
-    named = [op6_quality_rules]
+    named = [op5_html_extraction, op6_quality_rules, op7_language_id, op9_quality_classifier]
     return {query.__name__: query for query in named}
