@@ -3,5 +3,26 @@
 from __future__ import annotations
 
 
+def op2_warc_audit() -> str:
+    """Compare every record of both replicas, without trees."""
+
+    def replica(source: str) -> str:
+        head = "'WARC/1.0' || crlf || 'WARC-Type: response' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')"
+        tail = "'>' || crlf || 'Content-Type: application/http; msgtype=response' || crlf || 'Content-Length: ' || CAST(strlen(body) AS VARCHAR) || crlf || crlf || body || crlf || crlf"
+        return f"""SELECT warc_file, page_id, digest, CAST(strlen(record) AS BIGINT) AS length,
+            CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+        FROM (SELECT *, sha256(record) AS digest FROM (SELECT *, {head} || {tail} AS record FROM (
+            SELECT page_id, url, CAST(floor(page_id / 512) AS BIGINT) AS warc_file, chr(13) || chr(10) AS crlf,
+                'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body FROM {source})))"""
+
+    damaged = """(SELECT page_id, url, CASE WHEN page_id % 211 = 3 THEN substring(html, 1, length(html) - 7)
+        WHEN page_id % 101 = 7 THEN '#' || substring(html, 2) ELSE html END AS html FROM pages WHERE page_id % 307 <> 11)"""
+    return f"""WITH l AS ({replica("pages")}), r AS ({replica(damaged)})
+    SELECT coalesce(l.warc_file, r.warc_file) AS warc_file, coalesce(l.page_id, r.page_id) AS page_id,
+        l."offset" AS offset_left, l.length AS length_left, l.digest AS digest_left, r."offset" AS offset_right, r.length AS length_right, r.digest AS digest_right,
+        CASE WHEN l.digest IS NULL THEN 'added' WHEN r.digest IS NULL THEN 'missing' WHEN l.length <> r.length THEN 'resized' ELSE 'altered' END AS fault
+    FROM l FULL JOIN r ON l.page_id = r.page_id WHERE l.digest IS DISTINCT FROM r.digest"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op2_warc_audit": op2_warc_audit()}

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import cnn, html_text, language, quality_rules
+from alertlake.llm import cnn, html_text, language, packing, pieces, quality_rules, warc
 from alertlake.llm.frames import id_text, residue
 
+# Folder of public vocabulary files; the setting alertlake.tokenizers names another one.
+TOKENIZERS = "/opt/tokenizers"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,6 +20,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def damaged_pages(pages: DataFrame) -> DataFrame:
+    """A replica with known damage: some pages lost, some cut short, some with one character changed."""
+    page = F.col("page_id")
+    html = (
+        F.when(page % 211 == 3, F.expr("substring(html, 1, length(html) - 7)"))
+        .when(page % 101 == 7, F.concat(F.lit("#"), F.expr("substring(html, 2)")))
+        .otherwise(F.col("html"))
+    )
+    return pages.where(F.coalesce(page % 307 != 11, F.lit(True))).withColumn("html", html)
+
+
+def op2_warc_audit(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    trees = [warc.fixity_tree(warc.records(replica)) for replica in (pages, damaged_pages(pages))]
+    return warc.audit(*trees)
+
+
+def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = pieces.read_vocabulary(f"{spark.conf.get('alertlake.tokenizers', TOKENIZERS)}/piece_bpe_32k.model")
+    return pieces.encode(id_text(table(spark, sf, "documents"), "doc_id", "text"), vocabulary).drop("text")
+
+
 def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf, "pages"))
 
@@ -41,6 +66,12 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return cnn.classify(texts, net).drop("text")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    sized = docs.select("doc_id", packing.word_count(F.col("text")).alias("n_words"), "source", packing.copy_cluster(F.col("text")).alias("cluster"))
+    return packing.pack(sized)
+
+
 def all_queries() -> dict[str, Query]:
-    named = [op5_html_extraction, op6_quality_rules, op7_language_id, op9_quality_classifier]
+    named = [op2_warc_audit, op3_sentencepiece, op5_html_extraction, op6_quality_rules, op7_language_id, op9_quality_classifier, op10_best_fit_packing]
     return {query.__name__: query for query in named}
