@@ -24,5 +24,15 @@ def op2_warc_audit() -> str:
     FROM l FULL JOIN r ON l.page_id = r.page_id WHERE l.digest IS DISTINCT FROM r.digest"""
 
 
+def op4_embedding_dedup() -> str:
+    """All pairs, and the smallest id that can be reached over links."""
+    return """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT a AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, a = component_id AS kept FROM least LEFT JOIN counts USING (a)"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op2_warc_audit": op2_warc_audit()}
+    return {"op2_warc_audit": op2_warc_audit(), "op4_embedding_dedup": op4_embedding_dedup()}

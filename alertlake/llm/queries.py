@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import cnn, html_text, language, packing, pieces, quality_rules, warc
+from alertlake.llm import cnn, embedding_dedup, html_text, language, packing, pieces, quality_rules, warc
 from alertlake.llm.frames import id_text, residue
 
 # Folder of public vocabulary files; the setting alertlake.tokenizers names another one.
@@ -42,6 +42,10 @@ def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode(id_text(table(spark, sf, "documents"), "doc_id", "text"), vocabulary).drop("text")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf, "pages"))
 
@@ -73,5 +77,5 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    named = [op2_warc_audit, op3_sentencepiece, op5_html_extraction, op6_quality_rules, op7_language_id, op9_quality_classifier, op10_best_fit_packing]
+    named = [op2_warc_audit, op3_sentencepiece, op4_embedding_dedup, op5_html_extraction, op6_quality_rules, op7_language_id, op9_quality_classifier, op10_best_fit_packing]
     return {query.__name__: query for query in named}
