@@ -3,6 +3,21 @@
 from __future__ import annotations
 
 
+def op1_minhash_dedup() -> str:
+    """Exact similarity of all pairs that share a shingle, and the smallest id that can be reached over links."""
+    return r"""WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingles AS (
+        SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) >= 5
+        UNION SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT a AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, a = component_id AS kept FROM least LEFT JOIN sizes ON doc_id = a"""
+
+
 def op2_warc_audit() -> str:
     """Compare every record of both replicas, without trees."""
 
@@ -35,4 +50,4 @@ def op4_embedding_dedup() -> str:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op2_warc_audit": op2_warc_audit(), "op4_embedding_dedup": op4_embedding_dedup()}
+    return {"op1_minhash_dedup": op1_minhash_dedup(), "op2_warc_audit": op2_warc_audit(), "op4_embedding_dedup": op4_embedding_dedup()}

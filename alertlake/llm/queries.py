@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import cnn, embedding_dedup, html_text, language, packing, pieces, quality_rules, warc
+from alertlake.llm import cnn, embedding_dedup, html_text, language, minhash_dedup, packing, pieces, quality_rules, warc
 from alertlake.llm.frames import id_text, residue
 
 # Folder of public vocabulary files; the setting alertlake.tokenizers names another one.
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
 def damaged_pages(pages: DataFrame) -> DataFrame:
     """A replica with known damage: some pages lost, some cut short, some with one character changed."""
     page = F.col("page_id")
@@ -77,5 +81,5 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    named = [op2_warc_audit, op3_sentencepiece, op4_embedding_dedup, op5_html_extraction, op6_quality_rules, op7_language_id, op9_quality_classifier, op10_best_fit_packing]
+    named = [op1_minhash_dedup, op2_warc_audit, op3_sentencepiece, op4_embedding_dedup, op5_html_extraction, op6_quality_rules, op7_language_id, op9_quality_classifier, op10_best_fit_packing]
     return {query.__name__: query for query in named}
