@@ -49,5 +49,22 @@ def op4_embedding_dedup() -> str:
     SELECT a AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, a = component_id AS kept FROM least LEFT JOIN counts USING (a)"""
 
 
+def op8_suffix_dedup() -> str:
+    """Every 50-byte string (100 hexadecimal digits) with its smallest document; covered bytes as merged spans."""
+    return """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    windows AS (SELECT doc_id, p, md5_number(x[2 * p + 1:2 * p + 100]) AS s FROM h, unnest(range(0, len(x) // 2 - 49)) AS t(p)),
+    firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+    hits AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE first < doc_id),
+    steps AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, TRUE) AS new FROM hits),
+    groups AS (SELECT doc_id, p, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM steps),
+    spans AS (SELECT doc_id, min(p) AS low, max(p) + 50 AS high FROM groups GROUP BY doc_id, g),
+    gaps AS (SELECT doc_id, high AS a, lead(low) OVER (PARTITION BY doc_id ORDER BY low) AS b, low, row_number() OVER (PARTITION BY doc_id ORDER BY low) AS k FROM spans),
+    kept AS (SELECT h.doc_id, max(CASE WHEN k = 1 THEN x[1:2 * low] END) || string_agg(x[2 * a + 1:2 * coalesce(b, len(x) // 2)], '' ORDER BY a) AS y FROM gaps JOIN h USING (doc_id) GROUP BY h.doc_id),
+    sums AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+    SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+        sha256(unhex(coalesce(y, x))) AS kept_sha256
+    FROM h LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op1_minhash_dedup": op1_minhash_dedup(), "op2_warc_audit": op2_warc_audit(), "op4_embedding_dedup": op4_embedding_dedup()}
+    return {"op1_minhash_dedup": op1_minhash_dedup(), "op2_warc_audit": op2_warc_audit(), "op4_embedding_dedup": op4_embedding_dedup(), "op8_suffix_dedup": op8_suffix_dedup()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import cnn, embedding_dedup, html_text, language, minhash_dedup, packing, pieces, quality_rules, warc
+from alertlake.llm import cnn, embedding_dedup, html_text, language, minhash_dedup, packing, pieces, quality_rules, suffix_dedup, warc
 from alertlake.llm.frames import id_text, residue
 
 # Folder of public vocabulary files; the setting alertlake.tokenizers names another one.
@@ -67,6 +67,10 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(texts, model).drop("text")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = id_text(table(spark, sf, "documents"), "doc_id", "text")
     net = cnn.train(docs, table(spark, sf, "labels").where(residue("doc_id", 4) != 2))
@@ -81,5 +85,5 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    named = [op1_minhash_dedup, op2_warc_audit, op3_sentencepiece, op4_embedding_dedup, op5_html_extraction, op6_quality_rules, op7_language_id, op9_quality_classifier, op10_best_fit_packing]
+    named = [op1_minhash_dedup, op2_warc_audit, op3_sentencepiece, op4_embedding_dedup, op5_html_extraction, op6_quality_rules, op7_language_id, op8_suffix_dedup, op9_quality_classifier, op10_best_fit_packing]
     return {query.__name__: query for query in named}
