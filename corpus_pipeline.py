@@ -5,21 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alertlake.llm import quality_rules
+from alertlake.llm import cnn, minhash_dedup, packing, quality_rules, suffix_dedup
 from alertlake.llm.frames import residue, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows that models may learn from; the others are held out."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(residue("doc_id", 4) != 2)
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte network scores below its threshold go."""
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return cnn.keep_good(docs, cnn.train(corpus, training_labels(spark, sf_dir)))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the boosted trees go."""
     corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(residue("doc_id", 4) != 2)
-    return quality_rules.keep_good(docs, quality_rules.fit(corpus, labels))
+    return quality_rules.keep_good(docs, quality_rules.fit(corpus, training_labels(spark, sf_dir)))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays; rows without an id all stay."""
+    gone = minhash_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that an earlier document holds are cut out; n_chars follows the text."""
+    cut = suffix_dedup.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of words in which no source and no text occurs twice: one row per document or part of a long one."""
+    words, copies = packing.word_count(F.col("text")), packing.copy_cluster(F.col("text"))
+    return packing.pack(docs.select("doc_id", words.alias("n_words"), "source", copies.alias("cluster")))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", rules)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", classify),
+    ("quality rules", rules),
+    ("near copies", near_copies),
+    ("repeated passages", repeated_passages),
+    ("packing", pack),
+]
 
 # Classifiers, trees and packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
