@@ -117,8 +117,8 @@ requests AS (SELECT *, json_extract_string(raw, '$.url') AS url, json_extract_st
 hits AS (SELECT *, url_decode(regexp_extract(url, '^[^?#]*')) AS path, trim(split_part(x_forwarded_for, ',', 1)) AS ip
   FROM requests WHERE url_decode(regexp_extract(url, '^[^?#]*')) IN ('/api/.env', '/api/.git/config')),
 stats AS (SELECT path, ip, count(*) AS hits, min(ts_us) AS first_us, max(ts_us) AS last_us,
-  string_agg(DISTINCT method, ',' ORDER BY method) AS methods, string_agg(DISTINCT url, ',' ORDER BY url) AS urls,
-  string_agg(DISTINCT container_name, ',' ORDER BY container_name) AS containers
+  count(DISTINCT nullif(method, '')) AS n_methods, count(DISTINCT nullif(url, '')) AS n_urls,
+  count(DISTINCT nullif(container_name, '')) AS n_containers
   FROM hits WHERE ip <> '' GROUP BY path, ip)"""
 
 GAP_US, LONGEST_US = int(q.GAP * 1_000_000), int(q.LONGEST * 1_000_000)
@@ -240,6 +240,7 @@ def all_oracles() -> dict[str, str]:
         "write_batches": f"""WITH RECURSIVE {BATCHES} SELECT strftime(make_timestamp(last_us), '%Y-%m-%d') AS day,
             count(*) AS batches, sum(count)::BIGINT AS events, max(last_us) AS last_us FROM emitted GROUP BY 1""",
         "read_batches": emitted,
+        "append_batches": emitted,
         "fan_out": f"WITH {EV}, singles AS ({SINGLE}) SELECT {BATCH_COLUMNS} FROM singles",
         "outbox": f"""WITH RECURSIVE {BATCHES},
             errors AS (SELECT host, log_id, batch_no, bool_or(level = 'ERROR') AS has_error FROM kept_cut GROUP BY ALL
@@ -307,9 +308,11 @@ def all_oracles() -> dict[str, str]:
         "flush_batches": emitted,
         "sort_events": f"""WITH RECURSIVE {BATCHES} SELECT k.log_id, b.flushed_us,
             CAST(row_number() OVER (PARTITION BY k.host, k.log_id, k.batch_no ORDER BY k.ts_us, k.in_us, k.seq) - 1 AS INTEGER) AS place,
-            k.ts_us, k.raw FROM kept_cut k JOIN batches b USING (host, log_id, batch_no) WHERE b.by_size""",
+            k.ts_us, k.raw FROM kept_cut k JOIN batches b USING (host, log_id, batch_no) WHERE b.has_alert
+            UNION ALL SELECT log_id, in_us, 0, ts_us, raw FROM ev WHERE alert AND log_id = 'unknown'""",
         "keep_last": f"""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY host, log_id ORDER BY in_us DESC, seq DESC) AS rn
-            FROM grouped WHERE NOT alert) SELECT host, log_id, seq FROM r WHERE rn <= 20""",
+            FROM grouped) SELECT host, log_id, seq FROM r WHERE rn <= 20
+            AND NOT (ascii(right(log_id, 1)) % 2 = 0 AND EXISTS (SELECT 1 FROM grouped g WHERE g.host = r.host AND g.log_id = r.log_id AND g.alert))""",
         "pending_groups": f"""WITH {EV}, w AS (SELECT *, min(CASE WHEN alert THEN in_us // {INTERVAL_US} END) OVER (PARTITION BY host, log_id
               ORDER BY in_us // {INTERVAL_US} RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS batch_tick FROM grouped)
             SELECT host, log_id, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS count
@@ -319,6 +322,9 @@ def all_oracles() -> dict[str, str]:
         ),
         "stream_batches": emitted,
         "group_commits": emitted,
+        "live_job": emitted.replace(
+            " AS line) FROM raw)", " AS line) FROM raw WHERE regexp_full_match(container_name, 'api-[^/]*|w[^/]b-[0-2]|db'))", 1
+        ),
         "backfill_windows": f"WITH {WINDOWS} SELECT host, container, start_us, end_us, gap_us, reason FROM windows",
         "merge_windows": f"WITH {WINDOWS} SELECT host, start_us, end_us, gap_us FROM merged",
         "mark_suppressed": f"""WITH RECURSIVE {BATCHES}, {WINDOWS[len(RAW) + 1 :]},
@@ -388,7 +394,7 @@ def all_oracles() -> dict[str, str]:
             SELECT doc_id, md5(p) AS payload_md5, CAST(strlen(p) AS INTEGER) AS bytes FROM sent""",
         "send_schedule": f"""WITH RECURSIVE {STATUS},
             queue AS (SELECT concat('hook-', component) AS webhook, seq, epoch_us(ts) AS at_us,
-              row_number() OVER (PARTITION BY component ORDER BY ts, seq) AS place FROM status WHERE NOT ok),
+              row_number() OVER (PARTITION BY component ORDER BY ts, seq) AS place FROM status),
             walk AS (SELECT webhook, seq, place, at_us AS send_us FROM queue WHERE place = 1
               UNION ALL SELECT n.webhook, n.seq, n.place, greatest(n.at_us, w.send_us + 3600000000)
               FROM walk w JOIN queue n ON n.webhook = w.webhook AND n.place = w.place + 1)
@@ -408,7 +414,7 @@ def all_oracles() -> dict[str, str]:
         "probe_values": f"""WITH RECURSIVE {REQUESTS}, v AS (SELECT path, ip, 'method' AS kind, method AS value FROM hits
               UNION ALL SELECT path, ip, 'url', url FROM hits UNION ALL SELECT path, ip, 'container', container_name FROM hits)
             SELECT path, ip, kind, value, count(*) AS hits FROM v GROUP BY ALL""",
-        "probe_stats": f"WITH RECURSIVE {REQUESTS} SELECT path, ip, hits, first_us, last_us, methods, urls, containers FROM stats",
+        "probe_stats": f"WITH RECURSIVE {REQUESTS} SELECT path, ip, hits, first_us, last_us, n_methods, n_urls, n_containers FROM stats",
         "rank_probes": f"""WITH RECURSIVE {REQUESTS} SELECT CAST(CASE path WHEN '/api/.env' THEN 1 ELSE 2 END AS BIGINT) AS path_position, path,
             row_number() OVER (PARTITION BY path ORDER BY hits DESC, ip) AS rank, ip, hits FROM stats""",
         "path_summary": f"""WITH RECURSIVE {REQUESTS}, targets AS (SELECT * FROM (VALUES (1, '/api/.env'), (2, '/api/.git/config'), (3, '/never'))

@@ -20,6 +20,11 @@ WORD_ENDS = "(?![0-9A-Za-z_])"
 WORDS_AHEAD = re.compile(r"[0-9A-Za-z_]|\((?:\?:)?\w+(?:\|\w+)*\)(?![?*{])", re.ASCII)
 WORDS_BEFORE = re.compile(r"(?:(?<!\\)[0-9A-Za-z_]|(?<!\\)\((?:\?:)?\w+(?:\|\w+)*\))\Z", re.ASCII)
 OPTIONAL_AHEAD = re.compile(r"[0-9A-Za-z_][?*{]")
+# What Java reads and RE2 refuses: back references and a few escapes, lookaround, atomic groups, possessive repetition.
+FOREIGN_ESCAPES = re.compile(r"\\[1-9kZGRXhHceNV]")
+FOREIGN_GROUPS = re.compile(r"\(\?(?:[=!>]|<[=!])")
+QUANTIFIER = re.compile(r"(?:[*+?]|\{\d+(?:,\d*)?\})(\??)(\+?)")
+FLAGS = re.compile(r"[ims]*(?:-[ims]+)?")
 SPACE = r"\t\n\f\r "
 
 
@@ -43,9 +48,12 @@ class Pattern:
 def to_java(source: str) -> str:
     """Spell an RE2 expression so that Java reads it with RE2's meaning."""
     out, i, in_class, multiline = ["(?d)"], 0, False, False
+    outer: list[bool] = []  # whether $ ends lines around each open group
     while i < len(source):
         two = source[i : i + 2]
         if two[:1] == "\\":
+            if FOREIGN_ESCAPES.match(two):
+                raise PatternError(f"escape {two} is not supported: {source!r}")
             if in_class:
                 out.append(SPACE if two == r"\s" else two)
             else:
@@ -77,18 +85,35 @@ def to_java(source: str) -> str:
                 if source.startswith(lead, i + 1):
                     out.append(lead if lead == "^" else r"\]")
                     i += 1
+        elif FOREIGN_GROUPS.match(source, i):
+            raise PatternError(f"lookaround and atomic groups are not supported: {source!r}")
+        elif quantifier := QUANTIFIER.match(source, i):
+            if quantifier[2]:
+                raise PatternError(f"possessive repetition is not supported: {source!r}")
+            out.append(quantifier[0])
+            i = quantifier.end() - 1
         elif source.startswith("(?P<", i):
+            outer.append(multiline)
             out.append("(?<")
             i += 3
-        elif source.startswith("(?", i) and source[i + 2 : i + 3] not in ("", ":", "<", "=", "!"):
+        elif source.startswith("(?", i) and source[i + 2 : i + 3] not in ("", ":", "<"):
             end = min((p for p in (source.find(")", i), source.find(":", i)) if p > 0), default=len(source))
             flags = source[i + 2 : end]
             on, _, off = flags.partition("-")
-            if "U" in flags:
-                raise PatternError(f"flag U is not supported: {source!r}")
+            if not FLAGS.fullmatch(flags):
+                raise PatternError(f"flags {flags} are not supported: {source!r}")
+            if source[end : end + 1] == ":":
+                outer.append(multiline)
             multiline = ("m" in on) or (multiline and "m" not in off)
-            out.append(source[i:end])
-            i = end - 1
+            # RE2 folds all letters, Java without its flag u only ASCII.
+            out.append("(?" + on + ("u" if "i" in on else "") + flags[len(on) :] + source[end : end + 1])
+            i = end
+        elif char == "(":
+            outer.append(multiline)
+            out.append(char)
+        elif char == ")":
+            multiline = outer.pop() if outer else multiline
+            out.append(char)
         elif char == "$":
             out.append("$" if multiline else r"\z")
         else:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertlake.functions.times import duration_text
 from alertlake.operators.health import health_batch
-from alertlake.plans.slices import KEY_ROWS, KeyWindow, checkpointed, time_slice
+from alertlake.plans.slices import SLICE, KeyWindow, checkpointed, time_slice
 from alertlake.schema import BATCH_FIELDS
 
 # Fixed values.
@@ -30,7 +30,8 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
     """
     stream = ["host", "container"]
     lines = raw.select("host", F.col("container.name").alias("container"), "timestamp", "ingest_ts")
-    lines = lines.withColumn("bucket", time_slice(F.col("ingest_ts"), max(threshold, 1)))
+    width = threshold if threshold > 0 else 1
+    lines = lines.withColumn("bucket", time_slice(F.col("ingest_ts"), width))
     # Rows less than a threshold apart share a bucket or lie in adjoining ones, so first and last row of each bucket
     # show every gap: no window needs the rows themselves.
     buckets = lines.groupBy(*stream, "bucket").agg(
@@ -53,7 +54,6 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
     )
 
     watched = F.least("limit", "next_start")
-    width = max(threshold, 1)
     spans = windows.select(
         *stream,
         "start_ts",
@@ -81,10 +81,9 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
     )
 
 
-def merge_windows(windows: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+def merge_windows(windows: DataFrame) -> DataFrame:
     """Windows of a host: it is in replay while any of its streams is."""
-    windows = checkpointed(windows)
-    by_host = KeyWindow.fit(windows, ["host"], ["start_ts", "container"], key_rows)
+    by_host = KeyWindow(["host"], ["start_ts", "container"])
     reached = by_host.max(windows, F.col("end_ts"), "reached", including=False)
     fresh = F.when(F.col("reached").isNull() | (F.col("start_ts") >= F.col("reached")), 1).otherwise(0)
     islands = by_host.sum(reached, fresh, "island")

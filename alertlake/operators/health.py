@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.functions.text import non_blank, trim_space
-from alertlake.plans.slices import KEY_ROWS, KeyWindow
+from alertlake.plans.slices import SLICE, KeyWindow
 from alertlake.schema import BATCH_FIELDS
 
 # Fixed values.
@@ -14,23 +14,23 @@ HEALTH_PREFIX = "monitor.health."
 DEGRADED_AT = 3
 
 
-def failure_runs(status: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+def failure_runs(status: DataFrame) -> DataFrame:
     """Status rows with ``failures``: how many failures in a row end here or, at a success, ended just before."""
-    window = KeyWindow.fit(status, ["host", "component"], ["ts", "seq"], key_rows)
+    window = KeyWindow(["host", "component"], ["ts", "seq"])
     failed = F.when(F.col("ok"), 0).otherwise(1)
     counted = window.sum(status, failed, "_failed")
     # The count of failures never falls, so its greatest value at a success is the one at the last success.
     based = window.max(counted, F.when(F.col("ok"), F.col("_failed")), "_base", including=False)
     runs = window.sum(based, F.when(F.col("ok"), 1).otherwise(0), "run_id")
-    return runs.withColumn("failures", F.col("_failed") - F.coalesce("_base", F.lit(0))).drop("_failed", "_base")
+    return runs.withColumn("failures", F.col("_failed") - F.coalesce("_base", F.lit(0))).drop("_failed", "_base", SLICE)
 
 
-def health_transitions(status: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+def health_transitions(status: DataFrame) -> DataFrame:
     """ERROR at the third failure in a row, INFO at the first success after three or more."""
-    runs = failure_runs(status, key_rows)
-    degraded = runs.where(~F.col("ok") & (F.col("failures") == DEGRADED_AT)).withColumn("level", F.lit("ERROR"))
-    recovered = runs.where(F.col("ok") & (F.col("failures") >= DEGRADED_AT)).withColumn("level", F.lit("INFO"))
-    return degraded.unionByName(recovered)
+    degraded = ~F.col("ok") & (F.col("failures") == DEGRADED_AT)
+    recovered = F.col("ok") & (F.col("failures") >= DEGRADED_AT)
+    level = F.when(degraded, "ERROR").when(recovered, "INFO")
+    return failure_runs(status).withColumn("level", level).where(F.col("level").isNotNull())
 
 
 def health_batch(at: Column, component: Column, level: Column, message: Column, raw: Column, first_seen: Column | None = None):

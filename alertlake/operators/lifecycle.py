@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from alertlake.functions.patterns import matches_globs
 from alertlake.functions.text import trim_space
 from alertlake.operators.lines import bare_name
-from alertlake.plans.slices import KEY_ROWS, KeyWindow, checkpointed, largest_key
+from alertlake.plans.slices import SLICE, KeyWindow
 
 # Actions that open and close a log stream, and states that count as alive.
 OPENING = ["start", "restart", "unpause", "rename"]
@@ -35,10 +35,10 @@ def normalize_container_events(events: DataFrame, own_id: str = "") -> DataFrame
     return rows.where(trim_space(F.col("id")) != own_id) if own_id else rows
 
 
-def slot_changes(events: DataFrame, patterns, key_rows: int = KEY_ROWS) -> tuple[DataFrame, KeyWindow]:
+def slot_changes(events: DataFrame, patterns) -> tuple[DataFrame, KeyWindow]:
     """Changes of what is watched under each name: ``holder`` is the container id from then on, NULL for none.
 
-    With them comes the window over names, in the form that suits their number.
+    With them comes the window over names, and the rows keep their slices for it.
 
     A name is a slot. Opening a container puts its id into the slot of its name, also over another id. Closing it
     empties the slot of its last name, and so does opening it under another name.
@@ -48,18 +48,13 @@ def slot_changes(events: DataFrame, patterns, key_rows: int = KEY_ROWS) -> tuple
     closes = F.col("action").isin(CLOSING) | (~watched & (F.col("action") == "rename"))
     rows = events.where(opens | closes).withColumn("opens", opens)
 
-    # An event makes two slot rows at most, so if even a whole host fits one task, no key has to be looked at.
-    small = 2 * largest_key(rows, ["host"]) <= key_rows
-    by_id = KeyWindow(["host", "id"], ORDER) if small else KeyWindow.fit(rows, ["host", "id"], ORDER, key_rows)
-    named = by_id.last(rows, F.when(F.col("opens"), F.col("name")), "old_name")
+    named = KeyWindow(["host", "id"], ORDER).last(rows, F.when(F.col("opens"), F.col("name")), "old_name")
     enters = F.when(F.col("opens"), F.struct(F.col("name").alias("name"), F.lit(True).alias("enters")))
     moved = F.col("old_name").isNotNull() & (~F.col("opens") | (F.col("old_name") != F.col("name")))
     leaves = F.when(moved, F.struct(F.col("old_name").alias("name"), F.lit(False).alias("enters")))
     slots = named.select("host", "ts", "seq", "id", F.inline(F.array_compact(F.array(enters, leaves))))
 
-    if not small:
-        slots = checkpointed(slots)
-    by_name = KeyWindow(["host", "name"], ORDER) if small else KeyWindow.fit(slots, ["host", "name"], ORDER, key_rows)
+    by_name = KeyWindow(["host", "name"], ORDER)
     held = by_name.last(slots, F.when(F.col("enters"), F.col("id")), "newest", including=True)
     # Leaving counts only for the container that entered last.
     effective = held.where(F.col("enters") | (F.col("id") == F.col("newest")))
@@ -67,17 +62,17 @@ def slot_changes(events: DataFrame, patterns, key_rows: int = KEY_ROWS) -> tuple
     steps = by_name.last(state, F.struct("holder"), "previous")
     changed = F.col("previous").isNull() | ~F.col("previous.holder").eqNullSafe(F.col("holder"))
     changes = steps.where(changed).select(
-        "host", "name", "ts", "seq", "holder", F.col("previous.holder").alias("old_holder")
+        "host", "name", "ts", "seq", "holder", F.col("previous.holder").alias("old_holder"), SLICE
     )
     return changes, by_name
 
 
-def container_sessions(events: DataFrame, patterns, key_rows: int = KEY_ROWS) -> DataFrame:
+def container_sessions(events: DataFrame, patterns) -> DataFrame:
     """``[start_ts, end_ts)`` of every watched stream; ``end_ts`` is NULL while it is open.
 
     ``replaced_by`` is the id that took the name at the end of the session, if one did.
     """
-    changes, by_name = slot_changes(events, patterns, key_rows)
+    changes, by_name = slot_changes(events, patterns)
     ended = by_name.next(changes, F.struct("ts", "holder"), "end")
     return ended.where(F.col("holder").isNotNull()).select(
         "host",
@@ -90,20 +85,20 @@ def container_sessions(events: DataFrame, patterns, key_rows: int = KEY_ROWS) ->
     )
 
 
-def container_replacements(events: DataFrame, patterns, key_rows: int = KEY_ROWS) -> DataFrame:
+def container_replacements(events: DataFrame, patterns) -> DataFrame:
     """Moments at which a name passed from one container straight to another."""
-    changes, _ = slot_changes(events, patterns, key_rows)
+    changes, _ = slot_changes(events, patterns)
     straight = F.col("old_holder").isNotNull() & F.col("holder").isNotNull()
     return changes.where(straight).select(
         "host", "name", "ts", "seq", F.col("old_holder").alias("old_id"), F.col("holder").alias("new_id")
     )
 
 
-def container_renames(events: DataFrame, patterns, key_rows: int = KEY_ROWS) -> DataFrame:
+def container_renames(events: DataFrame, patterns) -> DataFrame:
     """Moments at which a container came back under another name."""
     watched = (F.col("name") != "") & matches_globs(F.col("name"), patterns)
     opens = events.where(watched & F.col("action").isin(OPENING) & (trim_space(F.col("id")) != ""))
-    by_id = KeyWindow.fit(opens, ["host", "id"], ORDER, key_rows)
+    by_id = KeyWindow(["host", "id"], ORDER)
     named = by_id.last(opens, F.col("name"), "old_name")
     return named.where(F.col("old_name") != F.col("name")).select(
         "host", "id", "ts", "seq", "old_name", F.col("name").alias("new_name")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from alertlake.functions import text as tx
 from alertlake.functions.patterns import matches_globs
 from alertlake.functions.times import split_timestamp_prefix as split_prefix
+from alertlake.settings import Settings
 
 
 def bare_name(name: Column) -> Column:
@@ -82,3 +83,9 @@ def debug_lines(raw: DataFrame) -> DataFrame:
     time = F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.date_format(stamp, "XXX"))
     line = F.format_string("%s [%s] [%s] %s", time, F.col("container.name"), F.col("stream"), F.col("line"))
     return raw.select(line.alias("value"))
+
+
+def watched_lines(raw: DataFrame, settings: Settings, own_id: str = "", many_hosts: bool = False) -> DataFrame:
+    """The front of every job: lines of the containers to watch, without the monitor's own, named by host where there are several."""
+    lines = exclude_container(match_containers(raw, settings.include_patterns), own_id)
+    return prefix_host(lines) if many_hosts else lines

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alertlake.functions import text as tx
 from alertlake.operators.health import HEALTH_PREFIX
-from alertlake.plans.slices import KEY_ROWS, KeyWindow
+from alertlake.plans.slices import SLICE, KeyWindow
 from alertlake.settings import Settings
 
 # The texts and limits of a message.
@@ -21,8 +21,6 @@ PAYLOAD_NOTICE = "\n\n... (已截断)"
 DETAIL_BYTES = 5000
 PAYLOAD_BYTES = 20000
 SEND_SECONDS = 4.0
-# Steps of a binary search over the characters of a text of at most 2^21.
-SEARCH_STEPS = 22
 
 
 def is_health(log_id: Column) -> Column:
@@ -202,8 +200,9 @@ def fit_payload(build, body: Column, limit: int = PAYLOAD_BYTES) -> Column:
             open_ & fits(middle), F.struct(middle.alias("low"), bounds["high"].alias("high"))
         ).when(open_, F.struct(bounds["low"].alias("low"), (middle - 1).alias("high"))).otherwise(bounds)
 
-    bounds = F.struct(F.lit(0).alias("low"), F.length(text).alias("high"))
-    best = F.aggregate(F.sequence(F.lit(1), F.lit(SEARCH_STEPS)), bounds, halve)["low"]
+    # A character takes a byte at least, so no longer prefix fits, and halving ends after as many steps as the limit has bits.
+    bounds = F.struct(F.lit(0).alias("low"), F.least(F.length(text), F.lit(limit)).alias("high"))
+    best = F.aggregate(F.sequence(F.lit(1), F.lit(limit.bit_length())), bounds, halve)["low"]
     whole = build(body)
     return F.when(F.octet_length(whole) <= limit, whole).when(fits(F.lit(0)), build(cut(best)))
 
@@ -242,16 +241,16 @@ def notifications(batches: DataFrame, settings: Settings, zone: str | None = Non
 
 
 def send_schedule(
-    messages: DataFrame, keys: Sequence[str], order: Sequence[str], interval: float = SEND_SECONDS, key_rows: int = KEY_ROWS
+    messages: DataFrame, keys: Sequence[str], order: Sequence[str], interval: float = SEND_SECONDS
 ) -> DataFrame:
     """Send time of each message of a queue: its arrival, or ``interval`` after the one before it if that is later.
 
     With n the place in the queue, slot(n) = n·d + max over k ≤ n of (arrival(k) − k·d). ``order`` starts with the
-    arrival time. All messages may share one queue, so this runs in slices when the queue is long.
+    arrival time. All messages may share one queue, so this runs in slices.
     """
     step = int(interval * 1_000_000)
-    window = KeyWindow.fit(messages, keys, order, key_rows)
+    window = KeyWindow(keys, order)
     placed = window.sum(messages, F.lit(1).cast("bigint"), "place")
     lead = F.unix_micros(F.col(order[0])) - F.col("place") * step
     queued = window.max(placed, lead, "_lead")
-    return queued.withColumn("send_at", F.timestamp_micros(F.col("place") * step + F.col("_lead"))).drop("_lead")
+    return queued.withColumn("send_at", F.timestamp_micros(F.col("place") * step + F.col("_lead"))).drop("_lead", SLICE)

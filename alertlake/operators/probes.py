@@ -17,8 +17,6 @@ from alertlake.schema import REQUEST_FIELDS
 # Fixed values.
 DEFAULT_PATHS = ("/api/.env", "/api/.git/config")
 REQUEST_MESSAGE = "request"
-# Lists longer than this are left to ``probe_values``, which holds all of them as rows.
-INLINE_VALUES = 10_000
 
 
 def target_paths(given: Sequence[str] = ()) -> list[str]:
@@ -95,51 +93,19 @@ def probe_values(hits: DataFrame) -> DataFrame:
     return _values(_combinations(hits))
 
 
-def probe_stats(hits: DataFrame, inline: int = INLINE_VALUES) -> DataFrame:
-    """Hits per path and client, first and last time seen, and the distinct values.
+def probe_stats(hits: DataFrame) -> DataFrame:
+    """Hits per path and client, first and last time seen, and how many methods, URLs and containers there are.
 
-    A list with more than ``inline`` values is NULL here, its length still given; ``probe_values`` has its rows.
-    Values are made distinct and counted before any list is collected.
+    The values themselves are the rows of ``probe_values``: a client may have any number of them.
     """
     key = ["path", "ip"]
-    # Stored once: the steps below would each scan the batches again.
+    # Stored once: both steps below would scan the batches again.
     combinations = checkpointed(_combinations(hits))
     seen = combinations.groupBy(*key).agg(
         F.sum("hits").alias("hits"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     )
-    values = _values(combinations)
-    counts = values.groupBy(*key).agg(
-        *[F.count_if(F.col("kind") == kind).alias(f"n_{kind}s") for kind in KINDS]
-    )
-
-    def small(kind: str) -> Column:
-        return (F.col("kind") == kind) & (F.col(f"n_{kind}s") <= inline)
-
-    lists = (
-        values.join(counts, key)
-        .where(small("method") | small("url") | small("container"))
-        .groupBy(*key)
-        .agg(
-            *[
-                F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(f"{kind}s")
-                for kind in KINDS
-            ]
-        )
-    )
-    listed = seen.join(counts, key, "left").join(lists, key, "left")
-    number = {kind: F.coalesce(f"n_{kind}s", F.lit(0)) for kind in KINDS}
-    empty = F.array().cast("array<string>")
-    return listed.select(
-        *key,
-        "hits",
-        "first_seen",
-        "last_seen",
-        *[count.alias(f"n_{kind}s") for kind, count in number.items()],
-        *[
-            F.when(count <= inline, F.coalesce(f"{kind}s", empty)).alias(f"{kind}s")
-            for kind, count in number.items()
-        ],
-    )
+    counts = _values(combinations).groupBy(*key).agg(*[F.count_if(F.col("kind") == kind).alias(f"n_{kind}s") for kind in KINDS])
+    return seen.join(counts, key, "left").fillna(0, [f"n_{kind}s" for kind in KINDS])
 
 
 def _positions(stats: DataFrame, paths: Sequence[str]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from alertlake.operators.backfill import backfill_summary, backfill_windows, mark_suppressed, merge_windows
 from alertlake.operators.batches import flush_batches
 from alertlake.operators.health import health_batches, health_transitions
-from alertlake.operators.lines import exclude_container, match_containers, prefix_host
+from alertlake.operators.lines import prefix_host, watched_lines
 from alertlake.operators.notify import notifications, send_schedule
 from alertlake.operators.parse import parse_events
 from alertlake.operators.probes import DEFAULT_PATHS, probe_hits, probe_stats, rank_probes
@@ -39,7 +39,7 @@ def run_alerts(
     What is read several times is stored once: events (to sample, to sort, to count) and batches (to file, to notify,
     to measure the queue).
     """
-    lines = exclude_container(match_containers(raw, settings.include_patterns), own_id)
+    lines = watched_lines(raw, settings, own_id)
     events = checkpointed(parse_events(prefix_host(lines) if many_hosts else lines, settings))
     windows = merge_windows(
         backfill_windows(lines, settings.seconds("backfill_threshold"), settings.seconds("backfill_max_duration"))

@@ -8,6 +8,8 @@ earlier ones is carried over from one summary row per key and slice.
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -16,19 +18,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE = "slice"
-# Rows of one key that a window task is given at most.
-KEY_ROWS = 5_000_000
-# Estimated size of a slice; estimates tend to be low for text that has been parsed.
-SLICE_BYTES = 32 << 20
+# Rows of a slice, and the least that is worth a slice of its own.
+SLICE_ROWS, SMALL_ROWS = 200_000, 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: named by the cluster, made here only where none is named."""
+    """The folder that all executors see, named by the cluster. Only a local session may do without: it gets one here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="alertlake-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -46,11 +48,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def slice_count(df: DataFrame) -> int:
-    """As many slices as shuffle partitions, fewer for an input that is known to be small."""
-    spark = df.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(most, max(spark.sparkContext.defaultParallelism, known // SLICE_BYTES))
+    """Slices of ``SLICE_ROWS`` by the measured number of rows, however many; a small input is spread over the cores."""
+    rows = df.count()
+    return max(math.ceil(rows / SLICE_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / SMALL_ROWS)), 1)
 
 
 def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
@@ -77,25 +77,16 @@ def time_slice(ts: Column, seconds: float) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(int(seconds * 1_000_000))).cast("bigint")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly expressions over an input of fewer splits than cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def largest_key(rows: DataFrame, keys: Sequence[str]) -> int:
-    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 class KeyWindow:
-    """Running values over ``keys`` in ``order``; each method returns the rows with one more column.
+    """Running values over ``keys`` in ``order``, for keys of any size; each method adds one column to the rows.
 
-    While every key fits one task this is a plain window. With a larger key among them it works in slices.
+    The first step sorts the rows into slices and stores them; further steps on its result use the same slices, as long as
+    the rows keep the column ``slice``. Drop it in the end.
     """
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str], sliced: bool = False):
-        self.keys, self.order, self.sliced = list(keys), list(order), sliced
-        within = Window.partitionBy(*self.keys, *([SLICE] if sliced else []))
+    def __init__(self, keys: Sequence[str], order: Sequence[str]):
+        self.keys, self.order = list(keys), list(order)
+        within = Window.partitionBy(*self.keys, SLICE)
         across = Window.partitionBy(*self.keys)
         self.up_to = within.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
         self.before = within.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
@@ -104,11 +95,6 @@ class KeyWindow:
         self.after = within.orderBy(*map(F.desc, self.order)).rowsBetween(Window.unboundedPreceding, -1)
         self.later = across.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
 
-    @classmethod
-    def fit(cls, rows: DataFrame, keys: Sequence[str], order: Sequence[str], key_rows: int = KEY_ROWS):
-        """Measure the largest key to choose the form."""
-        return cls(keys, order, largest_key(rows, keys) > key_rows)
-
     def last(self, rows: DataFrame, value: Column, name: str, including: bool = False) -> DataFrame:
         """Last non-null value before the row, or up to it."""
         newest = F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order)))
@@ -136,15 +122,10 @@ class KeyWindow:
         return self._run(rows, name, local, F.max(value), lambda v: F.max(v).over(self.earlier), F.greatest)
 
     def _run(self, rows, name, local, summary, carry, combine) -> DataFrame:
-        if not self.sliced:
-            return rows.withColumn(name, local)
-        # Both the rows and the summary read the stored slices, so a chain of steps does not repeat its input.
-        stored = range_slices(rows, self.keys, self.order)
+        sliced = rows if SLICE in rows.columns else range_slices(rows, self.keys, self.order)
         keys = [*self.keys, SLICE]
-        slices = stored.groupBy(*keys).agg(summary.alias("_slice_value")).withColumn("_carried", carry(F.col("_slice_value")))
+        slices = sliced.groupBy(*keys).agg(summary.alias("_slice_value")).withColumn("_carried", carry(F.col("_slice_value")))
         right = slices.select(*[F.col(key).alias(f"_{key}") for key in keys], "_carried")
         same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
-        joined = stored.withColumn(name, local).join(right, same, "left")
-        return joined.withColumn(name, combine(F.col(name), F.col("_carried"))).drop(
-            SLICE, "_carried", *[f"_{key}" for key in keys]
-        )
+        joined = sliced.withColumn(name, local).join(right, same, "left")
+        return joined.withColumn(name, combine(F.col(name), F.col("_carried"))).drop("_carried", *[f"_{key}" for key in keys])

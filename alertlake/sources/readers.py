@@ -71,15 +71,20 @@ def _read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
+def _good_lines(stored: DataFrame, size: Column) -> DataFrame:
+    """Lines that could be read. ``size``, of a data column, keeps the reader from a scan of the bad lines alone, which Spark refuses."""
+    return stored.where(F.col(BAD_LINE).isNull() & (size >= 0)).drop(BAD_LINE)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """Stored batches below a folder, one per line; lines that are no batch are skipped, see ``bad_lines``."""
-    stored = _read_stored(spark, path, BATCH).where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
+    stored = _good_lines(_read_stored(spark, path, BATCH), F.length(F.coalesce("log_id", F.lit(""))))
     return stored.withColumn("suppress_alert_sinks", F.coalesce("suppress_alert_sinks", F.lit(False)))
 
 
 def read_probe_batches(spark: SparkSession, path: str) -> DataFrame:
     """Only what the probe queries need of stored batches."""
-    return _read_stored(spark, path, PROBE_BATCH).where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
+    return _good_lines(_read_stored(spark, path, PROBE_BATCH), F.size(F.coalesce("events", F.array())))
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:

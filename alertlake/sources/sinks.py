@@ -20,8 +20,9 @@ Sink = Callable[[DataFrame, int], None]
 
 
 def with_day(batches: DataFrame) -> DataFrame:
-    """Where a batch is filed: month and day of its last event in UTC, health batches apart."""
-    at = F.coalesce("last_seen", F.current_timestamp())
+    """Where a batch is filed: month and day in UTC of its last event or else its end, health batches apart."""
+    known = [name for name in ("last_seen", "flushed_at") if name in batches.columns]
+    at = F.coalesce(*known, F.current_timestamp())
     utc = F.convert_timezone(None, F.lit("UTC"), at)
     return batches.withColumns(
         {
@@ -32,24 +33,24 @@ def with_day(batches: DataFrame) -> DataFrame:
     )
 
 
-def write_batches(batches: DataFrame, path: str, commit: int = 0) -> None:
+def _stored(rows: DataFrame, commit: int | None):
+    """A writer that replaces what an earlier try of the same commit has left, or without a commit adds to what is there."""
+    named = rows.withColumn("commit", F.lit(-1 if commit is None else commit))
+    writer = named.write.mode("append" if commit is None else "overwrite")
+    return writer if commit is None else writer.option("partitionOverwriteMode", "dynamic")
+
+
+def write_batches(batches: DataFrame, path: str, commit: int | None = None) -> None:
     """Store batches as JSON lines under month, day and kind.
 
-    Files of one commit replace what an earlier try of the same commit has left, and nothing else. Rebalancing brings
-    the rows of a folder together, so that there are few files, and splits a busy day among several tasks.
+    Files of a numbered commit replace what an earlier try of that commit has left, and nothing else; without a number the
+    batches are added. Rebalancing brings the rows of a folder together, so that there are few files, and splits a busy
+    day among several tasks.
     """
     filed = with_day(batches.select(*[c for c in BATCH_FIELDS if c in batches.columns]))
     muted = F.when(F.col("suppress_alert_sinks"), True)
-    (
-        filed.withColumn("suppress_alert_sinks", muted)
-        .withColumn("commit", F.lit(commit))
-        .hint("rebalance", "month", "day", "kind")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("timestampFormat", TIME_FORM)
-        .partitionBy("month", "day", "kind", "commit")
-        .json(path)
-    )
+    placed = filed.withColumn("suppress_alert_sinks", muted).hint("rebalance", "month", "day", "kind")
+    _stored(placed, commit).option("timestampFormat", TIME_FORM).partitionBy("month", "day", "kind", "commit").json(path)
 
 
 def file_sink(path: str) -> Sink:
@@ -59,14 +60,8 @@ def file_sink(path: str) -> Sink:
 def outbox_sink(path: str, settings: Settings, zone: str | None = None) -> Sink:
     """Notification rows of each commit, for a sender outside of Spark."""
 
-    def write(batches: DataFrame, commit: int) -> None:
-        rows = notifications(batches, settings, zone).withColumn("commit", F.lit(commit))
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("commit")
-            .parquet(path)
-        )
+    def write(batches: DataFrame, commit: int | None = None) -> None:
+        _stored(notifications(batches, settings, zone), commit).partitionBy("commit").parquet(path)
 
     return write
 

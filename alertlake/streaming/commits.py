@@ -8,6 +8,7 @@ before it and replaces its own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,19 @@ def _groups_of(spark: SparkSession, state: str, commit: int) -> DataFrame:
     return spark.read.parquet(_commit_path(state, commit))
 
 
+def last_commit(spark: SparkSession, state: str) -> int:
+    """Number of the newest commit of a state folder, -1 if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(state)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
+    return max((int(name[7:]) for name in names if re.fullmatch(r"commit=\d+", name)), default=-1)
+
+
+def _ended(spark: SparkSession, state: str, commit: int) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/ended={commit}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def _reopened(groups: DataFrame, room: int) -> DataFrame:
     """Rows that the open groups still hold; what is known of the rows they have dropped goes with the first."""
     waiting = groups.where(~F.col("done"))
@@ -67,7 +81,10 @@ def group_commit(events: DataFrame, commit: int, state: str, flush_size: int, in
     nothing = {name: F.lit(None).cast(kind) for name, kind in CARRIED.items()} | {"dropped": F.lit(0).cast("bigint")}
     rows = grouped_events(events).drop("unknown_log_id").withColumns({"fresh": F.lit(1), **nothing})
     if commit > 0:
-        rows = rows.unionByName(_reopened(_groups_of(spark, state, commit - 1), room))
+        open_ = _groups_of(spark, state, commit - 1)
+        if _ended(spark, state, commit - 1):
+            open_ = open_.where("NOT has_alert")
+        rows = rows.unionByName(_reopened(open_, room))
     marked, newest = mark_batches(rows, flush_size, interval, order=ORDER)
 
     facts = marked.groupBy(*KEYS, "batch_id").agg(
@@ -100,6 +117,13 @@ def final_flush(spark: SparkSession, commit: int, state: str, flush_size: int, i
     return as_batches(groups.where("NOT done AND has_alert"), flush_size, interval).select(*BATCH_FIELDS, "cause")
 
 
+def close_groups(spark: SparkSession, commit: int, state: str, flush_size: int, interval: float) -> DataFrame:
+    """``final_flush``, and a note in the state folder that these groups have left; a later commit starts without them."""
+    batches = final_flush(spark, commit, state, flush_size, interval)
+    spark.range(1).write.mode("overwrite").parquet(f"{state}/ended={commit}")
+    return batches
+
+
 def grouping_sink(state: str, flush_size: int, interval: float, sink: Sink) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch`` on a stream of events: group each commit and hand its batches to a sink."""
 

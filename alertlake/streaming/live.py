@@ -7,18 +7,19 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from alertlake.operators.backfill import mark_suppressed
 from alertlake.operators.batches import event_struct, is_single
+from alertlake.operators.lines import watched_lines
 from alertlake.operators.parse import parse_events
 from alertlake.plans.batch_scan import BUFFER_FACTOR
 from alertlake.schema import BATCH_FIELDS, EVENT
 from alertlake.settings import Settings
 from alertlake.sources.sinks import Sink, best_effort, fan_out, file_sink, outbox_sink
-from alertlake.streaming.commits import grouping_sink
+from alertlake.streaming.commits import close_groups, grouping_sink, last_commit
 
 # The state processor travels with the job, so that workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,16 +37,15 @@ OUTPUT = (
 class GroupBuffer(StatefulProcessor):
     """Open group of one key: its newest events, and what is known of all of them."""
 
-    def __init__(self, flush_size: int, interval: float, timers: bool, ttl_seconds: float):
+    def __init__(self, flush_size: int, interval: float, timers: bool):
         self.size, self.room = max(flush_size, 1), max(flush_size, 1) * BUFFER_FACTOR
-        self.interval, self.timers, self.ttl = int(interval * 1_000_000), timers, int(ttl_seconds * 1000)
+        self.interval, self.timers = int(interval * 1_000_000), timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        ttl = {"ttlDurationMs": self.ttl} if self.timers else {}
-        self.events = handle.getListState("events", "ts long, arrival long, seq long, line string", **ttl)
+        self.events = handle.getListState("events", "ts long, arrival long, seq long, line string")
         self.facts = handle.getValueState(
-            "facts", "first long, last long, alert boolean, tick long, total long, containers array<string>", **ttl
+            "facts", "first long, last long, alert boolean, tick long, total long, containers array<string>"
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -146,14 +146,12 @@ def _time(micros):
     return pd.NaT if micros is None or pd.isna(micros) else pd.Timestamp(int(micros), unit="us")
 
 
-def stream_batches(
-    events: DataFrame, flush_size: int, interval: float, continuous: bool = True, ttl_seconds: float = 3600
-) -> DataFrame:
+def stream_batches(events: DataFrame, flush_size: int, interval: float, continuous: bool = True) -> DataFrame:
     """Batches of a stream of events, by size and by interval.
 
     Ticks follow the arrival times of the rows. With ``continuous``, a timer also ends groups whose key has gone
-    quiet, and groups that wait for an alert are forgotten after ``ttl_seconds``. Without it, for runs over what is
-    available, a quiet group is ended by a row whose ``marker`` is true (a column of its own, optional).
+    quiet. Without it, for runs over what is available, a quiet group is ended by a row whose ``marker`` is true (a
+    column of its own, optional). A group that waits for an alert is never forgotten.
     """
     # Keyed state in several columns needs this state store, which also keeps large state out of the heap.
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -171,7 +169,7 @@ def stream_batches(
         F.to_json(event_struct(), JSON_TIME).alias("line"),
         marker.alias("marker"),
     )
-    processor = GroupBuffer(flush_size, interval, continuous, ttl_seconds)
+    processor = GroupBuffer(flush_size, interval, continuous)
     mode = "ProcessingTime" if continuous else "None"
     batches = rows.groupBy("host", "log_id", "salt").transformWithStateInPandas(processor, OUTPUT, "append", mode)
     parsed = F.transform("lines", lambda line: F.from_json(line, EVENT, JSON_TIME))
@@ -191,14 +189,17 @@ def alert_sink(settings: Settings, outbox: str | None, windows: Callable[[], Dat
 
 def start_alerts(
     raw: DataFrame, settings: Settings, checkpoint: str, outbox: str | None = None, continuous: bool = True,
-    windows: Callable[[], DataFrame] | None = None, state: str | None = None,
+    windows: Callable[[], DataFrame] | None = None, state: str | None = None, own_id: str = "", many_hosts: bool = False,
 ) -> StreamingQuery:
     """Run the whole job on a stream of raw lines. ``windows`` reads the replay windows anew for each commit.
 
+    Lines are filtered by container and prefixed as in the batch job. A job over what is available ends with open groups;
+    ``end_alerts`` flushes those of a ``state`` folder.
+
     Groups are kept in keyed state or, with a ``state`` folder, commit by commit: choose the latter where one id may
     hold much of the stream.
     """
-    events, interval = parse_events(raw, settings), settings.seconds("flush_interval")
+    events, interval = parse_events(watched_lines(raw, settings, own_id, many_hosts), settings), settings.seconds("flush_interval")
     sink = alert_sink(settings, outbox, windows)
     if state:
         writer = events.writeStream.foreachBatch(grouping_sink(state, settings.flush_size, interval, sink))
@@ -208,3 +209,18 @@ def start_alerts(
     writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
     trigger = {"processingTime": f"{interval} seconds"} if continuous else {"availableNow": True}
     return writer.trigger(**trigger).start()
+
+
+def end_alerts(
+    spark: SparkSession, settings: Settings, state: str, outbox: str | None = None, windows: Callable[[], DataFrame] | None = None
+) -> int:
+    """End a job that groups commit by commit: its open groups with an alert go to the sinks, under the number of the last commit.
+
+    Calling it again, or going on with the stream, does not send them twice. Returns the number of the commit.
+    """
+    commit = last_commit(spark, state)
+    if commit >= 0:
+        batches = close_groups(spark, commit, state, settings.flush_size, settings.seconds("flush_interval"))
+        # Its files stand beside those of the commit itself: numbers of ends are negative.
+        alert_sink(settings, outbox, windows)(batches.drop("cause"), -2 - commit)
+    return commit

@@ -12,7 +12,13 @@ def tables():
     return compare.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+def test_library_queries_have_sql():
+    from alertlake.catalog import oracles, queries
+
+    assert sorted(queries.all_queries()) == sorted(oracles.all_oracles())
+
+
+@pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
 def test_query_equals_its_sql(spark, tables, name):
     frame = __spark_entry__.queries()[name](spark, SF_DIR)
     assert compare.difference(frame, tables, __spark_entry__.oracle_sql()[name]) == ""

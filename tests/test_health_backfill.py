@@ -32,15 +32,14 @@ def test_degraded_and_recovered(spark):
     assert (last.events[0].level, last.events[0].raw) == ("INFO", "docker event stream recovered\nconsecutive_failures=4")
 
 
-@pytest.mark.parametrize("key_rows", [10**6, 0])
-def test_failure_runs_equal_a_model(spark, key_rows):
+def test_failure_runs_equal_a_model(spark):
     rnd = random.Random(4)
     flags = [rnd.random() < 0.4 for _ in range(200)]
     run, expected = 0, []
     for ok in flags:
         expected.append(run if ok else run + 1)
         run = 0 if ok else run + 1
-    got = health.failure_runs(status(spark, flags), key_rows).orderBy("seq").collect()
+    got = health.failure_runs(status(spark, flags)).orderBy("seq").collect()
     assert [r.failures for r in got] == expected
 
 
@@ -80,10 +79,9 @@ def merged(spark, rows, **options):
     return backfill.merge_windows(table, **options)
 
 
-@pytest.mark.parametrize("key_rows", [10**6, 0])
-def test_overlapping_windows_are_one(spark, key_rows):
+def test_overlapping_windows_are_one(spark):
     rows = [("a", 0, 100, 5), ("b", 10, 20, 9), ("c", 50, 150, 7), ("a", 150, 160, 1), ("d", 400, 400, 2)]
-    got = merged(spark, rows, key_rows=key_rows).orderBy("start_ts").collect()
+    got = merged(spark, rows).orderBy("start_ts").collect()
     assert [(second(r.start_ts), second(r.end_ts), r.disconnected_for) for r in got] == [(0, 150, 9.0), (150, 160, 1.0), (400, 400, 2.0)]
 
 

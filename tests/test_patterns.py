@@ -80,3 +80,18 @@ def test_trim_and_bytes(spark):
     assert one(spark, "\u3000 a\u00a0b \x85\n", tx.trim_space(F.col("t"))) == "a\u00a0b"
     assert one(spark, "日志日志", tx.byte_prefix(F.col("t"), 7)) == "日志"
     assert one(spark, "abcd", tx.byte_prefix(F.col("t"), 3)) == "abc"
+
+
+@pytest.mark.parametrize("source", ["(?=a)", "a(?!b)", "(?<=a)b", "(?<!a)b", "(?>a)", r"(a)\1", "a++", "a*+", "a{2}+", "(?x)a", r"a\Z", "(?U)a"])
+def test_what_re2_refuses_is_refused(spark, source):
+    with pytest.raises(PatternError):
+        compile_pattern(source)
+
+
+@pytest.mark.parametrize(
+    "source, text, found",
+    [("(?i)ошибка", "ОШИБКА", True), ("(?i)échec", "Échec", True), ("(?i:é)é", "Éé", True), ("(?i:é)é", "ÉÉ", False), ("(?m:^a$)|b$", "b\nc", False), ("(?m:^a$)|b$", "c\na\nd", True), ("a{2}?b", "aab", True)],
+)
+def test_folding_and_line_ends(spark, source, text, found):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(compile_pattern(source).matches(F.col("t")).alias("m")).first().m is found

@@ -80,16 +80,17 @@ def test_stats_and_rank(hits):
         ("/api/.env", 1, "a", 2), ("/api/.env", 2, "b", 2), ("/api/.env", 3, "d", 1), ("/api/.git/config", 1, "c", 1),
     ]
     first = got[1]
-    assert (first.urls, first.methods, first.containers) == (["/api/.env?a", "/api/.env?b"], ["GET"], ["app-0", "app-1"])
+    assert (first.n_urls, first.n_methods, first.n_containers) == (2, 1, 2)
     assert (first.first_seen, first.last_seen) == (T, T + dt.timedelta(seconds=1))
-    assert got[2].methods == [] and got[2].n_methods == 0
+    assert got[2].n_methods == 0
     assert probes.total_hits(hits).first().hits == 6
 
 
-def test_long_lists_stay_rows(hits):
-    row = probes.probe_stats(hits, inline=1).where("ip = 'b'").first()
-    assert row.urls is None and row.n_urls == 2 and row.methods == ["GET"]
-    assert probes.probe_values(hits).where("ip = 'b' AND kind = 'url'").count() == 2
+def test_values_are_rows(hits):
+    rows = probes.probe_values(hits).where("ip = 'b' AND path = '/api/.env'").collect()
+    assert {(r.kind, r.value, r.hits) for r in rows} == {
+        ("url", "/api/.env?a", 1), ("url", "/api/.env?b", 1), ("method", "GET", 2), ("container", "app-0", 1), ("container", "app-1", 1),
+    }
 
 
 def test_summary_has_paths_without_hits(hits):
