@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = bands.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("hub")).where("members > 1")
     shared = stored(bands.join(hubs, "band").select("band", "id", "n", "members", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "bands")
     first = shared.where("id <> hub").where(sizes_fit("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    texts = stored(read.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"), "texts")
+    texts = stored(read.join(shared.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "text"), "texts")
     likely = stored(likely_pairs(first, classes, percent), "pairs")
     links = stored(confirmed(likely, texts, percent), "links")
     rest = rest_pairs(shared, components(links), classes, percent).join(likely, ["a", "b"], "left_anti")
