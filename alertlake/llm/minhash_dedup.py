@@ -3,8 +3,8 @@
 Documents with equal shingle sets are one class. Classes that share a band are candidates. First every class is compared
 with the smallest id of each of its bands (the hub). Bands whose members are then still in several components are searched whole: the
 members outside the band's main component against all others, in tiles of ``TILE`` members, so that a band of any size is split
-over many tasks. In both steps the sketches estimate the similarity, and pairs that reach ``LEAST`` are confirmed on
-the full sets. Pairs inside one component need no link of their own, so a large group is never expanded into all pairs.
+over many tasks. In both steps the sketches estimate the similarity, and pairs that reach the threshold less ``MARGIN`` are
+confirmed on the full sets. Pairs inside one component need no link of their own, so a large group is never expanded into all pairs.
 
 Defined results: a null or empty text has no shingles and is linked with nothing. A null id is returned with itself alone: no
 component, kept. Repeated ids stand for one document with several texts; each row is returned. Only the two named columns
@@ -28,7 +28,7 @@ from alertlake.llm.shingles import mix, shingle_set
 PERCENT = 85
 # A pair is confirmed on its full sets from this estimate on: four standard errors of the sketch below the threshold.
 MARGIN = 0.1
-TILE = 1024
+TILE, TILE_SHINGLES = 1024, 1_000_000
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
@@ -114,35 +114,58 @@ def labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
     return rows.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def rest_pairs(bands: DataFrame, component: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): likely pairs of different components within a band that the hubs have not brought together."""
+def rest_links(bands: DataFrame, component: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components within a band that the hubs have not brought together.
+
+    A tile compares its pairs in place, each pair in the first band that it shares, and returns no more links than join its
+    components; so the rows that leave a tile do not grow with the pairs in it.
+    """
     rows = labelled(bands.where("members > 2").select("band", "id", "n"), component)
-    parts = rows.groupBy("band", "component").agg(F.count("*").alias("count"))
-    main = parts.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("all"), F.max("count").alias("most"))
-    # A band of a hub and one other component per member has nothing left to compare only if it has two members.
-    mixed = main.where("parts > 1").select("band", "main", F.ceil(F.col("all") / TILE).alias("columns"), F.ceil((F.col("all") - F.col("most")) / TILE).alias("rows"))
-    members = stored(rows.join(mixed, "band").join(classes.select("id", "sketch"), "id"), "mixed-bands")
+    parts = rows.groupBy("band", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    main = parts.groupBy("band").agg(
+        F.max(F.struct("count", "n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("count"), F.sum("n").alias("n")
+    ).where("parts > 1")
+
+    def tiles(count, n):
+        return F.greatest(F.ceil(count / TILE), F.ceil(n / TILE_SHINGLES), F.lit(1))
+
+    mixed = main.select("band", F.col("main.component").alias("main"), tiles(F.col("count"), F.col("n")).alias("columns"), tiles(F.col("count") - F.col("main.count"), F.col("n") - F.col("main.n")).alias("rows"))
+    members = stored(rows.join(mixed, "band").join(classes.select("id", "sketch"), "id"), "mixed-bands").join(texts, "id")
     place = F.xxhash64("id")
-    common = ["id", "n", "component", "sketch"]
+    common = ["id", "n", "component", "sketch", "text"]
     asks = members.where("component <> main").select("band", F.pmod(place, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), *common, F.lit(True).alias("asks"))
     all_ = members.select("band", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(place, "columns").alias("j"), *common, F.lit(False).alias("asks"))
     least = percent / 100 - MARGIN
 
     def run(table: pa.Table) -> pa.Table:
         ask = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        ids, n, component_ = (table.column(name).to_numpy() for name in ("id", "n", "component"))
-        rows_ = unpack(table.column("sketch"))
-        a_found, b_found = [], []
-        others, other_n, other_ids, other_c = rows_[~ask], n[~ask], ids[~ask], component_[~ask]
+        ids, n, label = (table.column(name).to_numpy().copy() for name in ("id", "n", "component"))
+        sketch = unpack(table.column("sketch"))
+        keys = band_keys(sketch)
+        here = int((keys[0] == table.column("band")[0].as_py()).argmax())
+        sets = [shingle_set(value.as_py().encode()) for value in table.column("text")]
+        other = np.flatnonzero(~ask)
+        known, spelled = np.unique(np.concatenate([sets[i] for i in other]), return_inverse=True) if len(other) else (np.zeros(0, np.uint64), np.zeros(0, int))
+        bounds = np.concatenate([[0], np.cumsum([len(sets[i]) for i in other])[:-1]]).astype(np.int64)
+        found = []
         for k in np.flatnonzero(ask):
-            fit = (other_c != component_[k]) & (100 * np.minimum(other_n, n[k]) >= percent * np.maximum(other_n, n[k]))
-            fit = np.flatnonzero(fit)
+            fit = other[(label[other] != label[k]) & (100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k]))]
+            fit = fit[(keys[fit] == keys[k]).argmax(axis=1) == here]
             if len(fit):
-                good = fit[slope(least, *compare(rows_[k][None], others[fit]), n[k] / (n[k] + other_n[fit])) >= 0]
-                a_found.append(np.minimum(other_ids[good], ids[k]))
-                b_found.append(np.maximum(other_ids[good], ids[k]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_found, b_found))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                fit = fit[slope(least, *compare(sketch[k][None], sketch[fit]), n[k] / (n[k] + n[fit])) >= 0]
+            if not len(fit):
+                continue
+            mine = np.zeros(len(known), np.int32)
+            at = np.minimum(np.searchsorted(known, sets[k]), len(known) - 1)
+            mine[at[known[at] == sets[k]]] = 1
+            both = np.zeros(len(ids), np.int64)
+            both[other] = np.add.reduceat(mine[spelled], bounds)
+            for i in fit[100 * both[fit] >= percent * (n[k] + n[fit] - both[fit])]:
+                if label[i] != label[k]:
+                    found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                    label[label == label[i]] = label[k]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return asks.union(all_).groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
@@ -160,8 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stored(read.join(shared.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "text"), "texts")
     likely = stored(likely_pairs(first, classes, percent), "pairs")
     links = stored(confirmed(likely, texts, percent), "links")
-    rest = rest_pairs(shared, components(links), classes, percent).join(likely, ["a", "b"], "left_anti")
-    component = components(links.union(confirmed(rest, texts, percent)))
+    component = components(links.union(rest_links(shared, components(links), classes, texts, percent)))
     rows = marks.join(classes.select("print", "id"), "print", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
     named = labelled(rows, component).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
