@@ -126,7 +126,8 @@ WINDOWS = f"""{RAW},
 rows_w AS (SELECT host, container_name AS container, epoch_us(ts) AS ts_us, epoch_us(ingest_ts) AS in_us, seq FROM raw),
 gaps AS (SELECT *, in_us - lag(in_us) OVER (PARTITION BY host, container ORDER BY in_us, seq) AS gap_us FROM rows_w),
 opened AS (SELECT host, container, in_us AS start_us, gap_us,
-  lead(in_us) OVER (PARTITION BY host, container ORDER BY in_us) AS next_us FROM gaps WHERE gap_us >= {GAP_US}),
+  lead(in_us) OVER (PARTITION BY host, container ORDER BY in_us) AS next_us FROM gaps WHERE gap_us >= {GAP_US}
+  AND ts_us < in_us - 30000000),
 ends AS (SELECT host, max(in_us) AS input_us FROM rows_w GROUP BY host),
 caught AS (SELECT o.host, o.container, o.start_us, min(r.in_us) AS caught_us FROM opened o JOIN rows_w r
   ON r.host = o.host AND r.container = o.container AND r.in_us >= o.start_us AND (o.next_us IS NULL OR r.in_us < o.next_us)
@@ -333,7 +334,7 @@ def all_oracles() -> dict[str, str]:
             SELECT log_id, flushed_us, suppress_alert_sinks, count(*) AS batches, sum(count)::BIGINT AS events FROM marked GROUP BY 1, 2, 3""",
         "backfill_summary": f"""WITH {EV}, {WINDOWS[len(RAW) + 1 :]},
             n AS (SELECT w.host, w.island, w.start_us, w.end_us, w.gap_us, (SELECT count(*) FROM ev e WHERE e.host = w.host AND e.alert
-              AND e.in_us >= w.start_us AND e.in_us < w.end_us) AS alerts, CAST(round(w.gap_us / 1e6) AS BIGINT) AS s FROM merged w)
+              AND e.in_us >= w.start_us AND e.in_us < w.end_us) AS alerts, CAST(round(w.gap_us / 1e6) AS BIGINT) AS s FROM merged w WHERE w.start_us < w.end_us)
             SELECT host, 'monitor.health.docker.log_backfill' AS log_id, start_us AS first_us, end_us AS last_us,
               concat('docker log backfill completed: previously offline for ', s // 3600, 'h', s // 60 % 60, 'm', s % 60, 's, replayed ',
                 alerts, ' matching events (see persisted log file)') AS message FROM n""",

@@ -25,8 +25,9 @@ def _after(ts, seconds: float):
 def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> DataFrame:
     """Replay windows of each container stream.
 
-    A window opens when a stream that was silent for ``threshold`` seconds delivers again. It ends with the first
-    line written no more than 30 s before that moment, or ``max_duration`` later, or with the input.
+    A window opens when a stream that was silent for ``threshold`` seconds delivers again and begins with an old line, one
+    written more than 30 s before it arrives; a container that had nothing to say opens none. The window ends with the
+    first line written no more than 30 s before its start, or ``max_duration`` later, or with the input.
     """
     stream = ["host", "container"]
     lines = raw.select("host", F.col("container.name").alias("container"), "timestamp", "ingest_ts")
@@ -35,12 +36,15 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
     # Rows less than a threshold apart share a bucket or lie in adjoining ones, so first and last row of each bucket
     # show every gap: no window needs the rows themselves.
     buckets = lines.groupBy(*stream, "bucket").agg(
-        F.min("ingest_ts").alias("first_row"), F.max("ingest_ts").alias("last_row")
+        F.min("ingest_ts").alias("first_row"),
+        F.max("ingest_ts").alias("last_row"),
+        F.min_by("timestamp", F.struct("ingest_ts", "timestamp")).alias("first_written"),
     )
     buckets = checkpointed(buckets)
     in_order = Window.partitionBy(*stream).orderBy("bucket")
     gap = (F.unix_micros("first_row") - F.unix_micros(F.lag("last_row").over(in_order))) / 1e6
-    opened = buckets.withColumn("disconnected_for", gap).where(F.col("disconnected_for") >= threshold)
+    late = F.col("first_written") < _after("first_row", -REALTIME_SLACK)
+    opened = buckets.withColumn("disconnected_for", gap).where(late & (F.col("disconnected_for") >= threshold))
     if threshold <= 0:
         opened = opened.where(F.lit(False))
     input_end = buckets.groupBy("host").agg(F.max("last_row").alias("input_end"))
@@ -50,7 +54,7 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
         .join(input_end, "host")
         .withColumns({"start_ts": F.col("first_row"), "timer": timer})
         .withColumn("limit", F.least("timer", "input_end"))
-        .drop("bucket", "first_row", "last_row")
+        .drop("bucket", "first_row", "last_row", "first_written")
     )
 
     watched = F.least("limit", "next_start")
@@ -134,7 +138,7 @@ def replayed_alerts(events: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def backfill_summary(events: DataFrame, merged: DataFrame) -> DataFrame:
-    """One warning batch per window: how long the host was offline and how much was replayed."""
+    """One warning batch per window that lasts: how long the host was offline and how much was replayed."""
     stamp = "yyyy-MM-dd'T'HH:mm:ssXXX"
     offline = duration_text(F.round("disconnected_for").cast("bigint"))
     message = F.concat(
@@ -153,6 +157,6 @@ def backfill_summary(events: DataFrame, merged: DataFrame) -> DataFrame:
         F.concat(F.lit("replayed_alert_count="), F.col("alerts").cast("string")),
         F.concat(F.lit("end_reason="), F.col("reason")),
     )
-    rows = replayed_alerts(events, merged)
+    rows = replayed_alerts(events, merged.where("start_ts < end_ts"))
     columns = health_batch(F.col("end_ts"), F.lit("docker.log_backfill"), F.lit("WARN"), message, raw, F.col("start_ts"))
     return rows.select(*columns).select(*BATCH_FIELDS)

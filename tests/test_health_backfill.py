@@ -73,6 +73,11 @@ def test_short_gaps_open_nothing(spark):
     assert windows(spark, [("a", 0, 0), ("a", 500, 0)], threshold=0) == []
 
 
+def test_silence_alone_opens_nothing(spark):
+    assert windows(spark, [("a", 0, 0), ("a", 500, 499), ("a", 1000, 970), ("a", 1500, None)]) == []
+    assert windows(spark, [("a", 0, 0), ("a", 0.7, -60)], threshold=0.5) == [("a", 0, 0, 0.7, backfill.STOPPED)]
+
+
 def merged(spark, rows, **options):
     made = [("h", name, at(start), at(end), float(gap), "r") for name, start, end, gap in rows]
     table = spark.createDataFrame(made, "host string, container string, start_ts timestamp, end_ts timestamp, disconnected_for double, reason string")
