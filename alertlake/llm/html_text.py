@@ -25,7 +25,7 @@ from alertlake.llm.frames import quoted
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|title|button)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -34,15 +34,18 @@ CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""
 # Elements that hold other blocks and make up a path.
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tbody tr td th figure details center".split())
 # Elements that begin a new line of text without being part of a path.
-BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote hr caption figcaption address legend option button summary".split())
+BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote hr caption figcaption address legend summary".split())
 # Elements and class words that never hold the article.
-NOISE_TAGS = frozenset("nav header footer aside form button option legend dialog head".split())
+NOISE_TAGS = frozenset("nav header footer aside form".split())
+# Elements whose class says how the page is laid out, not what they hold; and such words on other elements.
+LAYOUT_TAGS = frozenset("html body main".split())
+LAYOUT_WORD = re.compile(r"\b(?:with|has|no)-[\w-]+", re.I)
 NOISE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|menu|nav\w*|"
     r"breadcrumbs?|sidebar|widget|related|recommend\w*|share|social|footer|header|masthead|comments?|replies|disqus|login|search)(?:$|[\s_-])",
     re.I,
 )
-ALONE = frozenset("br hr img input meta link source wbr area base col embed param track".split())
+UNSEEN = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 DIGITS = re.compile(r"\d+")
 LEAST_SHARE = 0.02
 
@@ -114,7 +117,8 @@ def parse(page: str) -> list[Element]:
                 above = elements[stack[-1]]
                 marks = [(name.lower(), value.strip("\"'")) for name, value in CLASS.findall(token["rest"])]
                 classes = sorted(DIGITS.sub("#", word) for name, value in marks if name == "class" for word in value.split())
-                noise = above.noise or tag in NOISE_TAGS or any(NOISE_WORDS.search(value) for _, value in marks)
+                words = [] if tag in LAYOUT_TAGS else [LAYOUT_WORD.sub("", value) for _, value in marks]
+                noise = above.noise or tag in NOISE_TAGS or any(map(NOISE_WORDS.search, words)) or bool(UNSEEN.search(token["rest"]))
                 elements.append(Element(f"{above.path}>{'.'.join([tag, *classes])}", tag, noise, stack[-1]))
                 stack.append(len(elements) - 1)
     if at < len(page):

@@ -4,6 +4,7 @@ A text is cut into marked words, a run of spaces with what follows it; no piece
 which is checked when the vocabulary is read. The distinct new words of a batch are sorted, which is the depth-first order
 of their trie: forward scores of the common prefix with the word before are reused, only the rest is searched. The best
 segmentation maximises the sum of the pieces' scores (the unigram rule); characters that no piece covers become byte pieces.
+A vocabulary of merges holds ranks instead of scores, which are taken as Zipf weights.
 
 Decoding joins the bytes of the pieces, so that it returns the text exactly where the vocabulary has byte pieces.
 
@@ -13,6 +14,7 @@ Other columns are not read; one named like an output is replaced. An empty table
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -53,6 +55,10 @@ def read_vocabulary(path: str) -> Vocabulary:
     model = proto.ModelProto()
     model.ParseFromString(SentencePieceProcessor(model_file=path).serialized_model_proto())
     kinds = proto.ModelProto.SentencePiece
+    if model.trainer_spec.model_type == proto.TrainerSpec.BPE:
+        # Its scores are no probabilities but ranks, from 0 down; by Zipf's law a piece of rank r has about the weight 1 / (2 + r).
+        for piece in model.pieces:
+            piece.score = -math.log(2 - piece.score) if piece.type == kinds.NORMAL else piece.score
     normal = [piece.score for piece in model.pieces if piece.type == kinds.NORMAL] or [0.0]
     best, worst = max(normal), min(normal)
     pieces, texts, byte_ids, unknown = {}, [], [-1] * 256, 0

@@ -1,3 +1,4 @@
+import math
 import os
 
 import numpy as np
@@ -152,8 +153,8 @@ def test_gram_counts_do_not_depend_on_pieces(monkeypatch):
 
 def test_extraction(spark):
     page = (
-        '<html><head><title>t</title><style>p{}</style><script>x="<p>no</p>"</script></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav>'
-        '<div class="ad">buy now</div><article id=1><h1>Head&amp;line</h1><p><b>One  two.<br><p>Three &lt;four&gt;\n five</p><!-- c --><form><p>sign up</p></form>'
+        '<html><head><title>t</title><style>p{}</style><script>x="<p>no</p>"</script></head><body class="has-sidebar with-comments"><nav><ul><li><a href="/a">menu</a></li></ul></nav>'
+        '<div class="ad">buy now</div><article id=1><h1>Head&amp;line</h1><p><b>One  two.<br><p>Three &lt;four&gt;\n five</p><!-- c --><form><p>sign up</p></form><button>go</button><div style="display: none"><p>unseen</p></div>'
         '<div class="comments"><p>first!</p></div><div><p>inner text</p></div></article><footer>&copy; us</footer>'
     )
     text = "Head&line\nOne two.\nThree <four> five\ninner text"
@@ -182,9 +183,14 @@ def test_encoding_equals_the_library_with_the_unigram_rule(tmp_path):
     model = proto.ModelProto()
     model.ParseFromString(sentencepiece.SentencePieceProcessor(model_file=MODEL).serialized_model_proto())
     model.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
-    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    for piece in model.pieces:
+        piece.score = -math.log(2 - piece.score) if piece.type == 1 else piece.score
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
     texts = ["Hello  world\nfoo é 漢", "a", " lead and trail ", PLAIN[:300], "\tx  \n\n y 😀", "internationalization of the thing", "é", "();\r\n"]
     encoder = pieces.Encoder(pieces.read_vocabulary(MODEL))
+    assert pieces.Encoder(pieces.read_vocabulary(str(path))).encode(texts) == encoder.encode(texts)
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert ids == library.encode(text), text
     assert encoder.encode(texts) == pieces.Encoder(encoder.vocabulary).encode(texts)
