@@ -238,8 +238,11 @@ def all_oracles() -> dict[str, str]:
         "stream_raw_logs": f"WITH {RAW} SELECT {raw_columns} FROM raw",
         "read_container_events": f"""SELECT host, seq, action AS "Action", id, name, epoch_us(ts) AS ts_us
             FROM ({LIFECYCLE_RAW}) WHERE seq % 11 <> 0""",
-        "write_batches": f"""WITH RECURSIVE {BATCHES} SELECT strftime(make_timestamp(last_us), '%Y-%m-%d') AS day,
-            count(*) AS batches, sum(count)::BIGINT AS events, max(last_us) AS last_us FROM emitted GROUP BY 1""",
+        "write_batches": f"""WITH RECURSIVE {BATCHES}, {RUNS},
+            filed AS (SELECT log_id, first_us, last_us, count, 'alert' AS kind FROM emitted
+              UNION ALL SELECT log_id, ts_us, ts_us, 1, 'health' FROM health)
+            SELECT log_id, first_us, last_us, count, strftime(make_timestamp(last_us), '%Y-%m') AS month,
+              strftime(make_timestamp(last_us), '%Y-%m-%d') AS day, kind FROM filed""",
         "read_batches": emitted,
         "append_batches": emitted,
         "fan_out": f"WITH {EV}, singles AS ({SINGLE}) SELECT {BATCH_COLUMNS} FROM singles",
@@ -331,7 +334,7 @@ def all_oracles() -> dict[str, str]:
         "mark_suppressed": f"""WITH RECURSIVE {BATCHES}, {WINDOWS[len(RAW) + 1 :]},
             marked AS (SELECT *, EXISTS (SELECT 1 FROM merged w WHERE w.host = e.host AND e.flushed_us >= w.start_us
               AND e.flushed_us < w.end_us) AS suppress_alert_sinks FROM emitted e)
-            SELECT log_id, flushed_us, suppress_alert_sinks, count(*) AS batches, sum(count)::BIGINT AS events FROM marked GROUP BY 1, 2, 3""",
+            SELECT log_id, first_us, last_us, flushed_us, count, suppress_alert_sinks FROM marked""",
         "backfill_summary": f"""WITH {EV}, {WINDOWS[len(RAW) + 1 :]},
             n AS (SELECT w.host, w.island, w.start_us, w.end_us, w.gap_us, (SELECT count(*) FROM ev e WHERE e.host = w.host AND e.alert
               AND e.in_us >= w.start_us AND e.in_us < w.end_us) AS alerts, CAST(round(w.gap_us / 1e6) AS BIGINT) AS s FROM merged w WHERE w.start_us < w.end_us)
@@ -400,8 +403,7 @@ def all_oracles() -> dict[str, str]:
               UNION ALL SELECT n.webhook, n.seq, n.place, greatest(n.at_us, w.send_us + 3600000000)
               FROM walk w JOIN queue n ON n.webhook = w.webhook AND n.place = w.place + 1)
             SELECT webhook, seq, place, send_us FROM walk""",
-        "explode_events": f"""WITH RECURSIVE {STORED} SELECT container_name AS container, count(*) AS events, max(ts_us) AS last_us
-            FROM stored GROUP BY 1""",
+        "explode_events": f"""WITH RECURSIVE {STORED} SELECT container_name AS container, ts_us, message, raw FROM stored""",
         "request_events": f"WITH RECURSIVE {REQUESTS} SELECT ts_us, url, method, x_forwarded_for FROM requests",
         "strip_query_urls": """WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN url || '#top'
               WHEN 2 THEN regexp_replace(url, '^https?://[^/]*', '') || '/a%20b+c' WHEN 3 THEN url || '/%zz' ELSE url END AS url FROM pages),

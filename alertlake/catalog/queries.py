@@ -123,11 +123,13 @@ def read_container_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def write_batches(spark: SparkSession, sf: str) -> DataFrame:
-    stored = readers.read_batches(spark, stored_batches(spark, sf))
-    folder = F.regexp_extract("file", r"/month=([^/]*)/day=([^/]*)/kind=([^/]*)/", 2)
-    return stored.groupBy(folder.alias("day")).agg(
-        F.count("*").alias("batches"), F.sum("count").alias("events"), F.max(us("last_seen")).alias("last_us")
-    )
+    """Alert and health batches with the folder that each was filed in."""
+    path = scratch_path(spark, "filed")
+    own = health.health_batches(health.health_transitions(fixtures.status(spark, sf)))
+    sinks.write_batches(alert_batches(spark, sf).drop("cause").unionByName(own), path)
+    stored = readers.read_batches(spark, path)
+    folder = [F.regexp_extract("file", f"/{name}=([^/]*)/", 1).alias(name) for name in ("month", "day", "kind")]
+    return stored.select("log_id", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"), F.col("count").cast("bigint").alias("count"), *folder)
 
 
 def read_batches(spark: SparkSession, sf: str) -> DataFrame:
@@ -435,9 +437,10 @@ def merge_windows(spark: SparkSession, sf: str) -> DataFrame:
 def mark_suppressed(spark: SparkSession, sf: str) -> DataFrame:
     merged = backfill.merge_windows(windows(spark, sf))
     marked = backfill.mark_suppressed(alert_batches(spark, sf).drop("cause"), merged)
-    return marked.groupBy("log_id", us("flushed_at").alias("flushed_us"), "suppress_alert_sinks").agg(
-        F.count("*").alias("batches"), F.sum("count").alias("events")
-    )
+    return marked.select(
+        "log_id", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"), us("flushed_at").alias("flushed_us"),
+        F.col("count").cast("bigint").alias("count"), "suppress_alert_sinks",
+    )
 
 
 def backfill_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -591,7 +594,7 @@ def send_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 def explode_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = stored_events(spark, sf)
-    return rows.groupBy(F.col("container.name").alias("container")).agg(F.count("*").alias("events"), F.max(us("timestamp")).alias("last_us"))
+    return rows.select(F.col("container.name").alias("container"), us("timestamp").alias("ts_us"), "message", "raw")
 
 
 def request_events(spark: SparkSession, sf: str) -> DataFrame:
