@@ -196,10 +196,11 @@ class Scorer:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
     """At most ``rows`` labelled texts of at most ``most_bytes``, half of them of each class where there are enough."""
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).where("_quality IN (0, 1)")
-    marked = marked.dropDuplicates(["_id"])
+    marked = marked.groupBy("_id").agg(F.max("_quality").alias("_quality"))
     halves = [bounded_sample(marked.where(F.col("_quality") == kind), rows // 2, "_id") for kind in (0, 1)]
     joined = id_text(docs, "doc_id", "text").where(F.octet_length("text") <= most_bytes).join(halves[0].union(halves[1]), F.col("doc_id") == F.col("_id"))
-    sample = joined.select("doc_id", "text", "_quality").toPandas().sort_values(["doc_id", "text"])
+    # A repeated id counts once, so that the bound holds.
+    sample = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_quality").alias("_quality")).toPandas().sort_values("doc_id")
     return [text.encode() for text in sample["text"]], sample["_quality"].to_numpy(dtype=float)
 
 

@@ -93,8 +93,10 @@ def describe(batch: pa.RecordBatch, text_col: str = "text") -> tuple[np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Trees for P(quality = 1), from at most ``rows`` labelled documents."""
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_quality")).where("_quality IN (0, 1)")
-    chosen = bounded_sample(marked.dropDuplicates(["_id"]), rows, "_id")
-    joined = id_text(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("_id"))
+    chosen = bounded_sample(marked.groupBy("_id").agg(F.max("_quality").alias("_quality")), rows, "_id")
+    matched = id_text(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("_id"))
+    # A repeated id counts once, so that the bound holds.
+    joined = matched.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_quality").alias("_quality"))
 
     def features(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"features": pa.array(list(describe(batch)[1]), pa.list_(pa.float64()))}
