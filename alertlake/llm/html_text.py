@@ -179,7 +179,9 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     read = pages.select(F.col(quoted(id_col)).alias("page_id"), F.col(quoted(url_col)).alias("url"), F.col(quoted(html_col)).alias("html"))
-    joined = read.withColumn("host", host_of(F.col("url"))).join(host_paths(pages, url_col, html_col), "host", "left")
+    # A sorted join: adaptive execution splits the pages of a large host among several tasks.
+    winners = host_paths(pages, url_col, html_col).hint("merge")
+    joined = read.withColumn("host", host_of(F.col("url"))).join(winners, "host", "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
