@@ -116,7 +116,8 @@ class Languages:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, count: int = CENTROIDS) -> Languages:
     """Frequencies from all rows with a text and a language, centroids from at most ``rows`` documents of each language."""
     learn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    names = [row[0] for row in learn.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    sizes = dict(learn.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect())
+    names = list(sizes)
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     if not names:
@@ -125,7 +126,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = (np.log((1 + total) / (1 + frequency)) + 0.05).astype(np.float32)
     owner, centres, least = [], [], []
     for index, name in enumerate(names):
-        sample = bounded_sample(learn.where(F.col("lang") == name).select("id", "text").where(F.octet_length("text") <= 1 << 16), rows, "id")
+        sample = bounded_sample(learn.where(F.col("lang") == name).select("id", "text").where(F.octet_length("text") <= 1 << 16), rows, "id", sizes[name])
         texts = [text.encode() for text in sample.toPandas().sort_values("id")["text"]]
         own = vectors([text for text in texts if has_letter(text)] or [b"?"], idf)
         found = clusters(own, count)
