@@ -81,7 +81,8 @@ class Hasher:
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (size == 0 or size + len(texts[end]) <= PIECE):
+            # A text above PIECE is a group of its own, also after empty texts.
+            while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE):
                 size += len(texts[end])
                 end += 1
             if size <= PIECE:
