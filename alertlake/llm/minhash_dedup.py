@@ -13,30 +13,39 @@ are read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from alertlake.llm.frames import id_text, stored, text_bytes
+from alertlake.llm.frames import id_text, quoted, stored, text_bytes
 from alertlake.llm.graph import components
-from alertlake.llm.setsketch import REGISTERS, band_keys, compare, sketch_sets, slope
+from alertlake.llm.setsketch import REGISTERS, band_keys, band_width, compare, sketch_sets, slope
 from alertlake.llm.shingles import mix, shingle_set
 
-PERCENT = 85
-# A pair is confirmed on its full sets from this estimate on: four standard errors of the sketch below the threshold.
+# The threshold of op1, and the one of all other stages that ask for near copies.
+PERCENT, NEAR_PERCENT = 85, 80
+# A pair is confirmed on its full sets from four standard errors of the sketch below the threshold on, or from this far below.
 MARGIN = 0.1
 TILE, TILE_SHINGLES = 1024, 1_000_000
 
 
+def least_estimate(percent: int) -> float:
+    near = percent / 100
+    return near - max(MARGIN, 4 * (near * (1 - near) / REGISTERS) ** 0.5)
+
+
 def fingerprint(shingles: np.ndarray) -> bytes:
     return np.array([mix(shingles).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(~shingles)), len(shingles)], np.uint64).tobytes()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, print, sketch) of documents with columns doc_id and text."""
+    """(doc_id, n_shingles, print, sketch) of documents with columns doc_id and text; further columns come along."""
+    further = docs.drop("doc_id", "text")
+    along = further.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,17 +55,20 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows = sketch_sets(sets)
                 columns = [ids.slice(start, 256), pa.array([len(x) for x in sets], pa.int64())]
                 columns += [pa.array([fingerprint(x) if len(x) else None for x in sets], pa.binary()), pa.array([r.tobytes() if len(x) else None for r, x in zip(rows, sets, strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "sketch"])
+                columns += [batch.column(name).slice(start, 256) for name in along]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "sketch", *along])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, print binary, sketch binary")
+    made = T.StructType.fromDDL("doc_id bigint, n_shingles bigint, print binary, sketch binary")
+    return docs.mapInArrow(run, T.StructType([*made.fields, *further.schema.fields]))
 
 
-def band_rows(classes: DataFrame) -> DataFrame:
+def band_rows(classes: DataFrame, percent: int) -> DataFrame:
     """(band, id, n): one row per class and band."""
+    registers = band_width(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = band_keys(unpack(batch.column("sketch")))
+            keys = band_keys(unpack(batch.column("sketch")), registers)
             width = keys.shape[1]
             columns = [pa.array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), width)), pa.array(np.repeat(batch.column("n").to_numpy(), width))]
             yield pa.RecordBatch.from_arrays(columns, names=["band", "id", "n"])
@@ -75,7 +87,7 @@ def sizes_fit(a: str, b: str, percent: int):
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs whose estimate reaches the threshold less the margin."""
-    least = percent / 100 - MARGIN
+    least = least_estimate(percent)
     sides = [classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
     joined = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
 
@@ -135,13 +147,13 @@ def rest_links(bands: DataFrame, component: DataFrame, classes: DataFrame, texts
     common = ["id", "n", "component", "sketch", "text"]
     asks = members.where("component <> main").select("band", F.pmod(place, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), *common, F.lit(True).alias("asks"))
     all_ = members.select("band", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(place, "columns").alias("j"), *common, F.lit(False).alias("asks"))
-    least = percent / 100 - MARGIN
+    least, registers = least_estimate(percent), band_width(percent / 100)
 
     def run(table: pa.Table) -> pa.Table:
         ask = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         ids, n, label = (table.column(name).to_numpy().copy() for name in ("id", "n", "component"))
         sketch = unpack(table.column("sketch"))
-        keys = band_keys(sketch)
+        keys = band_keys(sketch, registers)
         here = int((keys[0] == table.column("band")[0].as_py()).argmax())
         sets = [shingle_set(value.as_py().encode()) for value in table.column("text")]
         other = np.flatnonzero(~ask)
@@ -170,13 +182,13 @@ def rest_links(bands: DataFrame, component: DataFrame, classes: DataFrame, texts
     return asks.union(all_).groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, along: Sequence[str] = ()) -> DataFrame:
+    """One row per document: the columns ``along``, doc_id, n_shingles, component_id, kept."""
     read = id_text(docs, id_col, text_col)
-    marks = stored(sketches(read), "sketches")
+    marks = stored(sketches(docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), *map(quoted, along))), "sketches")
     known = marks.where("doc_id IS NOT NULL AND print IS NOT NULL")
     classes = stored(known.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    bands = band_rows(classes.select("id", "n", "sketch"))
+    bands = band_rows(classes.select("id", "n", "sketch"), percent)
     hubs = bands.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("hub")).where("members > 1")
     shared = stored(bands.join(hubs, "band").select("band", "id", "n", "members", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "bands")
     first = shared.where("id <> hub").where(sizes_fit("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -184,6 +196,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = stored(likely_pairs(first, classes, percent), "pairs")
     links = stored(confirmed(likely, texts, percent), "links")
     component = components(links.union(rest_links(shared, components(links), classes, texts, percent)))
-    rows = marks.join(classes.select("print", "id"), "print", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
-    named = labelled(rows, component).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    rows = marks.join(classes.select("print", "id"), "print", "left").select(*along, "doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
+    named = labelled(rows, component).select(*along, "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

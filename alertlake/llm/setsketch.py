@@ -15,6 +15,8 @@ from alertlake.llm.shingles import mix
 B, A = 1.1, 20.0
 ROWS, BANDS = 7, 32
 REGISTERS = ROWS * BANDS
+# A pair at the threshold shares no band with this probability at most; lower thresholds take bands of fewer rows for it.
+MISS = 1e-5
 # Elements hashed at a time, to stay in the processor's cache.
 BLOCK = 1 << 15
 
@@ -63,16 +65,29 @@ def registers(least: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / np.log(B)), 0, 255).astype(np.uint8)
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """One number per set and band."""
-    rows = sketches.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    return mix((rows * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def band_keys(sketches: np.ndarray, width: int = ROWS) -> np.ndarray:
+    """One number per set and band of ``width`` registers; registers that fill no band are left over."""
+    bands = REGISTERS // width
+    rows = sketches.reshape(-1, REGISTERS)[:, : bands * width].reshape(-1, bands, width).astype(np.uint64)
+    factors = _BAND.ravel()[: bands * width].reshape(bands, width)
+    return mix((rows * factors).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def share(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0, 1) * (B - 1) / B) / np.log(B)
 
 
+def miss(similarity: float, width: int) -> float:
+    """Probability that two sets of equal size share no band of ``width`` registers."""
+    equal = 1 - 2 * float(share(np.array((1 - similarity) / 2)))
+    return (1 - equal**width) ** (REGISTERS // width)
+
+
+def band_width(similarity: float) -> int:
+    """Registers per band: the most, up to ``ROWS``, that find a pair of this similarity with all but ``MISS``."""
+    return next((width for width in range(ROWS, 1, -1) if miss(similarity, width) <= MISS), 1)
+
+
 def slope(similarity: float, larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Derivative of the joint log-likelihood in the similarity; ``u`` is the first set's part of both sizes together.
 

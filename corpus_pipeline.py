@@ -32,7 +32,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows without an id all stay."""
-    gone = minhash_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = minhash_dedup.near_duplicates(docs, percent=minhash_dedup.NEAR_PERCENT).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -2,10 +2,40 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 from alertlake.llm import suffix_dedup
+from alertlake.llm.shingles import shingle_set
 from helpers import docs_frame
-from test_dedup import removal_by_hand
+from test_dedup import removal_by_hand, union_find
+
+
+def at_similarity(count, low, high, seed):
+    """Pairs (id, text) of documents whose similarity lies within bounds."""
+    rng, docs = random.Random(seed), []
+    while len(docs) < 2 * count:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(words)
+        for _ in range(rng.randrange(2, 10)):
+            other[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        a, b = (set(shingle_set(" ".join(x).encode()).tolist()) for x in (words, other))
+        if low <= len(a & b) / len(a | b) < high:
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(other))]
+    return docs
+
+
+def linked(docs, percent):
+    sets = {i: set(shingle_set(text.encode()).tolist()) for i, text in docs}
+    return union_find([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])], sets)
+
+
+def test_pipeline_takes_near_copies_from_four_fifths_on(spark):
+    docs = at_similarity(60, 0.8, 0.85, 1) + [(1000 + i, text) for i, text in at_similarity(20, 0.74, 0.8, 2)]
+    component = linked(docs, 80)
+    want = {i for i in component if component[i] == i}
+    assert len(want) == 100
+    out = corpus_pipeline.near_copies(spark, docs_frame(spark, [(i, text, "en", "s", 1) for i, text in docs]), "")
+    assert {row.doc_id for row in out.collect()} == want
 
 
 def test_long_text_after_an_empty_one_has_its_runs():
