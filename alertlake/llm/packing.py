@@ -1,6 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of words.
 
-A bin never holds two documents of one source or of one duplicate cluster. Documents are dealt by a hash of their key into
+A bin never holds two documents of one source or of one duplicate cluster; ``sized`` takes the groups of near copies as
+clusters. Documents are dealt by a hash of their key into
 groups of about ``GROUP_ROWS`` rows; each group is packed alone, largest document first. Open bins are kept in the order
 of their residual; the search begins at the first bin that is large enough and goes on to its successors until the bin
 allows both the source and the cluster, which makes it the tightest compatible bin. Bins carry two bitmaps for that, one
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.llm.frames import quoted
+from alertlake.llm import minhash_dedup
+from alertlake.llm.frames import quoted, stored
 
 CAPACITY = 2048
 GROUP_ROWS = 4096
@@ -74,6 +76,21 @@ def copy_cluster(text: Column) -> Column:
     return F.sha2(F.trim(folded), 256)
 
 
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, n_words, source, cluster): near copies share a cluster, and so do texts without a word; a null text has none.
+
+    Rows without an id are compared too, each under a number of its own.
+    """
+    text = F.col(quoted(text_col)).cast("string")
+    words = word_count(text)
+    read = docs.select(F.col(quoted(id_col)).cast("bigint").alias("pack_id"), text.alias("text"), words.alias("n_words"), F.col(quoted(source_col)).cast("string").alias("source"), F.when(words == 0, copy_cluster(text)).alias("blank"))
+    nameless = stored(read.where("pack_id IS NULL").withColumn("near_id", F.lit(2**63 - 1) - F.monotonically_increasing_id()), "nameless")
+    named = read.where("pack_id IS NOT NULL").withColumn("near_id", F.col("pack_id")).union(nameless)
+    near = minhash_dedup.near_duplicates(named, "near_id", percent=minhash_dedup.NEAR_PERCENT, along=["pack_id", "n_words", "source", "blank"])
+    cluster = F.when(F.col("n_words") > 0, F.col("component_id").cast("string")).otherwise(F.col("blank"))
+    return stored(near.select(F.col("pack_id").alias("doc_id"), "n_words", "source", cluster.alias("cluster")), "sized")
+
+
 def pack(
     docs: DataFrame, id_col: str = "doc_id", size_col: str = "n_words", source_col: str = "source", cluster_col: str = "cluster",
     capacity: int = CAPACITY, group_rows: int = GROUP_ROWS,

@@ -79,9 +79,7 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    sized = docs.select("doc_id", packing.word_count(F.col("text")).alias("n_words"), "source", packing.copy_cluster(F.col("text")).alias("cluster"))
-    return packing.pack(sized)
+    return packing.pack(packing.sized(table(spark, sf, "documents")))
 
 
 def all_queries() -> dict[str, Query]:

@@ -43,9 +43,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of words in which no source and no text occurs twice: one row per document or part of a long one."""
-    words, copies = packing.word_count(F.col("text")), packing.copy_cluster(F.col("text"))
-    return packing.pack(docs.select("doc_id", words.alias("n_words"), "source", copies.alias("cluster")))
+    """Bins of words in which no source and no near copy occurs twice: one row per document or part of a long one."""
+    return packing.pack(packing.sized(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [

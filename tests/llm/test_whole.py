@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from alertlake.llm import suffix_dedup
+from alertlake.llm import packing, suffix_dedup
 from alertlake.llm.shingles import shingle_set
 from helpers import docs_frame
 from test_dedup import removal_by_hand, union_find
@@ -55,3 +55,20 @@ def test_long_text_after_a_null_loses_its_repeats(spark):
     want = removal_by_hand(docs)
     frame = docs_frame(spark, [(i, text, "en", "s", 1) for i, text in docs]).coalesce(1)
     assert {row.doc_id: (row.n_bytes, row.n_removed) for row in suffix_dedup.removal_report(frame).collect()} == {i: want[i][:2] for i in want}
+
+
+def test_near_copies_never_share_a_bin(spark):
+    docs = at_similarity(30, 0.8, 0.99, 4)
+    component = linked(docs, 80)
+    rows = [(i, text, "en", f"s{i}", 1) for i, text in docs]
+    # Without ids: a copy of the first text, and two near copies of each other. Blank texts are copies, nulls are not.
+    (_, one), (_, two) = at_similarity(1, 0.85, 0.99, 9)
+    rows += [(None, docs[0][1], "en", "n0", 1), (None, one, "en", "n1", 1), (None, two, "en", "n2", 1), (500, " ", "en", "b0", 1), (501, "", "en", "b1", 1), (502, None, "en", "b2", 1), (7, docs[7][1], "en", "again", 1)]
+    sized = {row.source: row for row in packing.sized(docs_frame(spark, rows)).collect()}
+    assert len(sized) == len(rows) and all(sized[f"s{i}"].cluster == str(component[i]) for i in component)
+    assert sized["n0"].cluster == sized["s0"].cluster and sized["n0"].doc_id is None and sized["n0"].n_words == 200
+    assert sized["n1"].cluster == sized["n2"].cluster != sized["n0"].cluster and sized["again"].cluster == sized["s7"].cluster
+    assert sized["b0"].cluster == sized["b1"].cluster is not None and sized["b2"].cluster is None
+    packed = packing.pack(packing.sized(docs_frame(spark, rows))).collect()
+    kept = [(row.bin_group, row.bin, row.cluster) for row in packed if row.cluster]
+    assert len(kept) == len(set(kept))
