@@ -1,8 +1,10 @@
 """HTML extraction by consensus host paths.
 
-Pass one scores the containers of each page by the text that stands in them and votes for their generalised paths
-(tag and classes, digits masked). Spark adds the votes up per host. Pass two takes the text from the container of the
-host's winning path; a page without that path uses its own best container. Votes are added before the shuffle, so a host
+Pass one scores the containers of each page by the text that stands in them. A container that is only a part of a larger
+text (a list, table or section, or one beside text of its parent) counts for that larger one. The page votes for their
+generalised paths (tag and classes, digits masked), and Spark adds the votes up per host. Pass two takes the text from the
+containers of the host's winning path. A page without that path uses its own best container; so does a page that has little
+text there, unless its best container also stands beside the winner on pages where the winner is best. Votes are added before the shuffle, so a host
 with a third of all pages costs no more than another.
 
 Defined results: null or empty html gives an empty text; a page without any container text too. Unclosed and stray tags,
@@ -14,14 +16,14 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.llm.frames import quoted
+from alertlake.llm.frames import quoted, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -47,7 +49,12 @@ NOISE_WORDS = re.compile(
 )
 UNSEEN = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 DIGITS = re.compile(r"\d+")
+# Elements that are parts of a text; elements that hold one whole.
+PARTS = frozenset("section ul ol dl table tbody tr td th figure details center".split())
+WHOLES = frozenset("article main".split())
 LEAST_SHARE = 0.02
+# Below this share of the text of the page's own best container, the containers of the winning path are not its article.
+LITTLE = 0.25
 
 
 @dataclass
@@ -57,6 +64,8 @@ class Element:
     noise: bool
     parent: int
     score: float = 0.0
+    size: int = 0
+    plain: float = 0.0
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
@@ -77,6 +86,8 @@ def parse(page: str) -> list[Element]:
                 if not own.noise:
                     share = 1 - linked / max(length, 1)
                     own.score += len(text) * share
+                    own.size += len(text)
+                    own.plain += len(text) * share
                     if own.parent >= 0:
                         elements[own.parent].score += 0.3 * len(text) * share
                 order += 1
@@ -127,32 +138,67 @@ def parse(page: str) -> list[Element]:
     return elements
 
 
-def votes(page: str) -> dict[str, float]:
-    """Share of the page's container text by path."""
+def wholes(elements: list[Element]) -> list[int]:
+    """The element of whose text each element is a part: itself, or an element around it."""
+    size, plain = [x.size for x in elements], [x.plain for x in elements]
+    for i in range(len(elements) - 1, 0, -1):
+        size[elements[i].parent] += size[i]
+        plain[elements[i].parent] += plain[i]
+
+    def joins(i: int, above: int) -> bool:
+        around = elements[above]
+        if around.tag == "article":
+            return True
+        further = size[above] - size[i]
+        if plain[above] - plain[i] < further / 2:
+            return False  # mostly links
+        return around.tag in WHOLES or around.plain > 0 or elements[i].tag in PARTS and around.tag not in LAYOUT_TAGS | {""}
+
+    found = [0]
+    for i in range(1, len(elements)):
+        above = elements[i].parent
+        found.append(found[above] if not elements[i].noise and joins(i, above) else i)
+    return found
+
+
+def path_scores(elements: list[Element]) -> dict[str, float]:
     scores: dict[str, float] = {}
-    for element in parse(page):
+    for element, whole in zip(elements, wholes(elements), strict=True):
         if not element.noise and element.score > 0:
-            scores[element.path] = scores.get(element.path, 0.0) + element.score
+            scores[elements[whole].path] = scores.get(elements[whole].path, 0.0) + element.score
+    return scores
+
+
+def votes(page: str) -> dict[str, float]:
+    """Share of the page's container text by path, the best path first."""
+    scores = path_scores(parse(page))
     total = sum(scores.values())
-    return {path: score / total for path, score in scores.items() if score >= LEAST_SHARE * total}
+    return {path: score / total for path, score in sorted(scores.items(), key=lambda x: -x[1]) if score >= LEAST_SHARE * total}
 
 
-def extract(page: str, path: str | None) -> str:
-    """Text of the elements at the path, without boilerplate inside them, block by block in page order."""
-    elements = parse(page)
-    wanted = {i for i, element in enumerate(elements) if element.path == path and not element.noise}
-    if path is None or not wanted:
-        best = max(range(len(elements)), key=lambda i: (0 if elements[i].noise else elements[i].score, -i))
-        if elements[best].noise or elements[best].score <= 0:
-            return ""
-        wanted = {i for i, element in enumerate(elements) if element.path == elements[best].path and not element.noise}
-    blocks: list[tuple[int, str]] = []
+def below(elements: list[Element], path: str | None) -> list[Element]:
+    """The elements at the path and all in them, without noise."""
+    wanted: set[int] = set()
     for i, element in enumerate(elements):
-        if i in wanted or element.parent in wanted:
+        if not element.noise and (element.path == path or element.parent in wanted):
             wanted.add(i)
-            if not element.noise:
-                blocks += element.blocks
-    return "\n".join(text for _, text in sorted(blocks))
+    return [elements[i] for i in sorted(wanted)]
+
+
+def extract(page: str, path: str | None, beside: Sequence[str] = ()) -> str:
+    """Text of the elements at the path, without boilerplate inside them, block by block in page order.
+
+    ``beside`` are the paths known to stand beside the winning path.
+    """
+    elements = parse(page)
+    chosen = below(elements, path)
+    scores = path_scores(elements)
+    if scores:
+        best = max(scores, key=scores.get)
+        own = below(elements, best)
+        if not chosen or best not in beside and sum(x.plain for x in chosen) < LITTLE * sum(x.plain for x in own):
+            chosen = own
+    return "\n".join(text for _, text in sorted(block for element in chosen for block in element.blocks))
 
 
 def host_of(url: Column) -> Column:
@@ -160,20 +206,28 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The winning path of each host: (host, path, votes)."""
+    """The winning path of each host, and the paths beside it on pages where it is best: (host, path, beside)."""
     read = pages.select(host_of(F.col(quoted(url_col))).alias("host"), F.col(quoted(html_col)).alias("html")).where("html <> ''")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, str], float] = {}
+            found: dict[tuple[str, str, str], float] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, share in votes(page).items():
-                    found[host, path] = found.get((host, path), 0.0) + share
+                shares = votes(page)
+                best = next(iter(shares), "")
+                for path, share in shares.items():
+                    found[host, best, path] = found.get((host, best, path), 0.0) + share
             rows = [(*key, share) for key, share in sorted(found.items())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.float64())], names=["host", "path", "votes"])
+            kinds = [pa.string()] * 3 + [pa.float64()]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["host", "best", "path", "votes"])
 
-    added = read.mapInArrow(vote, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return added.groupBy("host").agg(F.max(F.struct(F.round("votes", 6), "path")).alias("best")).select("host", "best.path")
+    # Few rows: one per host, best path and path of its pages.
+    added = stored(read.mapInArrow(vote, "host string, best string, path string, votes double").groupBy("host", "best", "path").agg(F.sum("votes").alias("votes")), "votes")
+    total = added.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    winners = total.groupBy("host").agg(F.max(F.struct(F.round("votes", 6), "path")).alias("won")).select("host", F.col("won.path").alias("winner"))
+    near = added.join(winners, "host").groupBy("host", "winner").agg(F.collect_set(F.when(F.col("best") == F.col("winner"), F.col("path"))).alias("beside"))
+    return near.select("host", F.col("winner").alias("path"), "beside")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -185,9 +239,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [extract(page, path) if page else "" for page, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            made = [extract(page, path, beside or ()) if page else "" for page, path, beside in zip(*[batch.column(name).to_pylist() for name in ("html", "path", "beside")], strict=True)]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(text) for text in made], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     schema = joined.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("bigint").alias("n_chars")).schema
-    return joined.select("page_id", "url", "html", "path").mapInArrow(texts, schema)
+    return joined.select("page_id", "url", "html", "path", "beside").mapInArrow(texts, schema)

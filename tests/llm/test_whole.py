@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from alertlake.llm import packing, suffix_dedup
+from alertlake.llm import html_text, packing, suffix_dedup
 from alertlake.llm.shingles import shingle_set
 from helpers import docs_frame
 from test_dedup import removal_by_hand, union_find
@@ -72,3 +72,28 @@ def test_near_copies_never_share_a_bin(spark):
     packed = packing.pack(packing.sized(docs_frame(spark, rows))).collect()
     kept = [(row.bin_group, row.bin, row.cluster) for row in packed if row.cluster]
     assert len(kept) == len(set(kept))
+
+
+def test_extraction_keeps_the_whole_article():
+    long = "many words of the article stand in here " * 20
+    head = "<html><body><nav><ul><li><a href='/'>home</a></li></ul></nav>"
+    links = "<div class='more'>" + "<p><a href='/x'>another story of this site</a></p>" * 9 + "</div>"
+    cases = [
+        (f"<article><h1>Title</h1><p>lead</p><section><p>{long}</p></section><p>between</p><section class='b'><p>end</p></section></article>", ["Title", "lead", long.strip(), "between", "end"]),
+        (f"<div class='post'><h1>Title</h1><ul><li>{long}</li><li>two</li></ul><p>after</p></div>", ["Title", long.strip(), "two", "after"]),
+        (f"<div class='post'><p>intro</p><table><tr><th>key</th><td>{long}</td></tr></table></div>", ["intro", "key", long.strip()]),
+    ]
+    for body, want in cases:
+        page = head + body + links + "</body></html>"
+        best = next(iter(html_text.votes(page)))
+        for path in (best, None):
+            assert html_text.extract(page, path).split("\n") == want
+
+
+def test_a_page_of_another_template_keeps_its_own_article(spark):
+    page = "<html><body><div class='post'><p>{}</p></div><div class='{}'><p>{}</p></div></body></html>"
+    long = "words of the article " * 20
+    rows = [(i, "http://h/x", page.format(long, "box", "words of a box " * 5)) for i in range(6)]
+    rows += [(8, "http://h/x", page.format("teaser", "report", long)), (9, "http://h/x", page.format("short", "box", long))]
+    got = {row.page_id: row.text for row in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[8] == long.strip() == got[0] and got[9] == "short"
