@@ -66,5 +66,29 @@ def op8_suffix_dedup() -> str:
     FROM h LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+def op12_importance_resampling() -> str:
+    """Every run of words with its crc32, folded byte by byte over the usual table of remainders."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    grams = "unnest(range(1, 4)) AS k(size), unnest(range(1, greatest(len(w) - size + 2, 1))) AS t(i)"
+    return f"""WITH RECURSIVE remainders AS (
+        SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, b::BIGINT) ORDER BY b) AS step FROM range(256) AS r(b)),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+    source AS (SELECT r, array_to_string(w[i:i + size - 1], ' ') AS f, count(*) AS n FROM d, {grams} GROUP BY ALL),
+    aim AS (SELECT array_to_string(w[i:i + size - 1], ' ') AS f, count(*) AS n FROM (SELECT {words} AS w FROM benchmark), {grams} GROUP BY ALL),
+    spelt AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM source UNION SELECT f FROM aim)),
+    coded AS (SELECT f, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM spelt, remainders),
+    s AS (SELECT bucket, sum(n) AS s FROM source JOIN coded USING (f) GROUP BY bucket),
+    t AS (SELECT bucket, sum(n) AS t FROM aim JOIN coded USING (f) GROUP BY bucket),
+    totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS s_all, (SELECT coalesce(sum(t), 0) FROM t) AS t_all),
+    gain AS (SELECT bucket, floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (t_all + 10000) AS DOUBLE))) AS g FROM s FULL JOIN t USING (bucket), totals),
+    weights AS (SELECT r, sum(n) AS n_features, sum(n * g) AS weight FROM source JOIN coded USING (f) JOIN gain USING (bucket) GROUP BY r),
+    scores AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || CAST(doc_id AS VARCHAR))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296))) AS score FROM d LEFT JOIN weights USING (r)),
+    drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scores WHERE n_words >= 20 AND score IS NOT NULL)
+    SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+    FROM scores LEFT JOIN drawn USING (r)"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op1_minhash_dedup": op1_minhash_dedup(), "op2_warc_audit": op2_warc_audit(), "op4_embedding_dedup": op4_embedding_dedup(), "op8_suffix_dedup": op8_suffix_dedup()}
+    named = [op1_minhash_dedup, op2_warc_audit, op4_embedding_dedup, op8_suffix_dedup, op12_importance_resampling]
+    return {oracle.__name__: oracle() for oracle in named}
