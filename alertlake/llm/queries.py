@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import cnn, embedding_dedup, html_text, importance, language, minhash_dedup, packing, pieces, quality_rules, suffix_dedup, warc
+from alertlake.llm import cnn, embedding_dedup, html_text, importance, language, minhash_dedup, packing, periodic, pieces, quality_rules, suffix_dedup, warc
 from alertlake.llm.frames import id_text, residue
 
 # Folder of public vocabulary files; the setting alertlake.tokenizers names another one.
@@ -86,6 +86,10 @@ def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.summary(periodic.collapse(periodic.looped(table(spark, sf, "documents"))))
+
+
 def all_queries() -> dict[str, Query]:
-    named = [op1_minhash_dedup, op2_warc_audit, op3_sentencepiece, op4_embedding_dedup, op5_html_extraction, op6_quality_rules, op7_language_id, op8_suffix_dedup, op9_quality_classifier, op10_best_fit_packing, op12_importance_resampling]
+    named = [op1_minhash_dedup, op2_warc_audit, op3_sentencepiece, op4_embedding_dedup, op5_html_extraction, op6_quality_rules, op7_language_id, op8_suffix_dedup, op9_quality_classifier, op10_best_fit_packing, op12_importance_resampling, op13_periodic_runs]
     return {query.__name__: query for query in named}
