@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import cnn, embedding_dedup, html_text, importance, language, minhash_dedup, packing, periodic, pieces, quality_rules, suffix_dedup, warc
+from alertlake.llm import cnn, embedding_dedup, html_text, importance, language, minhash_dedup, packing, periodic, pieces, pii, quality_rules, suffix_dedup, warc
 from alertlake.llm.frames import id_text, residue
 
 # Folder of public vocabulary files; the setting alertlake.tokenizers names another one.
@@ -82,6 +82,10 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.sized(table(spark, sf, "documents")))
 
 
+def op11_contextual_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf, "documents")))
+
+
 def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -91,5 +95,5 @@ def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    named = [op1_minhash_dedup, op2_warc_audit, op3_sentencepiece, op4_embedding_dedup, op5_html_extraction, op6_quality_rules, op7_language_id, op8_suffix_dedup, op9_quality_classifier, op10_best_fit_packing, op12_importance_resampling, op13_periodic_runs]
+    named = [op1_minhash_dedup, op2_warc_audit, op3_sentencepiece, op4_embedding_dedup, op5_html_extraction, op6_quality_rules, op7_language_id, op8_suffix_dedup, op9_quality_classifier, op10_best_fit_packing, op11_contextual_pii, op12_importance_resampling, op13_periodic_runs]
     return {query.__name__: query for query in named}
