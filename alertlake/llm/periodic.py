@@ -25,7 +25,6 @@ column can clash.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from itertools import chain, compress, repeat
 
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 
 from alertlake.llm.frames import id_text, stored, text_bytes
 from alertlake.llm.shingles import pieces_of
+from alertlake.plans.once import compute_once
 
 LEAST_LENGTH = 12
 # Boundaries of this many words share a tile, or of four octave widths where that is more.
@@ -45,6 +45,7 @@ GRAM = 6
 NEVER = np.int64(1) << 40
 # Copies of one text that have runs are spread over this many keys.
 SALTS = 16
+_RUN = pa.struct([(name, pa.int64()) for name in ("start", "period", "length")])
 RUNS = "array<struct<start:bigint,period:bigint,length:bigint>>"
 _PLACES = np.random.default_rng(20240607).integers(1, 2**63, GRAM, dtype=np.uint64) | np.uint64(1)
 
@@ -203,17 +204,36 @@ def find_runs(texts: DataFrame) -> DataFrame:
     return stitch(solved(tiles(texts).dropDuplicates(["doc", "octave", "first"])))
 
 
-def examined(texts: DataFrame) -> DataFrame:
-    """(doc_id, text, doc, repeats): ``doc`` is a hash of the text, ``repeats`` says whether any six words of it come again."""
+def repeats(text: bytes) -> bool:
+    """Whether any six words of a text come again: without that it has no run."""
+    return bool((next_repeat(word_codes(text)) < NEVER).any())
+
+
+def looping_texts(texts: DataFrame) -> DataFrame:
+    """(doc_id, text, doc) of the texts that may hold runs; ``doc`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts_ = text_bytes(batch)
-            docs = pa.array([hashlib.sha256(text).digest() for text in texts_], pa.binary())
-            repeats = pa.array([bool((next_repeat(word_codes(text)) < NEVER).any()) for text in texts_], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, docs, repeats], names=["doc_id", "text", "doc", "repeats"])
+            found = [repeats(text) for text in text_bytes(batch)]
+            kept = batch.filter(pa.array(found, pa.bool_()))
+            docs = pa.array([hashlib.sha256(text).digest() for text in text_bytes(kept)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*kept.columns, docs], names=["doc_id", "text", "doc"])
+
+    return texts.mapInArrow(run, "doc_id bigint, text string, doc binary")
+
 
-    return texts.mapInArrow(run, "doc_id bigint, text string, doc binary, repeats boolean")
+def plain_texts(texts: DataFrame) -> DataFrame:
+    """(doc_id, runs, collapsed) of all other texts: no runs, and all of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if repeats(text) else b" ".join(words_of(text)) for text in text_bytes(batch)]
+            kept = batch.filter(pa.array([text is not None for text in found], pa.bool_()))
+            runs = pa.array([[]] * len(kept), pa.list_(_RUN))
+            collapsed = pa.array([text for text in found if text is not None], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), runs, collapsed], names=["doc_id", "runs", "collapsed"])
+
+    return texts.mapInArrow(run, f"doc_id bigint, runs {RUNS}, collapsed string")
 
 
 def outside(text: bytes, runs: list[dict]) -> bytes:
@@ -233,21 +253,20 @@ def collapse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Only texts that repeat any six words are stored, cut into tiles and joined with their runs, by text and salt: the copies
     of one text may be many, its runs are one row. All other texts stay where they are.
     """
-    rows = examined(id_text(docs, id_col, text_col))
-    looping = stored(rows.where("repeats").select("doc_id", "text", "doc"), "looping")
+    texts = id_text(docs, id_col, text_col)
+    looping = stored(looping_texts(texts), "looping")
     # All runs of a text are fewer than its words, and go beside the text itself.
     per_text = find_runs(looping).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     salted = per_text.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     dealt = looping.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     found = dealt.join(salted, ["doc", "salt"], "left").select("doc_id", "text", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"))
-    every = found.union(rows.where("NOT repeats").select("doc_id", "text", F.array().cast(RUNS).alias("runs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             collapsed = [outside(text, runs) for text, runs in zip(text_bytes(batch), batch.column("runs").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("runs"), pa.array(collapsed, pa.binary()).cast(pa.string())], names=["doc_id", "runs", "collapsed"])
 
-    return every.mapInArrow(run, f"doc_id bigint, runs {RUNS}, collapsed string")
+    return found.mapInArrow(run, f"doc_id bigint, runs {RUNS}, collapsed string").union(plain_texts(texts))
 
 
 def summary(collapsed: DataFrame) -> DataFrame:
@@ -269,25 +288,13 @@ def summary(collapsed: DataFrame) -> DataFrame:
 
 def looped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) in which the ends of some texts, chosen by a hash of the id, go round in a loop of words."""
-
-    def loop(doc_id: int | None, text: bytes | None) -> bytes | None:
-        if doc_id is None or text is None:
-            return text
-        h = zlib.crc32(str(doc_id).encode())
-        if h % 10:
-            return text
-        words, g = text.split(), h // 10
-        n = len(words)
-        if not n:
-            return text
-        a = g % n
-        p = 1 + (n - a) // (3 + g % 8)
-        return b" ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            texts = [loop(i, t) for i, t in zip(ids, batch.column("text").cast(pa.binary()).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
-
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, text string")
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(code % 10 == 0, F.lit(False))
+    # The words of a text that stays as it is are not sought; those of the others are, once.
+    words = F.when(chosen, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    rows = compute_once(id_text(docs, id_col, text_col), {"words": words, "g": F.floor(code / 10)})
+    n, g = F.size("words"), F.col("g")
+    rows = compute_once(rows, {"a": F.when(n > 0, g % n), "p": F.when(n > 0, 1 + F.floor((n - g % n) / (3 + g % 8)))})
+    a, p = F.col("a"), F.col("p")
+    turned = F.transform("words", lambda word, i: F.when(i < a, word).otherwise(F.get("words", (a + (i - a) % p).cast("int"))))
+    return rows.select("doc_id", F.when(a.isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
