@@ -144,6 +144,14 @@ islands AS (SELECT *, sum(CASE WHEN reached IS NULL OR start_us >= reached THEN
   OVER (PARTITION BY host ORDER BY start_us, container ROWS UNBOUNDED PRECEDING) AS island FROM reach),
 merged AS (SELECT host, island, min(start_us) AS start_us, max(end_us) AS end_us, max(gap_us) AS gap_us FROM islands GROUP BY host, island)"""
 
+OTHER_US = int(q.OTHER_INTERVAL * 1_000_000)
+BY_HOST = f"""{EV}, {cut(q.SIZE, INTERVAL_US, 'one')}, {cut(q.OTHER_SIZE, OTHER_US, 'other')}, singles AS ({SINGLE}),
+emitted AS (SELECT * FROM ({batch_rows('one', INTERVAL_US)}) WHERE host = 'host-0' AND has_alert
+  UNION ALL SELECT * FROM ({batch_rows('other', OTHER_US)}) WHERE host <> 'host-0' AND has_alert UNION ALL SELECT * FROM singles)"""
+WINDOWS_BY_HOST = WINDOWS.replace(f"{GAP_US}", f"(CASE WHEN host = 'host-0' THEN {GAP_US} ELSE {4 * 3600 * 1_000_000} END)").replace(
+    f"{LONGEST_US}", f"(CASE WHEN host = 'host-0' THEN {LONGEST_US} ELSE {2 * 3600 * 1_000_000} END)"
+)
+
 CONTAINER_EVENTS = f"""life AS (SELECT host, seq, epoch_us(ts) AS ts_us, action,
   CASE WHEN trim(id) <> '' THEN id ELSE trim(actor_id) END AS id, regexp_replace(name, '^/', '') AS name FROM ({LIFECYCLE_RAW})),
 own AS (SELECT * FROM life WHERE id <> 'c7')"""
@@ -329,6 +337,19 @@ def all_oracles() -> dict[str, str]:
         "live_job": emitted.replace(
             " AS line) FROM raw)", " AS line) FROM raw WHERE regexp_full_match(container_name, 'api-[^/]*|w[^/]b-[0-2]|db'))", 1
         ),
+        "drained_job": emitted.replace(
+            " AS line) FROM raw)", " AS line) FROM raw WHERE regexp_full_match(container_name, 'api-[^/]*|w[^/]b-[0-2]|db'))", 1
+        ),
+        "flush_per_host": f"""WITH RECURSIVE {BY_HOST} SELECT host || '/' || log_id AS log_id, first_us, last_us, count, containers, events_md5,
+            flushed_us FROM emitted""",
+        "windows_per_host": f"WITH {WINDOWS_BY_HOST} SELECT host, container, start_us, end_us, reason FROM windows",
+        "job_per_host": f"""WITH RECURSIVE {BY_HOST}, {WINDOWS_BY_HOST[len(RAW) + 1 :]},
+            errors AS (SELECT host, log_id, batch_no, bool_or(level = 'ERROR') AS has_error FROM kept_one WHERE host = 'host-0' GROUP BY ALL
+              UNION ALL SELECT host, log_id, -seq - 1, level = 'ERROR' FROM ev WHERE alert AND log_id = 'unknown' AND host = 'host-0'),
+            told AS (SELECT e.host, e.log_id, e.flushed_us, coalesce(x.has_error, false) AS mentioned FROM emitted e LEFT JOIN errors x USING (host, log_id, batch_no)
+              WHERE NOT EXISTS (SELECT 1 FROM merged w WHERE w.host = e.host AND e.flushed_us >= w.start_us AND e.flushed_us < w.end_us))
+            SELECT host, CASE WHEN host = 'host-0' THEN 'https://one/hook' ELSE 'https://other/hook' END AS webhook, log_id, msgtype, flushed_us AS arrival_us
+            FROM told, (VALUES ('markdown'), ('text')) t(msgtype) WHERE msgtype = 'markdown' OR mentioned""",
         "backfill_windows": f"WITH {WINDOWS} SELECT host, container, start_us, end_us, gap_us, reason FROM windows",
         "merge_windows": f"WITH {WINDOWS} SELECT host, start_us, end_us, gap_us FROM merged",
         "mark_suppressed": f"""WITH RECURSIVE {BATCHES}, {WINDOWS[len(RAW) + 1 :]},
@@ -424,5 +445,16 @@ def all_oracles() -> dict[str, str]:
               t(path_position, path))
             SELECT t.path_position, t.path, coalesce(sum(s.hits), 0)::BIGINT AS hits, count(s.ip) AS clients
             FROM targets t LEFT JOIN stats s USING (path) GROUP BY 1, 2""",
+        "probe_targets": f"""WITH RECURSIVE {REQUESTS}, p AS (SELECT url_decode(regexp_extract(url, '^[^?#]*')) AS path,
+              trim(split_part(x_forwarded_for, ',', 1)) AS ip FROM requests)
+            SELECT path, ip, count(*) AS hits FROM p WHERE ip <> '' AND (path IN ('/api/.env', '/health')
+              OR path IN (SELECT '/c/' || c_custkey FROM customer)) GROUP BY ALL""",
+        "outbox_schedule": f"""WITH RECURSIVE {BATCHES},
+            errors AS (SELECT host, log_id, batch_no, bool_or(level = 'ERROR') AS has_error FROM kept_cut GROUP BY ALL
+              UNION ALL SELECT host, log_id, -seq - 1, level = 'ERROR' FROM ev WHERE alert AND log_id = 'unknown'),
+            m AS (SELECT flushed_us FROM emitted UNION ALL SELECT flushed_us FROM emitted JOIN errors USING (host, log_id, batch_no) WHERE has_error),
+            n AS (SELECT flushed_us, row_number() OVER (ORDER BY flushed_us) AS place FROM m)
+            SELECT flushed_us AS arrival_us, place * 4000000 + max(flushed_us - place * 4000000) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS send_us FROM n""",
+        "stream_health": f"WITH {RUNS} SELECT log_id, ts_us AS last_us, containers, level, raw FROM health",
         "total_hits": f"WITH RECURSIVE {REQUESTS} SELECT count(*) AS hits FROM hits",
     }

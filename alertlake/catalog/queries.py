@@ -17,17 +17,20 @@ from alertlake.functions.patterns import any_match, compile_patterns
 from alertlake.functions.requests import client_ip, strip_query
 from alertlake.functions.times import parse_time_string
 from alertlake.operators import backfill, batches, health, lifecycle, lines, notify, parse, probes
+from alertlake.plans import alerts
 from alertlake.plans.session import tune
 from alertlake.plans.slices import checkpointed, scratch_path
 from alertlake.settings import Settings, apply_host_settings, resolve_host_settings
 from alertlake.sources import readers, sinks
 from alertlake.streaming import commits, live
+from alertlake.streaming import health as stream_alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 UTC = dt.timezone.utc
 SETTINGS = Settings(exclude_regexps=[r"(?i)context canceled"], at_mobiles=["13800000000", "13900000000"])
 SIZE, INTERVAL = 3, 2 * 86400.0
+OTHER_SIZE, OTHER_INTERVAL = 2, 86400.0
 GAP, LONGEST = 6 * 3600.0, 1800.0
 GLOBS = ["api-*", "w?b-[0-2]", "db"]
 NAMES = ["svc-*"]
@@ -395,7 +398,7 @@ def group_commits(spark: SparkSession, sf: str) -> DataFrame:
     made = []
     for commit, part in enumerate((first, second & ~first, ~second)):
         made.append(commits.group_commit(rows.where(part), commit, state, SIZE, INTERVAL))
-    made.append(commits.final_flush(spark, 2, state, SIZE, INTERVAL))
+    made.append(commits.final_flush(spark, 2, state))
     return _batch_columns(functools.reduce(DataFrame.unionByName, made))
 
 
@@ -413,6 +416,42 @@ def live_job(spark: SparkSession, sf: str) -> DataFrame:
     return _batch_columns(readers.read_batches(spark, out))
 
 
+def drained_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The live job over all that is available, to its end."""
+    landed, out = scratch_path(spark, "landed"), scratch_path(spark, "stored")
+    settings = dataclasses.replace(SETTINGS, flush_size=SIZE, flush_interval=f"{INTERVAL:.0f}s", include_patterns=GLOBS, output_dir=out)
+    raw_logs(spark, sf).write.parquet(landed)
+    live.drain_alerts(readers.stream_raw_logs(spark, landed), settings, scratch_path(spark, "stream"))
+    return _batch_columns(readers.read_batches(spark, out))
+
+
+# ---- settings per host
+
+
+def host_settings_of(output_dir: str = "data") -> dict[str, Settings]:
+    """Two sets of settings for three hosts: sizes, intervals, replay limits, webhooks and whom to mention."""
+    one = dataclasses.replace(SETTINGS, flush_size=SIZE, flush_interval=f"{INTERVAL:.0f}s", backfill_threshold="6h", backfill_max_duration="30m", webhook_url="https://one/hook", output_dir=output_dir)
+    other = one.override({"flush_size": OTHER_SIZE, "flush_interval": f"{OTHER_INTERVAL:.0f}s", "backfill_threshold": "4h", "backfill_max_duration": "2h", "webhook_url": "https://other/hook", "at_mobiles": []})
+    return {"host-0": one, "host-1": other, "host-2": other}
+
+
+def flush_per_host(spark: SparkSession, sf: str) -> DataFrame:
+    rows = batches.flush_batches(events(spark, sf), *alerts.host_limits(host_settings_of()))
+    return _batch_columns(rows.withColumn("log_id", F.concat_ws("/", "host", "log_id")))
+
+
+def windows_per_host(spark: SparkSession, sf: str) -> DataFrame:
+    found = backfill.backfill_windows(fixtures.raw_logs(spark, sf), *alerts.replay_limits(host_settings_of()))
+    return found.select("host", "container", us("start_ts").alias("start_us"), us("end_ts").alias("end_us"), "reason")
+
+
+def job_per_host(spark: SparkSession, sf: str) -> DataFrame:
+    """Alert messages of the whole job: who is told, by which webhook, and what a replay has muted."""
+    tables = alerts.run_alerts(raw_logs(spark, sf), host_settings_of(), many_hosts=False)
+    told = tables.messages.where(~notify.is_health(F.col("log_id")))
+    return told.select("host", "webhook", "log_id", "msgtype", us("arrival").alias("arrival_us"))
+
+
 # ---- replay windows
 
 
@@ -589,6 +628,29 @@ def send_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("webhook", "seq", "place", us("send_at").alias("send_us"))
 
 
+def outbox_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """The outbox over three commits: one queue of messages with their send times."""
+    path, rows = scratch_path(spark, "outbox"), checkpointed(alert_batches(spark, sf).drop("cause"))
+    first, second = F.col("flushed_at") < "2024-01-11", F.col("flushed_at") < "2024-01-21"
+    for commit, part in enumerate((first, second & ~first, ~second)):
+        sinks.outbox_sink(path, SETTINGS)(rows.where(part), commit)
+    sent = spark.read.parquet(path)
+    return sent.select(us("arrival").alias("arrival_us"), us("send_at").alias("send_us"))
+
+
+def stream_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Health batches of a stream of status rows, in two runs over what is available."""
+    landed, out, place = (scratch_path(spark, name) for name in ("status", "stored", "stream"))
+    rows, late = fixtures.status(spark, sf), F.col("ts") >= "2024-01-16"
+    for part in (rows.where(~late), rows.where(late)):
+        part.write.mode("append").parquet(landed)
+        status = spark.readStream.schema(rows.schema).parquet(landed)
+        stream_alerts.start_health(status, sinks.file_sink(out), place, {"availableNow": True}).awaitTermination(600)
+    own = readers.read_batches(spark, out)
+    event = F.col("events")[0]
+    return own.select("log_id", us("last_seen").alias("last_us"), joined("containers").alias("containers"), event["level"].alias("level"), event["raw"].alias("raw"))
+
+
 # ---- probes
 
 
@@ -651,6 +713,14 @@ def path_summary(spark: SparkSession, sf: str) -> DataFrame:
     return probes.path_summary(probes.probe_stats(probes.probe_hits(stored_events(spark, sf), paths)), paths)
 
 
+def probe_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits on a table of paths: one per customer, and two that are asked for."""
+    customer = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("/c/"), "c_custkey").alias("path"))
+    asked = customer.where("path = '/c/1'").select(F.explode(F.array(F.lit("/api/.env"), F.lit("/health"))).alias("path"))
+    hits = probes.probe_hits(stored_events(spark, sf), customer.union(asked))
+    return hits.groupBy("path", "ip").agg(F.count("*").alias("hits"))
+
+
 def total_hits(spark: SparkSession, sf: str) -> DataFrame:
     return probes.total_hits(probes.probe_hits(stored_events(spark, sf)))
 
@@ -662,11 +732,11 @@ def all_queries() -> dict[str, Query]:
         host_labels, prefix_host, host_settings, json_objects, ci_fields, messages, event_times, time_strings, first_groups,
         alert_levels, log_ids, exclude_shallow, exclude_deep, parse_events, parse_per_host, single_event_batches,
         flush_by_size, flush_small_buffer, flush_by_interval, assign_ticks, flush_batches, sort_events, keep_last,
-        pending_groups, final_flush, stream_batches, group_commits, live_job, backfill_windows, merge_windows, mark_suppressed, backfill_summary,
+        pending_groups, final_flush, stream_batches, group_commits, live_job, drained_job, flush_per_host, windows_per_host, job_per_host, backfill_windows, merge_windows, mark_suppressed, backfill_summary,
         normalize_container_events, container_sessions, container_replacements, container_renames, active_containers,
         live_states, failure_runs, health_transitions, health_batches, health_components, batch_hosts, titles,
         should_mention, markdown, health_markdown, event_detail, mention_text, notifications, fit_payload, send_schedule,
         explode_events, request_events, strip_query_urls, client_ips, probe_hits, probe_values, probe_stats, rank_probes,
-        path_summary, total_hits,
+        path_summary, probe_targets, total_hits, outbox_schedule, stream_health,
     ]
     return {query.__name__: tuned(query) for query in named}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertlake.functions.times import duration_text
@@ -18,24 +18,36 @@ STOPPED = "watcher stream stopped"
 BUCKET_SECONDS = 3600
 
 
-def _after(ts, seconds: float):
-    return F.timestamp_micros(F.unix_micros(ts) + F.lit(int(seconds * 1_000_000)))
+def _micros(seconds: float | Column) -> Column:
+    return (seconds * 1_000_000).cast("bigint") if isinstance(seconds, Column) else F.lit(int(seconds * 1_000_000))
 
 
-def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> DataFrame:
+def _after(ts, seconds: float | Column):
+    return F.timestamp_micros(F.unix_micros(ts) + _micros(seconds))
+
+
+def _bucket(ts: Column, width: Column) -> Column:
+    return F.floor(F.unix_micros(ts) / _micros(width)).cast("bigint")
+
+
+def backfill_windows(raw: DataFrame, threshold: float | Column, max_duration: float | Column) -> DataFrame:
     """Replay windows of each container stream.
 
+    Both limits are seconds, as numbers or as expressions that depend on ``host``; 0 is no window, or no longest duration.
+
+
     A window opens when a stream that was silent for ``threshold`` seconds delivers again and begins with an old line, one
     written more than 30 s before it arrives; a container that had nothing to say opens none. The window ends with the
     first line written no more than 30 s before its start, or ``max_duration`` later, or with the input.
     """
     stream = ["host", "container"]
     lines = raw.select("host", F.col("container.name").alias("container"), "timestamp", "ingest_ts")
-    width = threshold if threshold > 0 else 1
-    lines = lines.withColumn("bucket", time_slice(F.col("ingest_ts"), width))
+    threshold, max_duration = (limit if isinstance(limit, Column) else F.lit(float(limit)) for limit in (threshold, max_duration))
+    lines = lines.withColumn("width", F.when(threshold > 0, threshold).otherwise(1.0))
+    lines = lines.withColumn("bucket", _bucket(F.col("ingest_ts"), F.col("width")))
     # Rows less than a threshold apart share a bucket or lie in adjoining ones, so first and last row of each bucket
     # show every gap: no window needs the rows themselves.
-    buckets = lines.groupBy(*stream, "bucket").agg(
+    buckets = lines.groupBy(*stream, "width", "bucket").agg(
         F.min("ingest_ts").alias("first_row"),
         F.max("ingest_ts").alias("last_row"),
         F.min_by("timestamp", F.struct("ingest_ts", "timestamp")).alias("first_written"),
@@ -44,11 +56,9 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
     in_order = Window.partitionBy(*stream).orderBy("bucket")
     gap = (F.unix_micros("first_row") - F.unix_micros(F.lag("last_row").over(in_order))) / 1e6
     late = F.col("first_written") < _after("first_row", -REALTIME_SLACK)
-    opened = buckets.withColumn("disconnected_for", gap).where(late & (F.col("disconnected_for") >= threshold))
-    if threshold <= 0:
-        opened = opened.where(F.lit(False))
+    opened = buckets.withColumn("disconnected_for", gap).where(late & (F.col("disconnected_for") >= threshold) & (threshold > 0))
     input_end = buckets.groupBy("host").agg(F.max("last_row").alias("input_end"))
-    timer = _after("first_row", max_duration) if max_duration > 0 else F.lit(None).cast("timestamp")
+    timer = F.when(max_duration > 0, _after("first_row", max_duration))
     windows = (
         opened.withColumn("next_start", F.lead("first_row").over(in_order))
         .join(input_end, "host")
@@ -62,7 +72,7 @@ def backfill_windows(raw: DataFrame, threshold: float, max_duration: float) -> D
         *stream,
         "start_ts",
         "next_start",
-        F.explode(F.sequence(time_slice(F.col("start_ts"), width), time_slice(watched, width))).alias("bucket"),
+        F.explode(F.sequence(_bucket(F.col("start_ts"), F.col("width")), _bucket(watched, F.col("width")))).alias("bucket"),
     )
     fresh = (F.col("timestamp") >= _after("start_ts", -REALTIME_SLACK)) & (F.col("ingest_ts") >= F.col("start_ts"))
     mine = F.col("next_start").isNull() | (F.col("ingest_ts") < F.col("next_start"))

@@ -8,19 +8,21 @@ Rules per ``(host, log_id)``, rows taken in order of arrival:
 * a group without an alert waits, and keeps only its newest ``10 * flush_size`` events;
 * an alert without a known id is a batch of its own.
 
+Size and interval may differ from host to host: both can be given as columns.
+
 Where a batch ends depends only on where it starts, so the scan of a run of rows needs to know no more than the
-group that is open before it. ``assign_batches`` puts the rows into slices of equal size, notes in a first pass what
-each slice makes of any open group, chains these notes, and marks the batch of every row in a second pass.
+group that is open before it. ``assign_batches`` sorts the keys, times and alert marks of the rows into slices of equal
+size, notes in a first pass what each slice makes of any open group, composes these notes in levels, and marks the batch of
+every row in a second pass. Messages and raw lines stay out of the sort and of both passes; the marks are joined to them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from alertlake.plans.batch_scan import BUFFER_FACTOR, MARKS, SUMMARY_SCHEMA, BatchScan
-from alertlake.plans.slices import SLICE, range_slices
+from alertlake.plans.batch_scan import BUFFER_FACTOR, MARKS, NOTE, chain, mark, summarise
+from alertlake.plans.slices import SLICE, landed, range_slices, slice_count
 from alertlake.schema import BATCH_FIELDS, EVENT_FIELDS
 
 KEYS = ["host", "log_id"]
@@ -137,18 +139,31 @@ def keep_last(events: DataFrame, flush_size: int) -> DataFrame:
 # ---- size and ticks -------------------------------------------------------------------------------------------
 
 
+def with_limits(events: DataFrame, flush_size: int | Column, interval: float | Column | None) -> DataFrame:
+    """Rows with the size and the interval that hold for them, as ``flush_size`` and ``interval_us``; NULL is no interval."""
+    size = flush_size if isinstance(flush_size, Column) else F.lit(flush_size)
+    seconds = interval if isinstance(interval, Column) else F.lit(interval)
+    micros = F.floor(seconds.cast("double") * 1_000_000).cast("bigint")
+    return events.withColumns({"flush_size": F.greatest(size, F.lit(1)).cast("int"), "interval_us": micros})
+
+
+def tick_at(ts: Column, origin: float = 0.0) -> Column:
+    """``tick_of`` by the interval of the row; 0 without one."""
+    return F.coalesce(F.floor((F.unix_micros(ts) - int(origin * 1_000_000)) / F.col("interval_us")), F.lit(0)).cast("bigint")
+
+
 def flush_batches(
     events: DataFrame,
-    flush_size: int,
-    interval: float | None = None,
+    flush_size: int | Column,
+    interval: float | Column | None = None,
     origin: float = 0.0,
     final: bool = True,
     slices: int | None = None,
 ) -> DataFrame:
     """Batches cut by size and, if given, by interval, plus the single-event ones.
 
-    ``final`` emits what is left with an alert at the end of the input, as a shutdown does; with an interval the
-    last tick does that anyway.
+    ``flush_size`` and ``interval`` (seconds) are numbers, or columns of the events that depend on the host. ``final`` emits
+    what is left with an alert at the end of the input, as a shutdown does; with an interval the last tick does that anyway.
     """
     groups = batch_groups(events, flush_size, interval, origin, slices)
     emitted = groups.where(F.col("has_alert"))
@@ -158,11 +173,11 @@ def flush_batches(
 
 
 def batch_groups(
-    events: DataFrame, flush_size: int, interval: float | None, origin: float = 0.0, slices: int | None = None
+    events: DataFrame, flush_size: int | Column, interval: float | Column | None, origin: float = 0.0, slices: int | None = None
 ) -> DataFrame:
     """Every group of the input, emitted or still waiting, one row each."""
     marked = assign_batches(events, flush_size, interval, origin, slices)
-    return as_batches(marked.groupBy(*KEYS, "batch_id").agg(*group_facts(ORDER)), flush_size, interval, origin)
+    return as_batches(marked.groupBy(*KEYS, "batch_id").agg(*group_facts(ORDER)), origin)
 
 
 def group_facts(order: list[str]) -> list[Column]:
@@ -177,26 +192,28 @@ def group_facts(order: list[str]) -> list[Column]:
         F.sort_array(F.collect_set("container.name")).alias("containers"),
         F.max("tick").alias("tick"),
         F.max("ingest_ts").alias("last_arrival"),
+        F.max("flush_size").alias("flush_size"),
+        F.max("interval_us").alias("interval_us"),
         # At most one buffer per batch: the scan has marked the rows that the buffer still holds at the end.
         F.collect_list(F.when(F.col("keep"), kept)).alias("kept"),
     ]
 
 
-def is_full(flush_size: int) -> Column:
-    return F.col("has_alert") & (F.col("total") >= max(flush_size, 1))
+def is_full() -> Column:
+    return F.col("has_alert") & (F.col("total") >= F.col("flush_size"))
 
 
-def as_batches(groups: DataFrame, flush_size: int, interval: float | None, origin: float = 0.0) -> DataFrame:
-    room, full = max(flush_size, 1) * BUFFER_FACTOR, is_full(flush_size)
-    ticked = F.col("last_arrival") if interval is None else tick_end(F.col("tick"), interval, origin)
+def as_batches(groups: DataFrame, origin: float = 0.0) -> DataFrame:
+    room, full = F.col("flush_size") * BUFFER_FACTOR, is_full()
+    ended = F.timestamp_micros((F.col("tick") + 1) * F.col("interval_us") + int(origin * 1_000_000))
     return groups.select(
         *KEYS,
         F.when(F.col("total") > room, F.col("oldest_kept")).otherwise(F.col("earliest")).alias("first_seen"),
         "last_seen",
-        F.least("total", F.lit(room)).cast("int").alias("count"),
+        F.least("total", room).cast("int").alias("count"),
         "containers",
         F.transform(F.sort_array("kept"), lambda row: row["event"]).alias("events"),
-        F.when(full, F.col("last_arrival")).otherwise(ticked).alias("flushed_at"),
+        F.when(full, F.col("last_arrival")).otherwise(F.coalesce(ended, "last_arrival")).alias("flushed_at"),
         F.lit(False).alias("suppress_alert_sinks"),
         "has_alert",
         F.when(full, "size").when(F.col("has_alert"), "interval").otherwise("pending").alias("cause"),
@@ -204,21 +221,20 @@ def as_batches(groups: DataFrame, flush_size: int, interval: float | None, origi
 
 
 def assign_batches(
-    events: DataFrame, flush_size: int, interval: float | None, origin: float = 0.0, slices: int | None = None
+    events: DataFrame, flush_size: int | Column, interval: float | Column | None, origin: float = 0.0, slices: int | None = None
 ) -> DataFrame:
     """Every grouped event with ``batch_id`` and ``keep``, whether the buffer still holds it at the end."""
-    return mark_batches(grouped_events(events), flush_size, interval, origin, slices)[0]
-
-
-def mark_batches(
-    rows: DataFrame, flush_size: int, interval: float | None, origin: float = 0.0, slices: int | None = None, order=None
-) -> tuple[DataFrame, int | None]:
-    """Rows with the start of their batch, and the newest tick among them."""
-    tick = F.lit(0).cast("bigint") if interval is None else tick_of(F.col("ingest_ts"), interval, origin)
-    sliced = range_slices(rows.withColumn("tick", tick), KEYS, order or ORDER, slices)
-    scan = BatchScan(max(flush_size, 1))
-    # One small row per slice, however many events there are.
-    notes = sliced.select(SLICE, *KEYS, "tick", "alert_matched").mapInArrow(scan.summarise, SUMMARY_SCHEMA).collect()
-    entries = scan.chain(notes)
-    marked = sliced.mapInArrow(lambda batches: scan.mark(batches, entries), T.StructType([*sliced.schema.fields, *MARKS.fields]))
-    return marked, max((note["newest_tick"] for note in notes), default=None)
+    return mark_batches(with_limits(grouped_events(events), flush_size, interval), origin, slices)
+
+
+def mark_batches(rows: DataFrame, origin: float = 0.0, slices: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """Rows with limits, each with the start of its batch."""
+    order = order or ORDER
+    kept = landed(rows.withColumns({"tick": tick_at(F.col("ingest_ts"), origin), "uid": F.monotonically_increasing_id()}), "rows")
+    narrow = kept.select("uid", *KEYS, *order, "tick", "alert_matched", "flush_size")
+    slices = slices or slice_count(narrow)
+    sliced = range_slices(narrow, KEYS, [*order, "uid"], slices, row="row").drop(*order)
+    notes = sliced.drop("uid", "row").mapInArrow(summarise, NOTE)
+    entries = chain(notes, slices, lambda level: landed(level, "notes"))
+    marks = sliced.groupBy(SLICE).cogroup(entries.groupBy("slice")).applyInArrow(mark, MARKS)
+    return kept.join(marks, "uid").drop("uid")

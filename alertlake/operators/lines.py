@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from alertlake.functions import text as tx
 from alertlake.functions.patterns import matches_globs
 from alertlake.functions.times import split_timestamp_prefix as split_prefix
-from alertlake.settings import Settings
+from alertlake.settings import HostSettings, Settings, per_host
 
 
 def bare_name(name: Column) -> Column:
@@ -39,8 +39,11 @@ def exclude_container(raw: DataFrame, own_id: str) -> DataFrame:
 
 def since_cutoff(raw: DataFrame, started_at: dt.datetime, since_seconds: float = 0) -> DataFrame:
     """Rows from ``since`` before the start on; the cut-off is a whole second."""
-    start = started_at - dt.timedelta(seconds=max(since_seconds, 0))
-    return raw.where(F.col("timestamp") >= F.lit(start.replace(microsecond=0)))
+    return raw.where(F.col("timestamp") >= F.lit(cutoff(started_at, since_seconds)))
+
+
+def cutoff(started_at: dt.datetime, since_seconds: float) -> dt.datetime:
+    return (started_at - dt.timedelta(seconds=max(since_seconds, 0))).replace(microsecond=0)
 
 
 def split_timestamp_prefix(raw: DataFrame) -> DataFrame:
@@ -85,7 +88,31 @@ def debug_lines(raw: DataFrame) -> DataFrame:
     return raw.select(line.alias("value"))
 
 
-def watched_lines(raw: DataFrame, settings: Settings, own_id: str = "", many_hosts: bool = False) -> DataFrame:
-    """The front of every job: lines of the containers to watch, without the monitor's own, named by host where there are several."""
-    lines = exclude_container(match_containers(raw, settings.include_patterns), own_id)
+def watched_lines(raw: DataFrame, settings: HostSettings, own_id: str = "", many_hosts: bool = False, started_at: dt.datetime | None = None) -> DataFrame:
+    """The front of every job: lines of the containers to watch, without the monitor's own, named by host where there are several.
+
+    Lines are cut at the limit. With ``started_at``, lines written before the host's ``since`` are left out; a line without a
+    time stays. Hosts without settings, and hosts in debug mode, have no part in the job: see ``debug_lines``.
+    """
+    name = bare_name(F.col("container.name"))
+    watched = per_host(settings, lambda one: F.lit(False) if one.debug else matches_globs(name, one.include_patterns), lambda one: (one.debug, tuple(one.include_patterns)))
+    lines = exclude_container(with_container_name(raw.where(watched), name), own_id)
+    if started_at is not None:
+        start = per_host(settings, lambda one: F.lit(cutoff(started_at, one.seconds("since"))))
+        lines = lines.where(F.col("timestamp").isNull() | (F.col("timestamp") >= start))
+    lines = clip_lines(lines)
     return prefix_host(lines) if many_hosts else lines
+
+
+def watched_debug_lines(raw: DataFrame, settings: HostSettings, own_id: str = "", many_hosts: bool = False) -> DataFrame:
+    """Printable lines of the hosts in debug mode, of the containers to watch."""
+    name = bare_name(F.col("container.name"))
+    shown = per_host(settings, lambda one: matches_globs(name, one.include_patterns) if one.debug else F.lit(False), lambda one: (one.debug, tuple(one.include_patterns)))
+    lines = exclude_container(with_container_name(raw.where(shown), name), own_id)
+    return debug_lines(prefix_host(lines) if many_hosts else lines)
+
+
+def hosts_without_settings(raw: DataFrame, settings: HostSettings) -> DataFrame:
+    """(host, lines) of the hosts that no settings name: their lines are in no other result."""
+    missing = F.lit(False) if isinstance(settings, Settings) else ~F.coalesce(F.col("host").isin(list(settings)), F.lit(False))
+    return raw.where(missing).groupBy("host").agg(F.count("*").alias("lines"))

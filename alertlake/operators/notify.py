@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from alertlake.functions import text as tx
 from alertlake.operators.health import HEALTH_PREFIX
 from alertlake.plans.slices import SLICE, KeyWindow
-from alertlake.settings import Settings
+from alertlake.settings import HostSettings, Settings, per_host
 
 # The texts and limits of a message.
 ALERT_TITLE = "Docker日志告警 "
@@ -210,19 +210,19 @@ def fit_payload(build, body: Column, limit: int = PAYLOAD_BYTES) -> Column:
 # ---- tables ---------------------------------------------------------------------------------------------------
 
 
-def notifications(batches: DataFrame, settings: Settings, zone: str | None = None) -> DataFrame:
+def notifications(batches: DataFrame, settings: HostSettings, zone: str | None = None) -> DataFrame:
     """Messages of each batch: a markdown one, and a text one if somebody is to be mentioned.
 
-    ``payload`` is NULL for a message that cannot be made to fit; the sink reports those.
+    Whom to mention, how many events to show and the ``webhook`` to send to are those of the batch's host. ``payload`` is NULL
+    for a message that cannot be made to fit, see ``rejected``.
     """
     batch = F.struct(*batches.columns)
-    body = F.when(is_health(F.col("log_id")), health_markdown(batch, zone)).otherwise(
-        markdown(batch, settings.max_events, zone)
-    )
-    mention = should_mention(F.col("events"), settings.mention_levels)
-    reachable = settings.at_all or bool(settings.at_mobiles)
+    shown = per_host(settings, lambda one: markdown(batch, one.max_events, zone), lambda one: one.max_events)
+    body = F.when(is_health(F.col("log_id")), health_markdown(batch, zone)).otherwise(shown)
+    mention = per_host(settings, lambda one: should_mention(F.col("events"), one.mention_levels), lambda one: tuple(one.mention_levels))
+    reachable = per_host(settings, lambda one: F.lit(one.at_all or bool(one.at_mobiles)))
     first = F.struct(F.lit(1).alias("part"), F.lit("markdown").alias("msgtype"), body.alias("body"))
-    mentioned = mention_text(batch, settings.at_all, settings.at_mobiles)
+    mentioned = per_host(settings, lambda one: mention_text(batch, one.at_all, one.at_mobiles), _named)
     second = F.when(mention & reachable, F.struct(F.lit(2).alias("part"), F.lit("text").alias("msgtype"), mentioned.alias("body")))
     messages = batches.where(~F.col("suppress_alert_sinks")).select(
         "host",
@@ -234,23 +234,31 @@ def notifications(batches: DataFrame, settings: Settings, zone: str | None = Non
     )
     heading, content = F.col("title"), F.col("body")
     as_markdown = fit_payload(lambda text: payload_json("markdown", heading, text), content)
-    as_text = fit_payload(
-        lambda text: payload_json("text", heading, text, settings.at_all, settings.at_mobiles), content
-    )
-    return messages.withColumn("payload", F.when(F.col("msgtype") == "markdown", as_markdown).otherwise(as_text))
+    as_text = per_host(settings, lambda one: fit_payload(lambda text: payload_json("text", heading, text, one.at_all, one.at_mobiles), content), _named)
+    fitted = F.when(F.col("msgtype") == "markdown", as_markdown).otherwise(as_text)
+    return messages.withColumns({"payload": fitted, "webhook": per_host(settings, lambda one: F.lit(one.webhook_url))})
+
+
+def _named(one: Settings) -> tuple:
+    return one.at_all, tuple(one.at_mobiles)
+
+
+def rejected(messages: DataFrame) -> DataFrame:
+    """Messages that no sender can take: their payload does not fit, even without a body."""
+    return messages.where("payload IS NULL").select("host", "log_id", "arrival", "msgtype", F.octet_length("title").alias("title_bytes"), F.octet_length("body").alias("body_bytes"))
 
 
 def send_schedule(
-    messages: DataFrame, keys: Sequence[str], order: Sequence[str], interval: float = SEND_SECONDS
+    messages: DataFrame, keys: Sequence[str], order: Sequence[str], interval: float = SEND_SECONDS, arrival: str | None = None
 ) -> DataFrame:
     """Send time of each message of a queue: its arrival, or ``interval`` after the one before it if that is later.
 
     With n the place in the queue, slot(n) = n·d + max over k ≤ n of (arrival(k) − k·d). ``order`` starts with the
-    arrival time. All messages may share one queue, so this runs in slices.
+    arrival time, or ``arrival`` names it. All messages may share one queue, so this runs in slices.
     """
     step = int(interval * 1_000_000)
     window = KeyWindow(keys, order)
     placed = window.sum(messages, F.lit(1).cast("bigint"), "place")
-    lead = F.unix_micros(F.col(order[0])) - F.col("place") * step
+    lead = F.unix_micros(F.col(arrival or order[0])) - F.col("place") * step
     queued = window.max(placed, lead, "_lead")
     return queued.withColumn("send_at", F.timestamp_micros(F.col("place") * step + F.col("_lead"))).drop("_lead", SLICE)

@@ -5,7 +5,7 @@ Everything is built-in expressions, so the same code serves static and streaming
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from alertlake.functions.json import ci_get, json_object, leaf_texts, lower_keys
 from alertlake.functions.patterns import any_match, compile_patterns
 from alertlake.functions.times import json_time
 from alertlake.plans.once import compute_once
-from alertlake.settings import BARE_LEVEL_REGEXPS, MESSAGE_FIELDS, TIME_FIELDS, Settings
+from alertlake.settings import BARE_LEVEL_REGEXPS, MESSAGE_FIELDS, TIME_FIELDS, HostSettings, Settings, per_host
 
 
 def clean_keys(keys) -> list[str]:
@@ -64,7 +64,7 @@ class LineParser:
         return shallow | (fields.isNotNull() & F.coalesce(deep, F.lit(False)))
 
 
-def parse_lines(raw: DataFrame, settings: Settings | Mapping[str, Settings]) -> DataFrame:
+def parse_lines(raw: DataFrame, settings: HostSettings) -> DataFrame:
     """Every non-blank line with its parsed columns, nothing dropped yet."""
     pick = _per_host(settings)
     line, fields, message = F.col("line"), F.col("fields"), F.col("message")
@@ -85,7 +85,7 @@ def parse_lines(raw: DataFrame, settings: Settings | Mapping[str, Settings]) ->
     )
 
 
-def parse_events(raw: DataFrame, settings: Settings | Mapping[str, Settings]) -> DataFrame:
+def parse_events(raw: DataFrame, settings: HostSettings) -> DataFrame:
     """Relevant events: not excluded, and with an alert level or a correlation id.
 
     ``settings`` is one set for all rows or one per host; rows of a host without settings are dropped.
@@ -112,23 +112,19 @@ def parse_events(raw: DataFrame, settings: Settings | Mapping[str, Settings]) ->
     return events.where(~F.col("excluded") & relevant).drop("excluded")
 
 
-def _per_host(settings: Settings | Mapping[str, Settings]) -> Callable[[Callable[[LineParser], Column]], Column]:
-    if isinstance(settings, Settings):
-        parser = LineParser(settings)
-        return lambda build: build(parser)
-    groups: dict[tuple, tuple[Settings, list[str]]] = {}
-    for host, one in settings.items():
-        key = (
+def _per_host(settings: HostSettings) -> Callable[[Callable[[LineParser], Column]], Column]:
+    parsers: dict[tuple, LineParser] = {}
+
+    def depends(one: Settings) -> tuple:
+        return (
             one.unknown_log_id, one.level_regexps, one.exclude_regexps, one.log_id_regexps, one.level_fields,
             one.message_fields, one.time_fields, one.log_id_keys,
         )
-        groups.setdefault(key, (one, []))[1].append(host)
-    parsers = [(LineParser(one), hosts) for one, hosts in groups.values()]
 
-    def pick(build: Callable[[LineParser], Column]) -> Column:
-        chosen = F
-        for parser, hosts in parsers:
-            chosen = chosen.when(F.col("host").isin(hosts), build(parser))
-        return chosen
+    def parser(one: Settings) -> LineParser:
+        key = depends(one)
+        if key not in parsers:
+            parsers[key] = LineParser(one)
+        return parsers[key]
 
-    return pick
+    return lambda build: per_host(settings, lambda one: build(parser(one)), depends)

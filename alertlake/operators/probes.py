@@ -39,12 +39,18 @@ def request_events(events: DataFrame) -> DataFrame:
     return read.where(F.col("fields").isNotNull()).withColumn("request", request).drop("fields")
 
 
-def path_in(requests: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Requests whose path is one of the given ones, with ``path`` and ``client``."""
+def path_in(requests: DataFrame, paths: Sequence[str] | DataFrame) -> DataFrame:
+    """Requests whose path is one of the given ones, with ``path`` and ``client``.
+
+    A table of paths, in a column ``path``, is joined and may be of any size; a list becomes part of the plan.
+    """
     request = F.col("request")
     client = client_ip(request["x_real_ip"], request["x_forwarded_for"], request["ip"], request["remote_addr"])
     path = strip_query(F.coalesce(request["url"], F.lit("")))
-    return compute_once(requests, {"path": path, "client": client}).where(F.col("path").isin(list(dict.fromkeys(paths))))
+    found = compute_once(requests, {"path": path, "client": client})
+    if isinstance(paths, DataFrame):
+        return found.join(paths.select("path"), "path", "left_semi")
+    return found.where(F.col("path").isin(list(dict.fromkeys(paths))))
 
 
 def may_hold_path(raw: Column, paths: Sequence[str]) -> Column:
@@ -55,10 +61,12 @@ def may_hold_path(raw: Column, paths: Sequence[str]) -> Column:
     return hint
 
 
-def probe_hits(events: DataFrame, paths: Sequence[str] = DEFAULT_PATHS) -> DataFrame:
-    """Requests for the paths, with the client; requests without a client address are left out."""
+def probe_hits(events: DataFrame, paths: Sequence[str] | DataFrame = DEFAULT_PATHS) -> DataFrame:
+    """Requests for the paths, a list or a table, with the client; requests without a client address are left out."""
     request = F.col("request")
-    candidates = events.where((F.col("message") == REQUEST_MESSAGE) & may_hold_path(F.col("raw"), paths))
+    candidates = events.where(F.col("message") == REQUEST_MESSAGE)
+    if not isinstance(paths, DataFrame):
+        candidates = candidates.where(may_hold_path(F.col("raw"), paths))
     hits = path_in(request_events(candidates), paths)
     kept = [name for name in events.columns if name == "file"]
     return hits.where(F.col("client") != "").select(

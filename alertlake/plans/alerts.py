@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.operators.backfill import backfill_summary, backfill_windows, mark_suppressed, merge_windows
@@ -15,7 +16,7 @@ from alertlake.operators.notify import notifications, send_schedule
 from alertlake.operators.parse import parse_events
 from alertlake.operators.probes import DEFAULT_PATHS, probe_hits, probe_stats, rank_probes
 from alertlake.plans.slices import checkpointed
-from alertlake.settings import Settings
+from alertlake.settings import HostSettings, per_host
 
 
 @dataclass
@@ -27,29 +28,39 @@ class AlertTables:
     messages: DataFrame
 
 
+def host_limits(settings: HostSettings) -> tuple[Column, Column]:
+    """Batch size and interval in seconds: of the one set of settings, or by host."""
+    return per_host(settings, lambda one: F.lit(one.flush_size)), per_host(settings, lambda one: F.lit(float(one.seconds("flush_interval"))))
+
+
+def replay_limits(settings: HostSettings) -> tuple[Column, Column]:
+    """Threshold and longest duration of a replay, in seconds."""
+    names = ("backfill_threshold", "backfill_max_duration")
+    return tuple(per_host(settings, lambda one, name=name: F.lit(float(one.seconds(name)))) for name in names)
+
+
 def run_alerts(
     raw: DataFrame,
-    settings: Settings,
+    settings: HostSettings,
     own_id: str = "",
     many_hosts: bool = True,
     status: DataFrame | None = None,
+    started_at: dt.datetime | None = None,
 ) -> AlertTables:
-    """Raw lines to stored batches and scheduled messages.
+    """Raw lines to stored batches and scheduled messages, with one set of settings or one per host.
 
     What is read several times is stored once: events (to sample, to sort, to count) and batches (to file, to notify,
     to measure the queue).
     """
-    lines = watched_lines(raw, settings, own_id)
+    lines = watched_lines(raw, settings, own_id, started_at=started_at)
     events = checkpointed(parse_events(prefix_host(lines) if many_hosts else lines, settings))
-    windows = merge_windows(
-        backfill_windows(lines, settings.seconds("backfill_threshold"), settings.seconds("backfill_max_duration"))
-    )
-    batches = flush_batches(events, settings.flush_size, settings.seconds("flush_interval")).drop("cause")
+    windows = merge_windows(backfill_windows(lines, *replay_limits(settings)))
+    batches = flush_batches(events, *host_limits(settings)).drop("cause")
     every = mark_suppressed(batches, windows).unionByName(backfill_summary(events, windows))
     if status is not None:
         every = every.unionByName(health_batches(health_transitions(status)))
     stored = checkpointed(every)
-    messages = notifications(stored, settings).withColumn("webhook", F.lit(settings.webhook_url))
+    messages = notifications(stored, settings)
     order = ["arrival", "host", "log_id", "first_seen", "part"]
     return AlertTables(events, stored, send_schedule(messages, ["webhook"], order))
 

@@ -1,19 +1,24 @@
 """The scan that finds batch starts in sorted event rows, run inside the tasks of ``assign_batches``.
 
-A task sees one slice of the rows as a stream of Arrow batches. What it keeps between them is the open group:
-its size, whether it holds an alert, and where it started.
+The first pass reads one slice of the rows as a stream of Arrow batches and notes what the slice makes of every group that may
+be open before it: a finite map from open group to open group. Such maps compose, so notes of neighbouring slices make one
+note of the same form. ``compose`` does that for up to ``FAN`` of them, level by level, and ``descend`` hands the open group
+back down; each step is a small table grouped by its parent, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # The scan travels with the job, so that workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -21,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed value: a group without an alert holds this many times the batch size.
 BUFFER_FACTOR = 10
 ROW_BITS = 40
+# Notes that one step composes.
+FAN = 64
 
 EXIT = T.ArrayType(
     T.StructType(
@@ -32,24 +39,37 @@ EXIT = T.ArrayType(
         ]
     )
 )
-SUMMARY_SCHEMA = T.StructType(
+KEY = T.ArrayType(T.StringType())
+# Of a slice, or of neighbouring ones. ``start`` names the batch that is open in the end, -1 if it was open before; ``head``
+# counts the rows that still belong to the group that was open before.
+NOTE = T.StructType(
     [
-        T.StructField("slice", T.IntegerType()),
+        T.StructField("slice", T.LongType()),
         T.StructField("rows", T.LongType()),
-        T.StructField("first_key", T.ArrayType(T.StringType())),
+        T.StructField("first_key", KEY),
         T.StructField("first_tick", T.LongType()),
-        T.StructField("last_key", T.ArrayType(T.StringType())),
+        T.StructField("first_need", T.LongType()),
+        T.StructField("last_key", KEY),
         T.StructField("last_tick", T.LongType()),
-        T.StructField("newest_tick", T.LongType()),
         T.StructField("exits", EXIT),
     ]
 )
-MARKS = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("keep", T.BooleanType())])
+# The group that is open before a slice, and how many rows after the slice belong to its last batch.
+ENTRY = T.StructType(
+    [
+        T.StructField("slice", T.LongType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("alert", T.BooleanType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("follow", T.LongType()),
+    ]
+)
+MARKS = T.StructType([T.StructField("uid", T.LongType()), T.StructField("batch_id", T.LongType()), T.StructField("keep", T.BooleanType())])
 
 
 @dataclass(frozen=True)
 class Group:
-    """An open group: rows so far, alert seen, and the row of the slice that began it (-1: an earlier slice)."""
+    """An open group: rows so far, alert seen, and where it began (-1: before what is looked at)."""
 
     size: int = 0
     alert: bool = False
@@ -65,6 +85,7 @@ class Run:
     def __init__(self, batch: pa.RecordBatch):
         self.rows = batch.num_rows
         columns = [batch.column("host"), batch.column("log_id")]
+        self.needs = np.maximum(batch.column("flush_size").to_numpy(zero_copy_only=False).astype(np.int64), 1)
         self.ticks = batch.column("tick").to_numpy(zero_copy_only=False)
         self.alerts = batch.column("alert_matched").to_numpy(zero_copy_only=False).astype(bool)
         self.first_key = [column[0].as_py() for column in columns]
@@ -88,186 +109,186 @@ def _run_ends(change: np.ndarray) -> np.ndarray:
     return np.repeat(ends, np.diff(np.append(np.insert(starts, 0, 0), len(change))))
 
 
-class BatchScan:
-    def __init__(self, flush_size: int):
-        self.need = flush_size
-        self.room = flush_size * BUFFER_FACTOR
-        # All that matters of a group before a slice: without an alert, sizes from flush_size - 1 on act alike.
-        self.enough = max(flush_size - 1, 1)
-        waiting = [Group(size) for size in range(self.enough + 1)]
-        alerted = [Group(size, True) for size in range(1, flush_size)]
-        self.variants = waiting + alerted
-
-    def variant(self, group: Group) -> int:
-        if group.alert:
-            return self.enough + group.size
-        return min(group.size, self.enough)
-
-    def cut(self, run: Run, group: Group, begin: int = 0) -> tuple[list[int], Group]:
-        """Rows of the run that start a batch, and the group open after it, its start counted within the run.
-
-        ``group`` is open before row ``begin``. A tick that reaches the end of the run may go on after it.
-        """
-        starts = [] if group.size else [begin]
-        start, alert = begin - group.size, group.alert
-        while True:
-            row = max(start, begin)
-            if row == run.rows:
-                return starts[:-1], NOTHING
-            trigger = row
-            if not alert:
-                index = int(np.searchsorted(run.alert_rows, row))
-                trigger = int(run.alert_rows[index]) if index < len(run.alert_rows) else run.rows
-            if trigger > run.key_ends[row]:
-                # No alert in the rest of the key: the group stays open.
-                last = int(run.key_ends[row])
-                if last == run.rows - 1:
-                    return starts, Group(run.rows - start, False, starts[-1] if starts else -1)
-            else:
-                full, last = max(trigger, start + self.need - 1), int(run.tick_ends[trigger])
-                if last == run.rows - 1 and full > last:
-                    return starts, Group(run.rows - start, True, starts[-1] if starts else -1)
-                last = min(full, last)
-            start, alert = last + 1, False
-            starts.append(start)
-
-    # ---- first pass: what a slice does to the group that is open before it
-
-    def summarise(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = newest = None
-        rows, exits, heads = 0, [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            run = Run(batch)
-            if first is None:
-                first = (batch.column("slice")[0].as_py(), run.first_key, int(run.ticks[0]))
-                exits, heads = list(self.variants), [None] * len(self.variants)
-            else:
-                exits = [self.after_gap(group, last, run) for group in exits]
-            cuts = {}
-            for index, group in enumerate(exits):
-                state = (group.size, group.alert)
-                if state not in cuts:
-                    cuts[state] = self.cut(run, group)
-                starts, left = cuts[state]
-                if starts and heads[index] is None:
-                    heads[index] = rows + starts[0]
-                exits[index] = self.place(left, group, rows) if left.size else NOTHING
-            rows += run.rows
-            last = (run.last_key, int(run.ticks[-1]))
-            newest = max(int(run.ticks.max()), last[1] if newest is None else newest)
-        if first is None:
-            return
-        noted = [
-            {"size": g.size, "alert": g.alert, "start": g.start, "head": rows if head is None else head}
-            for g, head in zip(exits, heads)
-        ]
-        record = [
-            {
-                "slice": first[0], "rows": rows, "first_key": first[1], "first_tick": first[2],
-                "last_key": last[0], "last_tick": last[1], "newest_tick": newest, "exits": noted,
-            }
-        ]
-        yield pa.RecordBatch.from_pylist(record, schema=_arrow_summary())
-
-    def after_gap(self, group: Group, last, run: Run) -> Group:
-        """The open group when the next run begins: gone if the key or, with an alert, the tick has changed."""
-        if last is None or list(last[0]) != run.first_key:
-            return NOTHING
-        return NOTHING if group.alert and last[1] != run.ticks[0] else group
-
-    def place(self, left: Group, before: Group, rows: int) -> Group:
-        start = before.start if left.start < 0 else rows + left.start
-        return replace(left, start=start, size=left.size if left.alert else min(left.size, self.enough))
-
-    # ---- between the passes
-
-    def chain(self, notes) -> dict[int, dict]:
-        """Open group before every slice, and how many rows of the last batch follow after it."""
-        notes = sorted(notes, key=lambda note: note["slice"])
-        entries, group, batch_id, last = {}, NOTHING, -1, None
-        for note in notes:
-            gone = last is None or last["last_key"] != note["first_key"]
-            if gone or (group.alert and last["last_tick"] != note["first_tick"]):
-                group = NOTHING
-            exit_ = note["exits"][self.variant(group)]
-            entries[note["slice"]] = {
-                "size": group.size, "alert": group.alert, "batch_id": batch_id if group.size else -1,
-                "head": exit_["head"] if group.size else 0, "rows": note["rows"], "follow": 0,
-            }
-            group = Group(exit_["size"], exit_["alert"])
-            if exit_["start"] >= 0:
-                batch_id = (note["slice"] << ROW_BITS) | exit_["start"]
-            last = note
-        following = 0
-        for note in reversed(notes):
-            entry = entries[note["slice"]]
-            entry["follow"] = following
-            # The head of this slice belongs to the last batch of the slice before.
-            following = entry["head"] + (following if entry["head"] == entry["rows"] else 0)
-        return entries
-
-    # ---- second pass: the batch of every row
-
-    def mark(self, batches: Iterator[pa.RecordBatch], entries: dict[int, dict]) -> Iterator[pa.RecordBatch]:
-        group, open_id, last, rows, held, entry = NOTHING, -1, None, 0, None, {"follow": 0}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            run = Run(batch)
-            if last is None:
-                number = batch.column("slice")[0].as_py()
-                entry = entries[number]
-                group, open_id = Group(entry["size"], entry["alert"]), entry["batch_id"]
-            else:
-                group = self.after_gap(group, last, run)
-            starts, left = self.cut(run, group)
-            ids = [(number << ROW_BITS) | (rows + start) for start in starts]
-            if group.size:
-                starts, ids = [0, *starts], [open_id, *ids]
-            lengths = np.diff([*starts, run.rows])
-            row_ids = np.repeat(np.array(ids, dtype=np.int64), lengths)
-            after = np.repeat(np.cumsum(lengths), lengths) - 1 - np.arange(run.rows)
-
-            if held is not None and not (group.size and len(ids) == 1):
-                # The held batch ends in this run: how many rows follow is now known.
-                yield self.settle(held, open_id, int(lengths[0]) if group.size else 0)
-                held = None
-            hold = min(int(lengths[-1]), self.room)
-            sure = run.rows - hold
-            fresh = batch.slice(sure)
-            if held is not None:
-                stale = max(held.num_rows + hold - self.room, 0)
-                yield self.settle(held.slice(0, stale), open_id, self.room)
-                fresh = _joined(held.slice(stale), fresh)
-            yield _marked(batch.slice(0, sure), row_ids[:sure], after[:sure] < self.room)
-            held, open_id = fresh, ids[-1]
-            group, rows, last = left, rows + run.rows, (run.last_key, int(run.ticks[-1]))
-        if held is not None:
-            yield self.settle(held, open_id, entry["follow"])
-
-    def settle(self, held: pa.RecordBatch, batch_id: int, following: int) -> pa.RecordBatch:
-        """Mark rows held back of one batch, of which ``following`` more rows come after them."""
-        after = np.arange(held.num_rows)[::-1] + following
-        return _marked(held, np.full(held.num_rows, batch_id, dtype=np.int64), after < self.room)
-
-
-def _arrow_summary() -> pa.Schema:
-    exit_ = pa.struct([("size", pa.int64()), ("alert", pa.bool_()), ("start", pa.int64()), ("head", pa.int64())])
-    return pa.schema(
-        [
-            ("slice", pa.int32()), ("rows", pa.int64()), ("first_key", pa.list_(pa.string())), ("first_tick", pa.int64()),
-            ("last_key", pa.list_(pa.string())), ("last_tick", pa.int64()),
-            ("newest_tick", pa.int64()), ("exits", pa.list_(exit_)),
-        ]
-    )
+def enough(need: int) -> int:
+    """Without an alert, group sizes from here on act alike."""
+    return max(need - 1, 1)
+
+
+def variants(need: int) -> list[Group]:
+    """All that matters of a group before a slice whose first key has this batch size."""
+    return [Group(size) for size in range(enough(need) + 1)] + [Group(size, True) for size in range(1, need)]
 
 
-def _joined(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.Table.from_batches([left, right]).combine_chunks().to_batches()[0] if left.num_rows else right
+def variant(group: Group, need: int) -> int:
+    return enough(need) + group.size if group.alert else min(group.size, enough(need))
 
 
-def _marked(batch: pa.RecordBatch, ids: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-    columns = [*batch.columns, pa.array(ids, pa.int64()), pa.array(keep, pa.bool_())]
-    return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "batch_id", "keep"])
+def cut(run: Run, group: Group, begin: int = 0) -> tuple[list[int], Group]:
+    """Rows of the run that start a batch, and the group open after it, its start counted within the run.
+
+    ``group`` is open before row ``begin``. A tick that reaches the end of the run may go on after it.
+    """
+    starts = [] if group.size else [begin]
+    start, alert = begin - group.size, group.alert
+    while True:
+        row = max(start, begin)
+        if row == run.rows:
+            return starts[:-1], NOTHING
+        trigger = row
+        if not alert:
+            index = int(np.searchsorted(run.alert_rows, row))
+            trigger = int(run.alert_rows[index]) if index < len(run.alert_rows) else run.rows
+        if trigger > run.key_ends[row]:
+            # No alert in the rest of the key: the group stays open.
+            last = int(run.key_ends[row])
+            if last == run.rows - 1:
+                return starts, Group(run.rows - start, False, starts[-1] if starts else -1)
+        else:
+            full, last = max(trigger, start + int(run.needs[row]) - 1), int(run.tick_ends[trigger])
+            if last == run.rows - 1 and full > last:
+                return starts, Group(run.rows - start, True, starts[-1] if starts else -1)
+            last = min(full, last)
+        start, alert = last + 1, False
+        starts.append(start)
+
+
+def after_gap(group: Group, last_key, last_tick, first_key, first_tick) -> Group:
+    """The open group when the next rows begin: gone if the key or, with an alert, the tick has changed."""
+    if list(last_key) != list(first_key):
+        return NOTHING
+    return NOTHING if group.alert and last_tick != first_tick else group
+
+
+# ---- first pass: what a slice does to the group that is open before it
+
+
+def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = last = None
+    rows, exits, heads = 0, [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        run = Run(batch)
+        if first is None:
+            first = (batch.column("slice")[0].as_py(), run.first_key, int(run.ticks[0]), int(run.needs[0]))
+            exits = variants(first[3])
+            heads = [None] * len(exits)
+        else:
+            exits = [after_gap(group, *last, run.first_key, run.ticks[0]) for group in exits]
+        cuts, need = {}, int(run.needs[-1])
+        for index, group in enumerate(exits):
+            state = (group.size, group.alert)
+            if state not in cuts:
+                cuts[state] = cut(run, group)
+            starts, left = cuts[state]
+            if starts and heads[index] is None:
+                heads[index] = rows + starts[0]
+            if left.size:
+                start = group.start if left.start < 0 else (first[0] << ROW_BITS) | (rows + left.start)
+                left = replace(left, start=start, size=left.size if left.alert else min(left.size, enough(need)))
+            exits[index] = left if left.size else NOTHING
+        rows += run.rows
+        last = (run.last_key, int(run.ticks[-1]))
+    if first is None:
+        return
+    noted = [{"size": g.size, "alert": g.alert, "start": g.start, "head": rows if head is None else head} for g, head in zip(exits, heads)]
+    note = {
+        "slice": first[0], "rows": rows, "first_key": first[1], "first_tick": first[2], "first_need": first[3],
+        "last_key": last[0], "last_tick": last[1], "exits": noted,
+    }
+    yield pa.RecordBatch.from_pylist([note], schema=to_arrow_schema(NOTE))
+
+
+# ---- between the passes
+
+
+def step(group: Group, batch_id: int, before: dict | None, note: dict) -> tuple[Group, int, dict]:
+    """Through one more note: the open group and its batch where the note begins, and what the note makes of it."""
+    if before is not None:
+        group = after_gap(group, before["last_key"], before["last_tick"], note["first_key"], note["first_tick"])
+    return group, batch_id if group.size else -1, note["exits"][variant(group, note["first_need"])]
+
+
+def compose(notes: list[dict]) -> dict:
+    """One note of several neighbouring ones."""
+    notes, exits = sorted(notes, key=lambda note: note["slice"]), []
+    for group in variants(notes[0]["first_need"]):
+        batch_id, before, head, whole = -1, None, 0, True
+        for note in notes:
+            group, batch_id, exit_ = step(group, batch_id, before, note)
+            if whole:
+                # Nothing is open that could go on: the group from before has ended.
+                mine = exit_["head"] if group.size or before is None else 0
+                head, whole = head + mine, mine == note["rows"]
+            batch_id = exit_["start"] if exit_["start"] >= 0 else batch_id
+            group, before = Group(exit_["size"], exit_["alert"]), note
+        exits.append({"size": group.size, "alert": group.alert, "start": batch_id if group.size else -1, "head": head})
+    first, last = notes[0], notes[-1]
+    kept = {name: first[name] for name in ("first_key", "first_tick", "first_need")} | {name: last[name] for name in ("last_key", "last_tick")}
+    return {"slice": first["slice"] // FAN, "rows": sum(note["rows"] for note in notes), **kept, "exits": exits}
+
+
+def descend(notes: list[dict], parent: dict | None) -> list[dict]:
+    """The entry of each of several neighbouring notes, from the entry of all of them."""
+    notes = sorted(notes, key=lambda note: note["slice"])
+    parent = parent or {"size": 0, "alert": False, "batch_id": -1, "follow": 0}
+    group, batch_id, before, entries, heads = Group(parent["size"], parent["alert"]), parent["batch_id"], None, [], []
+    for note in notes:
+        group, batch_id, exit_ = step(group, batch_id, before, note)
+        entries.append({"slice": note["slice"], "size": group.size, "alert": group.alert, "batch_id": batch_id, "follow": 0})
+        heads.append(exit_["head"] if group.size else 0)
+        batch_id = exit_["start"] if exit_["start"] >= 0 else batch_id
+        group, before = Group(exit_["size"], exit_["alert"]), note
+    following = parent["follow"]
+    for note, entry, head in reversed(list(zip(notes, entries, heads))):
+        entry["follow"] = following
+        # The head of these rows belongs to the last batch of those before.
+        following = head + (following if head == note["rows"] else 0)
+    return entries
+
+
+def _composed(table: pa.Table) -> pa.Table:
+    return pa.Table.from_pylist([compose(table.to_pylist())], schema=to_arrow_schema(NOTE))
+
+
+def _top(table: pa.Table) -> pa.Table:
+    return pa.Table.from_pylist(descend(table.to_pylist(), None), schema=to_arrow_schema(ENTRY))
+
+
+def _descended(notes: pa.Table, parents: pa.Table) -> pa.Table:
+    return pa.Table.from_pylist(descend(notes.to_pylist(), parents.to_pylist()[0]) if len(notes) else [], schema=to_arrow_schema(ENTRY))
+
+
+def chain(notes: DataFrame, slices: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Entry of every slice, from the notes of all; slices are numbered below ``slices``. ``keep`` stores a level."""
+    node = F.floor(F.col("slice") / FAN).alias("node")
+    levels, width = [keep(notes)], slices
+    while width > FAN:
+        levels.append(keep(levels[-1].groupBy(node).applyInArrow(_composed, NOTE)))
+        width = -(-width // FAN)
+    entries = levels.pop().groupBy(node).applyInArrow(_top, ENTRY)
+    while levels:
+        entries = levels.pop().groupBy(node).cogroup(entries.groupBy("slice")).applyInArrow(_descended, ENTRY)
+    return entries
+
+
+# ---- second pass: the batch of every row
+
+
+def mark(table: pa.Table, entries: pa.Table) -> pa.Table:
+    """(uid, batch_id, keep) of the rows of one slice; ``keep`` says whether the buffer still holds the row at the end."""
+    if not len(table):
+        return pa.Table.from_pylist([], schema=to_arrow_schema(MARKS))
+    table = table.sort_by("row").combine_chunks()
+    run, entry, number = Run(table.to_batches()[0]), entries.to_pylist()[0], table.column("slice")[0].as_py()
+    group = Group(entry["size"], entry["alert"])
+    starts, _ = cut(run, group)
+    ids = [(number << ROW_BITS) | start for start in starts]
+    if group.size:
+        starts, ids = [0, *starts], [entry["batch_id"], *ids]
+    lengths = np.diff([*starts, run.rows])
+    row_ids = np.repeat(np.array(ids, dtype=np.int64), lengths)
+    after = np.repeat(np.cumsum(lengths), lengths) - 1 - np.arange(run.rows)
+    after[run.rows - int(lengths[-1]) :] += entry["follow"]
+    columns = [table.column("uid").cast(pa.int64()), pa.array(row_ids), pa.array(after < run.needs * BUFFER_FACTOR)]
+    return pa.Table.from_arrays(columns, schema=to_arrow_schema(MARKS))

@@ -47,18 +47,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """Store the rows as Parquet in the shared folder, for readers that need few of their columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slice_count(df: DataFrame) -> int:
     """Slices of ``SLICE_ROWS`` by the measured number of rows, however many; a small input is spread over the cores."""
     rows = df.count()
     return max(math.ceil(rows / SLICE_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / SMALL_ROWS)), 1)
 
 
-def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
-    """Sort by key and order over the whole cluster; ``slice`` numbers the partitions in that order.
+def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None, row: str | None = None) -> DataFrame:
+    """Sort by key and order over the whole cluster; ``slice`` numbers the partitions in that order, ``row`` the rows of each.
 
     A big key fills many slices. Only the last key of a slice can go on in the next one.
     """
     ranged = df.repartitionByRange(slices or slice_count(df), *keys, *order).sortWithinPartitions(*keys, *order)
+    if row:
+        # The low bits of the number count the rows of a partition.
+        ranged = ranged.withColumn(row, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.functions.times import parse_duration
@@ -111,6 +111,44 @@ class Settings:
         return self
 
 
+# One set for all hosts, or one per host.
+HostSettings = Settings | Mapping[str, Settings]
+
+
+def each_setting(settings: HostSettings) -> list[Settings]:
+    return [settings] if isinstance(settings, Settings) else list(settings.values())
+
+
+def per_host(settings: HostSettings, build: Callable[[Settings], Column], same: Callable[[Settings], object] | None = None, host: str = "host") -> Column:
+    """An expression that depends on the settings of the row's host; NULL for a host without settings.
+
+    Hosts are put together where the expressions are the same: ``same`` names what an expression depends on, by default its text.
+    """
+    if isinstance(settings, Settings):
+        return build(settings)
+    groups: dict[object, tuple[Column, list[str]]] = {}
+    for name, one in settings.items():
+        made = build(one) if same is None else None
+        key = str(made) if same is None else same(one)
+        if key not in groups:
+            groups[key] = (build(one) if made is None else made, [])
+        groups[key][1].append(name)
+    chosen = F
+    for made, names in groups.values():
+        chosen = chosen.when(F.col(host).isin(names), made)
+    return chosen
+
+
+def output_folders(settings: HostSettings) -> list[tuple[str, list[str] | None]]:
+    """Every output folder with the hosts that write to it; None stands for all hosts."""
+    if isinstance(settings, Settings):
+        return [(settings.output_dir, None)]
+    folders: dict[str, list[str]] = {}
+    for host, one in settings.items():
+        folders.setdefault(one.output_dir, []).append(host)
+    return [(path, None if len(folders) == 1 else hosts) for path, hosts in folders.items()]
+
+
 def resolve_hosts(defaults: Settings, hosts: Sequence[str | Mapping] = ()) -> list[Settings]:
     """Settings of every host: an entry is a host name or a mapping with a ``host`` key and overrides."""
     resolved, seen = [], set()

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.operators.notify import is_health, notifications
+from alertlake.operators.notify import is_health, notifications, rejected, send_schedule
+from alertlake.plans.slices import checkpointed
 from alertlake.schema import BATCH_FIELDS
-from alertlake.settings import Settings
+from alertlake.settings import HostSettings
 
 log = logging.getLogger("alertlake")
 
@@ -53,15 +55,57 @@ def write_batches(batches: DataFrame, path: str, commit: int | None = None) -> N
     _stored(placed, commit).option("timestampFormat", TIME_FORM).partitionBy("month", "day", "kind", "commit").json(path)
 
 
-def file_sink(path: str) -> Sink:
-    return lambda batches, commit: write_batches(batches, path, commit)
+def file_sink(path: str, hosts: list[str] | None = None) -> Sink:
+    """Stored batches of all hosts, or of some."""
 
+    def write(batches: DataFrame, commit: int | None = None) -> None:
+        write_batches(batches if hosts is None else batches.where(F.col("host").isin(hosts)), path, commit)
+
+    return write
+
+
+def commit_place(commit: int) -> int:
+    """Place of a commit in time: the end of a job after commit n, numbered -2 - n, stands between n and n + 1."""
+    return 2 * commit if commit >= 0 else 2 * (-2 - commit) + 1
 
-def outbox_sink(path: str, settings: Settings, zone: str | None = None) -> Sink:
-    """Notification rows of each commit, for a sender outside of Spark."""
+
+def last_slots(spark: SparkSession, path: str, place: int) -> DataFrame | None:
+    """(webhook, send_at) of the newest message of every queue before a place, None at the first one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
+    earlier = [int(name[6:]) for name in names if re.fullmatch(r"place=\d+", name) and int(name[6:]) < place]
+    return spark.read.parquet(f"{path}/place={max(earlier)}") if earlier else None
+
+
+def outbox_sink(path: str, settings: HostSettings, zone: str | None = None) -> Sink:
+    """Notification rows of each commit with their ``send_at``, for a sender outside of Spark.
+
+    A queue goes on over commits: the last slot of every webhook is kept beside the outbox, and the messages of the next commit take
+    the slots after it. A commit that is tried again goes on from the same slots. Messages that do not fit go to
+    ``rejected`` beside the outbox and take no slot.
+    """
+    slots, refused = f"{path.rstrip('/')}-slots", f"{path.rstrip('/')}-rejected"
 
     def write(batches: DataFrame, commit: int | None = None) -> None:
-        _stored(notifications(batches, settings, zone), commit).partitionBy("commit").parquet(path)
+        messages = checkpointed(notifications(batches, settings, zone))
+        _stored(rejected(messages), commit).partitionBy("commit").parquet(refused)
+        queue = messages.where("payload IS NOT NULL").withColumn("carried", F.lit(False))
+        before = None if commit is None else last_slots(batches.sparkSession, slots, commit_place(commit))
+        if before is not None:
+            # The slot taken last, as a message that has arrived then.
+            first = before.select("webhook", F.col("send_at").alias("after"), F.lit(True).alias("carried"))
+            queue = queue.withColumn("after", F.lit(None).cast("timestamp")).unionByName(first, allowMissingColumns=True)
+            queue = queue.withColumn("asked", F.coalesce("after", "arrival")).drop("after")
+        else:
+            queue = queue.withColumn("asked", F.col("arrival"))
+        order = ["ahead", "asked", "host", "log_id", "first_seen", "part"]
+        placed = checkpointed(send_schedule(queue.withColumn("ahead", F.when(F.col("carried"), 0).otherwise(1)), ["webhook"], order, arrival="asked"))
+        sent = placed.where("NOT carried").drop("carried", "asked", "ahead", "place")
+        _stored(sent, commit).partitionBy("commit").parquet(path)
+        if commit is not None:
+            newest = placed.groupBy("webhook").agg(F.max("send_at").alias("send_at"))
+            newest.write.mode("overwrite").parquet(f"{slots}/place={commit_place(commit)}")
 
     return write
 

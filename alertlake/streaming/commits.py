@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake.operators.batches import (
@@ -22,7 +22,10 @@ from alertlake.operators.batches import (
     is_full,
     mark_batches,
     single_event_batches,
+    tick_at,
+    with_limits,
 )
+from alertlake.plans.batch_scan import BUFFER_FACTOR
 from alertlake.schema import BATCH_FIELDS
 from alertlake.sources.sinks import Sink
 
@@ -47,16 +50,16 @@ def last_commit(spark: SparkSession, state: str) -> int:
     return max((int(name[7:]) for name in names if re.fullmatch(r"commit=\d+", name)), default=-1)
 
 
-def _ended(spark: SparkSession, state: str, commit: int) -> bool:
+def has_ended(spark: SparkSession, state: str, commit: int) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/ended={commit}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _reopened(groups: DataFrame, room: int) -> DataFrame:
+def _reopened(groups: DataFrame) -> DataFrame:
     """Rows that the open groups still hold; what is known of the rows they have dropped goes with the first."""
     waiting = groups.where(~F.col("done"))
-    rows = waiting.select(*KEYS, "total", "containers", "last_seen", F.posexplode(F.sort_array("buffer")).alias("place", "row"))
-    first = F.col("place") == 0
+    rows = waiting.select(*KEYS, "total", "containers", "last_seen", "flush_size", "interval_us", F.posexplode(F.sort_array("buffer")).alias("place", "row"))
+    first, room = F.col("place") == 0, F.col("flush_size") * BUFFER_FACTOR
     event, row = F.col("row.event"), F.col("row")
     fields = [event[name].alias(name) for name in ("timestamp", "container", "stream", "level", "alert_matched", "message", "raw", "parsed_from_json")]
     return rows.select(
@@ -64,6 +67,8 @@ def _reopened(groups: DataFrame, room: int) -> DataFrame:
         *fields,
         row["ingest_ts"].alias("ingest_ts"),
         row["seq"].alias("seq"),
+        "flush_size",
+        "interval_us",
         F.lit(0).alias("fresh"),
         F.when(first, F.greatest(F.col("total") - room, F.lit(0))).otherwise(0).cast("bigint").alias("dropped"),
         F.when(first, F.col("containers")).alias("past_containers"),
@@ -71,21 +76,25 @@ def _reopened(groups: DataFrame, room: int) -> DataFrame:
     )
 
 
-def group_commit(events: DataFrame, commit: int, state: str, flush_size: int, interval: float) -> DataFrame:
+def group_commit(
+    events: DataFrame, commit: int, state: str, flush_size: int | Column, interval: float | Column, heartbeat: int | None = None
+) -> DataFrame:
     """Batches that this commit completes. Its open groups stay in the state folder.
 
-    A group with an alert is complete when it is full, or when rows of a later tick have arrived anywhere. Commits are
-    numbered from 0, as ``foreachBatch`` does; a missing predecessor is an error, for its open groups would be lost.
+    A group with an alert is complete when it is full, or when rows of a later tick have arrived anywhere; ``heartbeat`` says that the
+    clock of arrivals has reached this time, in microseconds, without a row. Commits are numbered from 0, as ``foreachBatch`` does; a missing
+    predecessor is an error, for its open groups would be lost.
     """
-    spark, room = events.sparkSession, max(flush_size, 1) * 10
+    spark = events.sparkSession
     nothing = {name: F.lit(None).cast(kind) for name, kind in CARRIED.items()} | {"dropped": F.lit(0).cast("bigint")}
-    rows = grouped_events(events).drop("unknown_log_id").withColumns({"fresh": F.lit(1), **nothing})
+    fresh = with_limits(grouped_events(events), flush_size, interval).drop("unknown_log_id")
+    rows = fresh.withColumns({"fresh": F.lit(1), **nothing})
     if commit > 0:
         open_ = _groups_of(spark, state, commit - 1)
-        if _ended(spark, state, commit - 1):
+        if has_ended(spark, state, commit - 1):
             open_ = open_.where("NOT has_alert")
-        rows = rows.unionByName(_reopened(open_, room))
-    marked, newest = mark_batches(rows, flush_size, interval, order=ORDER)
+        rows = rows.unionByName(_reopened(open_), allowMissingColumns=True)
+    marked = mark_batches(rows, order=ORDER)
 
     facts = marked.groupBy(*KEYS, "batch_id").agg(
         *group_facts(ORDER),
@@ -103,34 +112,48 @@ def group_commit(events: DataFrame, commit: int, state: str, flush_size: int, in
             "buffer": F.transform("kept", lambda row: F.struct(row["fresh"], row["ingest_ts"], row["seq"], row["event"].alias("event"))),
         }
     )
-    later = F.lit(False) if newest is None else F.col("tick") < newest
-    done = is_full(flush_size) | (F.col("has_alert") & later)
+    # One row: how far the clock of arrivals has come.
+    newest = rows.agg(F.unix_micros(F.max("ingest_ts"))).first()[0]
+    reached = max((micros for micros in (newest, heartbeat) if micros is not None), default=None)
+    later = F.lit(False) if reached is None else F.col("tick") < tick_at(F.timestamp_micros(F.lit(reached)))
+    done = is_full() | (F.col("has_alert") & later)
     groups.withColumn("done", done).drop(*CARRIED).write.mode("overwrite").parquet(_commit_path(state, commit))
 
     stored = _groups_of(spark, state, commit).where("done")
-    return as_batches(stored, flush_size, interval).select(*BATCH_FIELDS, "cause").unionByName(single_event_batches(events))
+    return as_batches(stored).select(*BATCH_FIELDS, "cause").unionByName(single_event_batches(events))
 
 
-def final_flush(spark: SparkSession, commit: int, state: str, flush_size: int, interval: float) -> DataFrame:
-    """Batches of the groups that hold an alert when the job is shut down after a commit."""
-    groups = _groups_of(spark, state, commit)
-    return as_batches(groups.where("NOT done AND has_alert"), flush_size, interval).select(*BATCH_FIELDS, "cause")
+def final_flush(spark: SparkSession, commit: int, state: str) -> DataFrame:
+    """Batches of the groups that hold an alert when the job is shut down after a commit; none if it has ended before."""
+    groups = _groups_of(spark, state, commit).where("NOT done AND has_alert")
+    if has_ended(spark, state, commit):
+        groups = groups.where(F.lit(False))
+    return as_batches(groups).select(*BATCH_FIELDS, "cause")
 
 
-def close_groups(spark: SparkSession, commit: int, state: str, flush_size: int, interval: float) -> DataFrame:
-    """``final_flush``, and a note in the state folder that these groups have left; a later commit starts without them."""
-    batches = final_flush(spark, commit, state, flush_size, interval)
+def note_end(spark: SparkSession, commit: int, state: str) -> None:
+    """Note that the open groups with an alert have left; a later commit starts without them.
+
+    To be called when the sinks hold what ``final_flush`` returned: a run that fails in between ends once more, and its files
+    replace those of the first try.
+    """
     spark.range(1).write.mode("overwrite").parquet(f"{state}/ended={commit}")
-    return batches
 
 
-def grouping_sink(state: str, flush_size: int, interval: float, sink: Sink) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` on a stream of events: group each commit and hand its batches to a sink."""
+def grouping_sink(state: str, flush_size: int | Column, interval: float | Column, sink: Sink) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` on a stream of events: group each commit and hand its batches to a sink.
+
+    Rows whose ``heartbeat`` is true, a column of its own and optional, are no events; their arrival moves the clock.
+    """
 
     def write(events: DataFrame, commit: int) -> None:
         events.persist()
         try:
-            sink(group_commit(events, commit, state, flush_size, interval).drop("cause"), commit)
+            beat, lines = None, events
+            if "heartbeat" in events.columns:
+                beat = events.where("heartbeat").agg(F.unix_micros(F.max("ingest_ts"))).first()[0]
+                lines = events.where("NOT heartbeat").drop("heartbeat")
+            sink(group_commit(lines, commit, state, flush_size, interval, beat).drop("cause"), commit)
         finally:
             events.unpersist()
 

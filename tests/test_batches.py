@@ -7,7 +7,8 @@ from models import cut_groups
 from pyspark.sql import functions as F
 
 from alertlake.operators import batches
-from alertlake.plans.batch_scan import BatchScan
+from alertlake.plans import batch_scan
+from alertlake.plans.batch_scan import BUFFER_FACTOR, ROW_BITS
 
 SCHEMA = (
     "host string, timestamp timestamp, container struct<id:string,name:string>, stream string, level string, log_id string,"
@@ -106,36 +107,121 @@ def random_rows(rnd, count):
     return rows
 
 
-def arrow(rows, low, high, number, size):
+def need_of(key, sizes):
+    return sizes[int(key) % len(sizes)]
+
+
+def arrow(rows, low, high, number, size, sizes):
     schema = pa.schema(
-        [("slice", pa.int32()), ("host", pa.string()), ("log_id", pa.string()), ("tick", pa.int64()), ("alert_matched", pa.bool_()), ("row", pa.int64())]
+        [("slice", pa.int32()), ("host", pa.string()), ("log_id", pa.string()), ("tick", pa.int64()), ("alert_matched", pa.bool_()), ("flush_size", pa.int32()), ("uid", pa.int64()), ("row", pa.int64())]
     )
     for begin in range(low, high, size):
         part = [
-            {"slice": number, "host": "h", "log_id": key, "tick": tick, "alert_matched": alert, "row": begin + i}
+            {"slice": number, "host": "h", "log_id": key, "tick": tick, "alert_matched": alert, "flush_size": need_of(key, sizes), "uid": begin + i, "row": begin + i - low}
             for i, (key, tick, alert) in enumerate(rows[begin : min(high, begin + size)])
         ]
         yield pa.RecordBatch.from_pylist(part, schema=schema)
 
 
+def entries_in_levels(notes, count):
+    """What the levels of small tables do, without Spark."""
+    levels = [notes]
+    while count > batch_scan.FAN:
+        groups = {}
+        for note in levels[-1]:
+            groups.setdefault(note["slice"] // batch_scan.FAN, []).append(note)
+        levels.append([batch_scan.compose(group) for group in groups.values()])
+        count = -(-count // batch_scan.FAN)
+    entries = batch_scan.descend(levels.pop(), None) if levels[-1] else []
+    while levels:
+        groups = {}
+        for note in levels.pop():
+            groups.setdefault(note["slice"] // batch_scan.FAN, []).append(note)
+        parents = {entry["slice"]: entry for entry in entries}
+        entries = [entry for node, group in groups.items() for entry in batch_scan.descend(group, parents[node])]
+    return {entry["slice"]: entry for entry in entries}
+
+
 @pytest.mark.parametrize("seed", range(8))
-def test_scan_equals_the_model_for_any_slices(seed):
+def test_scan_equals_the_model_for_any_slices(seed, monkeypatch):
+    monkeypatch.setattr(batch_scan, "FAN", 2 + seed % 3)
     rnd = random.Random(seed)
     for _ in range(120):
-        size, rows = rnd.choice([1, 2, 3, 5]), random_rows(rnd, rnd.randint(1, 150))
-        scan, groups = BatchScan(size), cut_groups(rows, size)
-        edges = [0, *sorted(rnd.choices(range(len(rows) + 1), k=rnd.randint(0, 6))), len(rows)]
+        sizes, rows = rnd.choice([[1], [2], [3], [5], [1, 4], [3, 2, 6]]), random_rows(rnd, rnd.randint(1, 150))
+        # Keys are independent of each other, so each is cut by its own size.
+        groups, begin = [], 0
+        for end in range(1, len(rows) + 1):
+            if end == len(rows) or rows[end][0] != rows[begin][0]:
+                groups += [[begin + i for i in group] for group in cut_groups(rows[begin:end], need_of(rows[begin][0], sizes))]
+                begin = end
+        edges = [0, *sorted(rnd.choices(range(len(rows) + 1), k=rnd.randint(0, 30))), len(rows)]
         step = rnd.choice([1, 3, 7, 1000])
         slices = [(number, low, high) for number, (low, high) in enumerate(zip(edges, edges[1:]))]
-        notes = [r for n, low, high in slices for b in scan.summarise(arrow(rows, low, high, n, step)) for r in b.to_pylist()]
-        entries, marked = scan.chain(notes), {}
+        notes = [r for n, low, high in slices for b in batch_scan.summarise(arrow(rows, low, high, n, step, sizes)) for r in b.to_pylist()]
+        entries, marked = entries_in_levels(notes, len(slices)), {}
         for number, low, high in slices:
-            for batch in scan.mark(arrow(rows, low, high, number, step), entries):
-                marked.update({r["row"]: (r["batch_id"], r["keep"]) for r in batch.to_pylist()})
+            if low < high:
+                part = pa.Table.from_batches(list(arrow(rows, low, high, number, step, sizes))[::-1])
+                entry = pa.Table.from_pylist([entries[number]])
+                marked.update({r["uid"]: (r["batch_id"], r["keep"]) for r in batch_scan.mark(part, entry).to_pylist()})
         ids = [{marked[row][0] for row in group} for group in groups]
         assert all(len(found) == 1 for found in ids) and len(set.union(*ids)) == len(groups)
         for group in groups:
-            assert [marked[row][1] for row in group] == [len(group) - i <= scan.room for i in range(len(group))]
+            room = need_of(rows[group[0]][0], sizes) * BUFFER_FACTOR
+            assert [marked[row][1] for row in group] == [len(group) - i <= room for i in range(len(group))]
+
+
+def test_ten_thousand_slices_are_chained_by_spark(spark):
+    """Notes of 10,000 slices, most of them within one key, composed as tables; a batch may span many slices."""
+    rnd, rows = random.Random(11), []
+    for number in range(10_000):
+        key = "0001" if number < 7000 else f"{1 + (number - 7000) // 50:04d}"
+        rows += [(key, number // 300, rnd.random() < 0.004) for _ in range(rnd.randint(1, 3))]
+    edges, at = [], 0
+    while at < len(rows):
+        edges.append(at)
+        at += rnd.randint(1, 3)
+    edges = [*edges[: 9_999], len(rows)] if len(edges) >= 9_999 else [*edges, *[len(rows)] * (10_001 - len(edges))]
+    slices = list(enumerate(zip(edges, edges[1:])))
+    notes = [r for n, (low, high) in slices for b in batch_scan.summarise(arrow(rows, low, high, n, 1000, [5])) for r in b.to_pylist()]
+    table = spark.createDataFrame(notes, batch_scan.NOTE).repartition(8)
+    entries = {row["slice"]: row for row in batch_scan.chain(table, len(slices), lambda level: level.cache()).collect()}
+    assert len(entries) == len(notes) > 9_000
+    groups = cut_groups(rows, 5)
+    starts = {row: group for group in groups for row in group}
+    place = {low: n for n, (low, high) in slices if low < high}
+    order = sorted(place)
+    for low, high in zip(order, [*order[1:], len(rows)]):
+        entry, group = entries[place[low]], starts[low]
+        open_ = group[0] < low
+        assert (entry["size"] > 0) == open_ and (not open_ or entry["alert"] == any(rows[i][2] for i in group if i < low))
+        if open_:
+            first = max(edge for edge in order if edge <= group[0])
+            assert entry["batch_id"] == (place[first] << ROW_BITS) | (group[0] - first)
+        last = starts[high - 1]
+        assert entry["follow"] == sum(i >= high for i in last)
+
+
+def test_lines_stay_out_of_the_scan(spark):
+    """Neither the sort nor the passes in Python see messages or raw lines, and no driver step depends on their number."""
+    rows = [event(seq, f"k{seq % 3}", seq % 7 == 0) for seq in range(50)]
+    plan = batches.assign_batches(frame(spark, rows), 3, 40)._jdf.queryExecution().optimizedPlan().toString()
+    scan = plan[plan.index("FlatMapCoGroupsInArrow") :]
+    assert "FlatMapCoGroupsInArrow" in plan and "raw#" not in scan and "message#" not in scan
+
+
+def test_size_and_interval_by_host(spark):
+    """Two hosts with limits of their own give what each of them gives alone."""
+    rnd, rows = random.Random(4), []
+    for seq in range(600):
+        rows.append(event(seq, rnd.choice(["a", "b", "unknown"]), rnd.random() < 0.2, arrival=seq, host=rnd.choice(["x", "y"])))
+    limit = lambda x, y: F.when(F.col("host") == "x", F.lit(x)).otherwise(F.lit(y))
+    found = batches.flush_batches(frame(spark, rows), limit(2, 6), limit(50.0, 7.0)).collect()
+    alone = []
+    for host, size, interval in (("x", 2, 50), ("y", 6, 7)):
+        alone += batches.flush_batches(frame(spark, [row for row in rows if row[0] == host]), size, interval).collect()
+    as_text = lambda made: sorted(str((b.host, b.log_id, raws(b), b.flushed_at, b.cause, b["count"])) for b in made)
+    assert as_text(found) == as_text(alone)
 
 
 @pytest.mark.parametrize("slices", [1, 3, 16])

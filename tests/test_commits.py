@@ -22,7 +22,7 @@ def test_commits_equal_one_run(spark, tmp_path, size):
         for _ in range(2 if commit == 2 else 1):
             made = commits.group_commit(spark.createDataFrame(part, SCHEMA), commit, state, size, 20).collect()
         got += made
-    got += commits.final_flush(spark, len(parts) - 1, state, size, 20).collect()
+    got += commits.final_flush(spark, len(parts) - 1, state).collect()
     assert comparable(got) == comparable(flush_batches(spark.createDataFrame(rows, SCHEMA), size, 20).collect())
     assert max(r["count"] for r in got) == (10 if size == 1 else 30)
 

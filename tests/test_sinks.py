@@ -1,6 +1,7 @@
 import datetime as dt
 import glob
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,22 @@ def test_lines(spark):
     urls = ["", " unix:///x", "ssh://me@h/p", "ssh://@", "tcp://h:1", "https://h", "plain"]
     labels = spark.createDataFrame([(u,) for u in urls], "u string").select(lines.host_label(F.col("u"))).collect()
     assert [r[0] for r in labels] == ["local", "local", "me@h", "ssh", "h:1", "h", "plain"]
+
+
+def test_outbox_queue_goes_on_over_commits(spark, tmp_path):
+    """Send times of three commits, one of them tried twice and an end among them, are those of one queue; what does not fit takes no slot."""
+    rnd = random.Random(6)
+    at = [DAY + dt.timedelta(seconds=second) for second in sorted(rnd.choices(range(60), k=25))]
+    rows = [(f"id{n}", ts, False) for n, ts in enumerate(at)]
+    settings = Settings(at_all=True, mention_levels=["WARN", "ERROR", ""], webhook_url="https://x/y")
+    path, once, huge = (str(tmp_path / name) for name in ("outbox", "once", "huge"))
+    write = sinks.outbox_sink(path, settings)
+    for low, high, commit in ((0, 8, 0), (8, 17, -2), (8, 17, -2), (17, 25, 1)):
+        write(batches(spark, *rows[low:high]), commit)
+    sent = spark.read.parquet(path).orderBy("send_at").collect()
+    sinks.outbox_sink(once, settings)(batches(spark, *rows))
+    alone = spark.read.parquet(once).orderBy("send_at").collect()
+    assert [r.send_at for r in sent] == [r.send_at for r in alone] and len(sent) >= 25
+    assert all((b.send_at - a.send_at).total_seconds() >= 4 for a, b in zip(sent, sent[1:]))
+    sinks.outbox_sink(huge, settings)(batches(spark, ("x" * 30_000, DAY, False)), 0)
+    assert spark.read.parquet(f"{huge}-rejected").count() >= 1 and spark.read.parquet(huge).count() == 0

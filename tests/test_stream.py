@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from test_batches import SCHEMA, event, flushed
 
 from alertlake.operators.batches import flush_batches
+from alertlake.operators.health import health_transitions
 from alertlake.schema import RAW_LOG
 from alertlake.settings import Settings
 from alertlake.sources import readers
+from alertlake.streaming import health as live_health
 from alertlake.streaming import live
 
 MARKED = f"{SCHEMA}, marker boolean"
@@ -94,3 +96,76 @@ def test_timer_ends_a_quiet_group(spark, tmp_path):
     assert [(r.log_id, r.cause) for r in spark.table("quiet").collect()] == [("a", "interval")]
     assert len(flushed(spark, [event(1, "a", True)], 5, 1)) == 1
     assert spark.table("quiet").where(F.col("log_id") == "b").count() == 0
+
+
+def lone_line(spark, folder):
+    at = dt.datetime(2026, 3, 24, 10, 0)
+    row = ("h", ("c", "api"), "stdout", "ERROR step log_id=a", at, at, 1)
+    spark.createDataFrame([row], RAW_LOG).write.parquet(folder)
+    return readers.stream_raw_logs(spark, folder)
+
+
+def batches_in(spark, folder, wait=0):
+    deadline = time.time() + wait
+    while True:
+        try:
+            found = [(r.log_id, r["count"]) for r in readers.read_batches(spark, folder).collect()]
+        except Exception:
+            found = []
+        if found or time.time() >= deadline:
+            return found
+        time.sleep(1)
+
+
+@pytest.mark.parametrize("state", [None, "groups"])
+def test_a_lone_line_leaves_a_continuous_job(spark, tmp_path, state):
+    """No further line arrives and nobody ends the job: a timer or the heartbeat does it."""
+    out = str(tmp_path / "out")
+    source = lone_line(spark, str(tmp_path / "landed"))
+    settings = Settings(flush_size=5, flush_interval="2s", output_dir=out)
+    query = live.start_alerts(source, settings, str(tmp_path / "ck"), state=str(tmp_path / state) if state else None)
+    try:
+        assert batches_in(spark, out, 150) == [("a", 1)]
+    finally:
+        query.stop()
+
+
+def test_a_lone_line_leaves_a_job_over_what_is_available(spark, tmp_path):
+    out = str(tmp_path / "out")
+    source = lone_line(spark, str(tmp_path / "landed"))
+    settings = Settings(flush_size=5, output_dir=out)
+    live.drain_alerts(source, settings, str(tmp_path / "ck"))
+    assert batches_in(spark, out) == [("a", 1)]
+    live.drain_alerts(source, settings, str(tmp_path / "ck"))
+    assert batches_in(spark, out) == [("a", 1)]
+
+
+def test_an_end_whose_sink_fails_loses_nothing(spark, tmp_path):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    source = lone_line(spark, str(tmp_path / "landed"))
+    settings = Settings(flush_size=5, output_dir=out)
+    assert live.start_alerts(source, settings, str(tmp_path / "ck"), continuous=False, state=state).awaitTermination(300)
+    with open(out, "w") as blocked:
+        blocked.write("no folder")
+    with pytest.raises(Exception):
+        live.end_alerts(spark, settings, state)
+    other = Settings(flush_size=5, output_dir=str(tmp_path / "other"))
+    live.end_alerts(spark, other, state)
+    live.end_alerts(spark, other, state)
+    assert batches_in(spark, other.output_dir) == [("a", 1)]
+
+
+def test_health_stream_equals_batch(spark, tmp_path):
+    rnd = random.Random(2)
+    start = dt.datetime(2026, 1, 1)
+    rows = [(f"h{n % 2}", f"c{rnd.randint(0, 2)}", start + dt.timedelta(seconds=n // 3), n, rnd.random() < 0.3, "down") for n in range(500)]
+    schema, folder = "host string, component string, ts timestamp, seq bigint, ok boolean, error string", str(tmp_path / "status")
+    for part in range(5):
+        spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    stream = live_health.stream_transitions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    query = stream.writeStream.format("memory").queryName("transitions").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(300)
+    columns = ["host", "component", "ts", "seq", "level", "failures"]
+    want = health_transitions(spark.createDataFrame(rows, schema)).select(*columns).collect()
+    assert sorted(map(tuple, spark.table("transitions").select(*columns).collect())) == sorted(map(tuple, want)) and want
