@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from alertlake.llm.frames import id_text, quoted, stored, text_bytes
 from alertlake.llm.graph import components
 from alertlake.llm.setsketch import REGISTERS, band_keys, band_width, compare, sketch_sets, slope
-from alertlake.llm.shingles import mix, shingle_set
+from alertlake.llm.shingles import mix, shingle_set, shingles_of, word_hashes
 
 # The threshold of op1, and the one of all other stages that ask for near copies.
 PERCENT, NEAR_PERCENT = 85, 80
@@ -43,7 +43,7 @@ def fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, print, sketch) of documents with columns doc_id and text; further columns come along."""
+    """(doc_id, n_words, n_shingles, print, sketch) of documents with columns doc_id and text; further columns come along."""
     further = docs.drop("doc_id", "text")
     along = further.columns
 
@@ -51,14 +51,15 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, ids = text_bytes(batch), batch.column("doc_id")
             for start in range(0, len(texts), 256):
-                sets = [shingle_set(text) for text in texts[start : start + 256]]
+                words = [word_hashes(text) for text in texts[start : start + 256]]
+                sets = [shingles_of(x) for x in words]
                 rows = sketch_sets(sets)
-                columns = [ids.slice(start, 256), pa.array([len(x) for x in sets], pa.int64())]
+                columns = [ids.slice(start, 256), pa.array([len(x) for x in words], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
                 columns += [pa.array([fingerprint(x) if len(x) else None for x in sets], pa.binary()), pa.array([r.tobytes() if len(x) else None for r, x in zip(rows, sets, strict=True)], pa.binary())]
                 columns += [batch.column(name).slice(start, 256) for name in along]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "sketch", *along])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_shingles", "print", "sketch", *along])
 
-    made = T.StructType.fromDDL("doc_id bigint, n_shingles bigint, print binary, sketch binary")
+    made = T.StructType.fromDDL("doc_id bigint, n_words bigint, n_shingles bigint, print binary, sketch binary")
     return docs.mapInArrow(run, T.StructType([*made.fields, *further.schema.fields]))
 
 
@@ -183,9 +184,9 @@ def rest_links(bands: DataFrame, component: DataFrame, classes: DataFrame, texts
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, along: Sequence[str] = ()) -> DataFrame:
-    """One row per document: the columns ``along``, doc_id, n_shingles, component_id, kept."""
+    """One row per document: the columns ``along``, which may name ``n_words``, doc_id, n_shingles, component_id, kept."""
     read = id_text(docs, id_col, text_col)
-    marks = stored(sketches(docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), *map(quoted, along))), "sketches")
+    marks = stored(sketches(docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), *[quoted(name) for name in along if name != "n_words"])), "sketches")
     known = marks.where("doc_id IS NOT NULL AND print IS NOT NULL")
     classes = stored(known.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     bands = band_rows(classes.select("id", "n", "sketch"), percent)
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stored(read.join(shared.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "text"), "texts")
     likely = stored(likely_pairs(first, classes, percent), "pairs")
     links = stored(confirmed(likely, texts, percent), "links")
-    component = components(links.union(rest_links(shared, components(links), classes, texts, percent)))
     rows = marks.join(classes.select("print", "id"), "print", "left").select(*along, "doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
+    component = components(links.union(rest_links(shared, components(links), classes, texts, percent)))
     named = labelled(rows, component).select(*along, "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -79,15 +79,16 @@ def copy_cluster(text: Column) -> Column:
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, n_words, source, cluster): near copies share a cluster, and so do texts without a word; a null text has none.
 
-    Rows without an id are compared too, each under a number of its own.
+    Rows without an id are compared too, each under a number of its own. The words are counted where the texts are sketched.
     """
     text = F.col(quoted(text_col)).cast("string")
-    words = word_count(text)
-    read = docs.select(F.col(quoted(id_col)).cast("bigint").alias("pack_id"), text.alias("text"), words.alias("n_words"), F.col(quoted(source_col)).cast("string").alias("source"), F.when(words == 0, copy_cluster(text)).alias("blank"))
+    read = docs.select(F.col(quoted(id_col)).cast("bigint").alias("pack_id"), text.alias("text"), F.col(quoted(source_col)).cast("string").alias("source"), text.isNotNull().alias("written"))
     nameless = stored(read.where("pack_id IS NULL").withColumn("near_id", F.lit(2**63 - 1) - F.monotonically_increasing_id()), "nameless")
     named = read.where("pack_id IS NOT NULL").withColumn("near_id", F.col("pack_id")).union(nameless)
-    near = minhash_dedup.near_duplicates(named, "near_id", percent=minhash_dedup.NEAR_PERCENT, along=["pack_id", "n_words", "source", "blank"])
-    cluster = F.when(F.col("n_words") > 0, F.col("component_id").cast("string")).otherwise(F.col("blank"))
+    near = minhash_dedup.near_duplicates(named, "near_id", percent=minhash_dedup.NEAR_PERCENT, along=["pack_id", "n_words", "source", "written"])
+    # Texts without a word are equal once white space is folded.
+    blank = F.when(F.col("written"), copy_cluster(F.lit("")))
+    cluster = F.when(F.col("n_words") > 0, F.col("component_id").cast("string")).otherwise(blank)
     return stored(near.select(F.col("pack_id").alias("doc_id"), "n_words", "source", cluster.alias("cluster")), "sized")
 
 
@@ -99,7 +100,7 @@ def pack(
     names = [(id_col, "doc_id", "bigint"), (size_col, "n_words", "bigint"), (source_col, "source", "string"), (cluster_col, "cluster", "string")]
     rows = docs.select(*[F.col(quoted(old)).cast(kind).alias(new) for old, new, kind in names])
     groups = max(1, -(-rows.count() // group_rows))
-    # Equal rows hash alike; a huge number of them is spread by the tie-breaking row number of their task.
+    # Rows without an id are spread by their number in the task; rows of one id hash alike.
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))
     dealt = rows.withColumn("n_words", F.coalesce("n_words", F.lit(0))).withColumn("bin_group", F.pmod(spread, F.lit(groups)))
     schema = "doc_id bigint, piece bigint, n_words bigint, bin_group bigint, bin bigint, source string, cluster string"

@@ -72,7 +72,11 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 def shingle_set(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles; a shorter text is one shingle of all its words."""
-    words = word_hashes(text)
+    return shingles_of(word_hashes(text))
+
+
+def shingles_of(words: np.ndarray) -> np.ndarray:
+    """``shingle_set`` of a text of which the word hashes are known."""
     if not len(words):
         return words
     if len(words) < WORDS:
