@@ -63,6 +63,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_ids(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """The rows with a number ``name`` that no other row has: their id or, where that is null or repeated, one that is larger than any id.
+
+    Only the rows without an id of their own are stored, which makes their numbers last.
+    """
+    given = F.col(quoted(id_col)).cast("bigint")
+    twice = docs.groupBy(given.alias("_id")).count().where("_id IS NOT NULL AND count > 1").select("_id")
+    marked = docs.withColumn("_id", given)
+    unnamed = marked.where("_id IS NULL").unionByName(marked.join(twice, "_id", "left_semi"))
+    numbered = stored(unnamed.withColumn(name, F.lit(2**63 - 1) - F.monotonically_increasing_id()), "unnamed")
+    return marked.where("_id IS NOT NULL").join(twice, "_id", "left_anti").withColumn(name, F.col("_id")).unionByName(numbered).drop("_id")
+
+
 def bounded_sample(df: DataFrame, rows: int, key: str, total: int | None = None) -> DataFrame:
     """At most ``rows`` rows, the same for the same data: the first in the order of a hash of the key.
 

@@ -7,8 +7,8 @@ over many tasks. In both steps the sketches estimate the similarity, and pairs t
 confirmed on the full sets. Pairs inside one component need no link of their own, so a large group is never expanded into all pairs.
 
 Defined results: a null or empty text has no shingles and is linked with nothing. A null id is returned with itself alone: no
-component, kept. Repeated ids stand for one document with several texts; each row is returned. Only the two named columns
-are read. An empty table gives an empty result.
+component, kept. Repeated ids stand for one document with several texts, which are linked with each other: each row is returned, all
+of them with the one component. Only the two named columns are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -183,6 +183,12 @@ def rest_links(bands: DataFrame, component: DataFrame, classes: DataFrame, texts
     return asks.union(all_).groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def same_document(rows: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of an id that stands for several texts."""
+    spread = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a <> most")
+    return rows.select("doc_id", F.col("id").alias("b")).join(spread.select("doc_id", "a"), "doc_id").where("a <> b").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, along: Sequence[str] = ()) -> DataFrame:
     """One row per document: the columns ``along``, which may name ``n_words``, doc_id, n_shingles, component_id, kept."""
     read = id_text(docs, id_col, text_col)
@@ -197,6 +203,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = stored(likely_pairs(first, classes, percent), "pairs")
     links = stored(confirmed(likely, texts, percent), "links")
     rows = marks.join(classes.select("print", "id"), "print", "left").select(*along, "doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
-    component = components(links.union(rest_links(shared, components(links), classes, texts, percent)))
+    component = components(links.union(rest_links(shared, components(links), classes, texts, percent)).union(same_document(rows)))
     named = labelled(rows, component).select(*along, "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

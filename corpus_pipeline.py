@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake.llm import cnn, minhash_dedup, packing, quality_rules, suffix_dedup
-from alertlake.llm.frames import residue, stored
+from alertlake.llm.frames import own_ids, residue, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,9 +31,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without an id all stay."""
-    gone = minhash_dedup.near_duplicates(docs, percent=minhash_dedup.NEAR_PERCENT).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near copies the document with the smallest id stays; rows without an id all stay.
+
+    Rows that share an id but are several texts count one by one, so that no text goes of which there is no near copy.
+    """
+    rows = own_ids(docs, "doc_id", "_row")
+    named = rows.where("doc_id IS NOT NULL")
+    gone = minhash_dedup.near_duplicates(named.select("_row", "text"), "_row", percent=minhash_dedup.NEAR_PERCENT).where("NOT kept")
+    return rows.join(gone.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

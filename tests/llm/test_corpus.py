@@ -91,7 +91,7 @@ def test_stages_keep_columns_and_take_effect(spark):
         out = stage(spark, docs, sf).cache()
         assert out.columns == docs.columns
         if name == "near copies":
-            want = {row.doc_id for row in minhash_dedup.near_duplicates(docs).where("kept").collect()}
+            want = {row.doc_id for row in minhash_dedup.near_duplicates(docs, percent=minhash_dedup.NEAR_PERCENT).where("kept").collect()}
             assert {row.doc_id for row in out.collect()} == want
         if name == "repeated passages":
             texts = {row.doc_id: len(row.text.encode()) for row in out.collect()}

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from alertlake.llm import html_text, packing, suffix_dedup
+from alertlake.llm import html_text, minhash_dedup, packing, suffix_dedup
 from alertlake.llm.shingles import shingle_set
 from helpers import docs_frame
 from test_dedup import removal_by_hand, union_find
@@ -38,6 +38,26 @@ def test_pipeline_takes_near_copies_from_four_fifths_on(spark):
     assert {row.doc_id for row in out.collect()} == want
 
 
+def test_texts_of_a_repeated_id_are_one_document_and_none_is_lost(spark):
+    """Ids with several texts: one component per id for the operator, one decision per text for the pipeline."""
+    rng = random.Random(8)
+    pairs = at_similarity(12, 0.9, 0.99, 6)
+    rows = [(i, text) for i, text in pairs]
+    rows += [(rng.choice([2, 3, 40, 41]), text) for _, text in rng.sample(pairs, 8)] + [(5, None), (6, ""), (5, pairs[0][1]), (50, pairs[7][1]), (50, "")]
+    rows += [(60, at_similarity(1, 0.9, 0.99, 13)[0][1]), (60, at_similarity(1, 0.9, 0.99, 14)[0][1])]
+    sets = [set(shingle_set((text or "").encode()).tolist()) for _, text in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = union_find([(rows[a][0], rows[b][0]) for a, b in near], {i for i, _ in rows})
+    frame = docs_frame(spark, [(i, text, "en", "s", 1) for i, text in rows])
+    got = minhash_dedup.near_duplicates(frame).collect()
+    assert len(got) == len(rows) and all(row.component_id == want[row.doc_id] for row in got)
+    left = corpus_pipeline.near_copies(spark, frame, "").collect()
+    texts = union_find([(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], range(len(rows)))
+    place = {text: k for k, (_, text) in enumerate(rows)}
+    assert sorted(texts[place[row.text]] for row in left if row.text) == sorted({texts[k] for k in range(len(rows)) if sets[k]})
+    assert sum(not row.text for row in left) == 3
+
+
 def test_long_text_after_an_empty_one_has_its_runs():
     rng = np.random.default_rng(3)
     long = rng.integers(97, 123, suffix_dedup.PIECE + 40_000, dtype=np.uint8).tobytes()
