@@ -40,13 +40,19 @@ def parse_time_string(text: Column) -> Column:
 
 def json_time(value: Column, line: Column, key: str) -> Column:
     """Time of a JSON field: a text as above, or a number of seconds whose fraction is cut."""
-    quoted = re.escape(key)
-    # A number with a fraction counts, a text that looks like one does not.
-    is_number = value.rlike(FRACTION) & line.rlike(rf'(?i)"{quoted}"\s*:\s*-?\d')
-    seconds = F.when(is_number, value.try_cast("double").try_cast("bigint"))
+    # A number with a fraction counts, a text that looks like one does not: only then is the type of the field looked up.
+    looks = value.rlike(FRACTION) & ~value.rlike(WHOLE_NUMBER)
+    seconds = F.when(looks & is_json_number(line, key), value.try_cast("double").try_cast("bigint"))
     return F.when(value.isNotNull(), F.coalesce(parse_time_string(value), epoch_time(seconds)))
 
 
+def is_json_number(line: Column, key: str) -> Column:
+    """Whether a field of a JSON object, by a name in any case, is a number; of several such fields the last counts."""
+    fields = F.map_entries(F.from_json(line, "map<string,variant>"))
+    field = F.try_element_at(F.filter(fields, lambda entry: F.lower(entry["key"]) == key.lower()), F.lit(-1))
+    return F.coalesce(F.schema_of_variant(field["value"]) != "STRING", F.lit(False))
+
+
 def split_timestamp_prefix(line: Column) -> tuple[Column, Column]:
     """(time, rest): the first word is cut off only when it is an RFC3339 time."""
     word = F.regexp_extract(line, r"\A([^ ]*) ", 1)

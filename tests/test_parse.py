@@ -121,3 +121,22 @@ def test_durations(spark):
             parse_duration(bad)
     row = spark.range(1).select(*[duration_text(F.lit(s)) for s in (5, 65, 21600, 3725)]).first()
     assert list(row) == ["5s", "1m5s", "6h0m0s", "1h2m5s"]
+
+
+@pytest.mark.parametrize(
+    "line, seconds",
+    [
+        ('{"meta":{"ts":5},"ts":"12.5"}', None),
+        ('{"meta":{"ts":"5"},"Ts":12.5}', 12),
+        ('{"ts":"7","TS":12.75}', 12),
+        ('{"ts":1.2e3}', 1200),
+        ('{"ts":"12"}', 12),
+        ('{"ts":12}', 12),
+    ],
+)
+def test_only_a_number_of_the_line_itself_is_a_time_with_a_fraction(spark, line, seconds):
+    from alertlake.functions.json import ci_get, json_object, lower_keys
+    from alertlake.functions.times import json_time
+
+    row = spark.createDataFrame([(line,)], "line string").select(F.unix_seconds(json_time(ci_get(lower_keys(json_object(F.col("line"))), "ts"), F.col("line"), "ts")))
+    assert row.first()[0] == seconds

@@ -141,18 +141,16 @@ def test_a_lone_line_leaves_a_job_over_what_is_available(spark, tmp_path):
 
 
 def test_an_end_whose_sink_fails_loses_nothing(spark, tmp_path):
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    blocked, state = tmp_path / "blocked", str(tmp_path / "state")
     source = lone_line(spark, str(tmp_path / "landed"))
-    settings = Settings(flush_size=5, output_dir=out)
+    settings = Settings(flush_size=5, output_dir=str(tmp_path / "out"))
     assert live.start_alerts(source, settings, str(tmp_path / "ck"), continuous=False, state=state).awaitTermination(300)
-    with open(out, "w") as blocked:
-        blocked.write("no folder")
+    blocked.write_text("a file where the folder should be")
     with pytest.raises(Exception):
-        live.end_alerts(spark, settings, state)
-    other = Settings(flush_size=5, output_dir=str(tmp_path / "other"))
-    live.end_alerts(spark, other, state)
-    live.end_alerts(spark, other, state)
-    assert batches_in(spark, other.output_dir) == [("a", 1)]
+        live.end_alerts(spark, Settings(flush_size=5, output_dir=str(blocked)), state)
+    live.end_alerts(spark, settings, state)
+    live.end_alerts(spark, settings, state)
+    assert batches_in(spark, settings.output_dir) == [("a", 1)]
 
 
 def test_health_stream_equals_batch(spark, tmp_path):
