@@ -83,34 +83,34 @@ class Settings:
             raise SettingsError(f"{name}: {error}") from error
 
     def validate(self) -> Settings:
-        problems = [
-            (not self.include_patterns, "include_patterns must not be empty"),
-            (not self.output_dir, "output_dir must not be empty"),
-            (self.flush_size <= 0, "flush_size must be greater than 0"),
-            (not self.unknown_log_id, "unknown_log_id must not be empty"),
-            (self.max_events <= 0, "max_events must be greater than 0"),
-            (
-                bool(self.secret.strip()) and not self.webhook_url.strip(),
-                "webhook_url must not be empty when secret is set",
-            ),
-        ]
-        for wrong, text in problems:
-            if wrong:
-                raise SettingsError(text)
-        for name in ("since", "flush_interval", "backfill_threshold", "backfill_max_duration"):
-            value = self.seconds(name)
-            if name.startswith("backfill") and value < 0:
-                raise SettingsError(f"{name} must be >= 0")
-        url = self.webhook_url.strip()
-        if url:
-            parts = urlparse(url)
-            if parts.scheme not in ("http", "https"):
-                raise SettingsError("webhook_url must use http or https")
-            if not parts.netloc.strip():
-                raise SettingsError("webhook_url must include a host")
+        """The set itself, if it satisfies all rules; an error names every rule that it breaks."""
+        broken = [f"{name} should be {text}" for name, holds, text in RULES if not holds(self)]
+        if broken:
+            raise SettingsError("; ".join(broken))
         return self
 
 
+def is_web_address(text: str) -> bool:
+    parts = urlparse(text)
+    return parts.scheme in ("http", "https") and parts.netloc.strip() != ""
+
+
+# Setting, test, and what it should be. A duration that cannot be read is an error of its own.
+RULES: Sequence[tuple[str, Callable[[Settings], bool], str]] = (
+    ("flush_interval", lambda s: s.seconds("flush_interval") is not None, "a duration"),
+    ("since", lambda s: s.seconds("since") is not None, "a duration"),
+    ("backfill_max_duration", lambda s: s.seconds("backfill_max_duration") >= 0, "a duration of 0 or longer"),
+    ("backfill_threshold", lambda s: s.seconds("backfill_threshold") >= 0, "a duration of 0 or longer"),
+    ("flush_size", lambda s: s.flush_size >= 1, "1 or more"),
+    ("max_events", lambda s: s.max_events >= 1, "1 or more"),
+    ("include_patterns", lambda s: len(s.include_patterns) > 0, "a list of one glob or more"),
+    ("unknown_log_id", lambda s: s.unknown_log_id != "", "a text"),
+    ("output_dir", lambda s: s.output_dir != "", "a folder"),
+    ("webhook_url", lambda s: not s.webhook_url.strip() or is_web_address(s.webhook_url.strip()), "blank, or a web address with a host"),
+    ("secret", lambda s: not s.secret.strip() or bool(s.webhook_url.strip()), "blank where there is no webhook"),
+)
+
+
 # One set for all hosts, or one per host.
 HostSettings = Settings | Mapping[str, Settings]
 

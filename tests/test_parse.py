@@ -21,22 +21,22 @@ def parse(spark, line, **values):
 
 
 def test_json_line(spark):
-    line = '{"time":"2026-03-24T10:20:30Z","level":"WARN","log_id":"warn-1","message":"disk almost full"}'
+    line = '{"time":"2026-03-24T10:20:30Z","level":"WARN","log_id":"shard-7","message":"cache shard evicts early"}'
     event = parse(spark, line, level_regexps=[r"(?i)\b(WARN)\b"], log_id_keys=["log_id"])
-    assert (event.log_id, event.level, event.alert_matched, event.message) == ("warn-1", "WARN", True, "disk almost full")
+    assert (event.log_id, event.level, event.alert_matched, event.message) == ("shard-7", "WARN", True, "cache shard evicts early")
     assert event.timestamp == dt.datetime(2026, 3, 24, 10, 20, 30) and event.parsed_from_json and event.raw == line
 
 
 def test_text_line(spark):
-    event = parse(spark, "2026-03-24 10:20:30 WARN queue lag detected log_id=job-42")
-    assert (event.log_id, event.level, event.parsed_from_json) == ("job-42", "WARN", False)
+    event = parse(spark, "2026-03-24 10:20:30 WARN lease renewal is slow log_id=lease-9")
+    assert (event.log_id, event.level, event.parsed_from_json) == ("lease-9", "WARN", False)
     assert event.timestamp == NOW
 
 
 def test_context_line_is_kept(spark):
-    line = '{"time":"2026-03-24T10:20:30Z","level":"INFO","id":"same-1","message":"request started"}'
+    line = '{"time":"2026-03-24T10:20:30Z","level":"INFO","id":"basket-5","message":"basket opened"}'
     event = parse(spark, line, log_id_keys=["id"])
-    assert (event.log_id, event.alert_matched) == ("same-1", False)
+    assert (event.log_id, event.alert_matched) == ("basket-5", False)
 
 
 @pytest.mark.parametrize(
@@ -44,11 +44,11 @@ def test_context_line_is_kept(spark):
     [
         ("INFO service healthy", None),
         ("   ", None),
-        ("2026-03-24 10:20:30 WARN queue lag detected IGNORE_ME log_id=job-42", "(?i)IGNORE_ME"),
-        ('{"level":"ERROR","log_id":"err-1","message":"IGNORE_ME create order failed"}', "(?i)IGNORE_ME"),
-        ("2026-03-24 10:20:30 WARN retry timeout=1234ms log_id=job-42", r"timeout=\d+ms"),
-        ('{"level":"ERROR","log_id":"err-1","message":"request deadline was exceeded"}', "(?i)deadline.*exceeded"),
-        (r'{"level":"ERROR","log_id":"err-1","error":{"message":"\u0055nauthorized"}}', r"(?i)\bUnauthorized\b"),
+        ("2026-03-24 10:20:30 WARN lease renewal is slow IGNORE_ME log_id=lease-9", "(?i)IGNORE_ME"),
+        ('{"level":"ERROR","log_id":"fault-3","message":"IGNORE_ME parcel was not shipped"}', "(?i)IGNORE_ME"),
+        ("2026-03-24 10:20:30 WARN waited timeout=77ms log_id=lease-9", r"timeout=\d+ms"),
+        ('{"level":"ERROR","log_id":"fault-3","message":"the deadline has long been exceeded"}', "(?i)deadline.*exceeded"),
+        (r'{"level":"ERROR","log_id":"fault-3","error":{"message":"\u0055nauthorized"}}', r"(?i)\bUnauthorized\b"),
         (r'{"level":"ERROR","log_id":"e","a":[1,{"b":[true,42.5]}]}', r"\A42\.5\z"),
     ],
 )
