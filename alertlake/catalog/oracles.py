@@ -253,6 +253,7 @@ def all_oracles() -> dict[str, str]:
               strftime(make_timestamp(last_us), '%Y-%m-%d') AS day, kind FROM filed""",
         "read_batches": emitted,
         "append_batches": emitted,
+        "merged_commits": emitted,
         "fan_out": f"WITH {EV}, singles AS ({SINGLE}) SELECT {BATCH_COLUMNS} FROM singles",
         "outbox": f"""WITH RECURSIVE {BATCHES},
             errors AS (SELECT host, log_id, batch_no, bool_or(level = 'ERROR') AS has_error FROM kept_cut GROUP BY ALL

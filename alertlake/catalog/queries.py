@@ -147,6 +147,17 @@ def append_batches(spark: SparkSession, sf: str) -> DataFrame:
     return _batch_columns(readers.read_batches(spark, path))
 
 
+def merged_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Four commits, of which three are merged into one and another is not whole; what readers see."""
+    path, rows = scratch_path(spark, "merged"), checkpointed(alert_batches(spark, sf).drop("cause"))
+    part = F.pmod(F.crc32(F.col("log_id").cast("binary")), F.lit(4))
+    for commit in range(4):
+        sinks.write_batches(rows.where(part == commit), path, commit)
+    sinks.merge_commits(spark, path, 2)
+    sinks.stored_files(rows.limit(5), path, 4)
+    return _batch_columns(readers.read_batches(spark, path))
+
+
 def fan_out(spark: SparkSession, sf: str) -> DataFrame:
     """Two sinks and a failing one between them; what the last sink stored."""
     first, second = scratch_path(spark, "first"), scratch_path(spark, "second")
@@ -727,7 +738,7 @@ def total_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     named = [
-        read_raw_logs, stream_raw_logs, read_container_events, write_batches, read_batches, append_batches, fan_out, outbox, debug_lines,
+        read_raw_logs, stream_raw_logs, read_container_events, write_batches, read_batches, append_batches, merged_commits, fan_out, outbox, debug_lines,
         match_containers, exclude_container, since_cutoff, split_timestamp_prefix, clip_lines, drop_blank_lines,
         host_labels, prefix_host, host_settings, json_objects, ci_fields, messages, event_times, time_strings, first_groups,
         alert_levels, log_ids, exclude_shallow, exclude_deep, parse_events, parse_per_host, single_event_batches,

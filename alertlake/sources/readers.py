@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alertlake.operators.lines import drop_blank_lines, split_timestamp_prefix
 from alertlake.schema import BATCH, CONTAINER_EVENT, PROBE_BATCH, RAW_LOG
+from alertlake.sources.commits import whole_commits
 
 BAD_LINE = "_bad"
 # Landed log files lie under <host>/<container id>/<container name>/<stream>.log.
@@ -60,7 +61,8 @@ def read_container_events(spark: SparkSession, path: str, streaming: bool = Fals
 
 
 def _read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return (
+    """Lines of all files, but for files of commits that are not whole or have been merged into another."""
+    stored = (
         spark.read.schema(f"{schema}, {BAD_LINE} string")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{json,jsonl}")
@@ -69,6 +71,13 @@ def _read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         .json(path)
         .withColumn("file", F.col("_metadata.file_path"))
     )
+    return whole_commits(stored, path)
+
+
+def read_stored_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Stored batches as they were written, with their host and file."""
+    stored = _good_lines(_read_stored(spark, path, f"host string, {BATCH}"), F.length(F.coalesce("log_id", F.lit(""))))
+    return stored.withColumn("suppress_alert_sinks", F.coalesce("suppress_alert_sinks", F.lit(False)))
 
 
 def _good_lines(stored: DataFrame, size: Column) -> DataFrame:

@@ -6,13 +6,15 @@ import logging
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake.operators.notify import is_health, notifications, rejected, send_schedule
 from alertlake.plans.slices import checkpointed
 from alertlake.schema import BATCH_FIELDS
 from alertlake.settings import HostSettings
+from alertlake.sources.commits import MERGED, NOTES, commit_of, commit_place, drop_hidden, merged_up_to, names_in, note_commit
+from alertlake.sources.readers import read_stored_batches
 
 log = logging.getLogger("alertlake")
 
@@ -45,16 +47,42 @@ def _stored(rows: DataFrame, commit: int | None):
 def write_batches(batches: DataFrame, path: str, commit: int | None = None) -> None:
     """Store batches as JSON lines under month, day and kind.
 
-    Files of a numbered commit replace what an earlier try of that commit has left, and nothing else; without a number the
-    batches are added. Rebalancing brings the rows of a folder together, so that there are few files, and splits a busy
-    day among several tasks.
+    Files of a numbered commit replace what an earlier try of that commit has left, and nothing else; the commit is noted
+    when they are whole, and readers pass over it before that. Without a number the batches are added. Rebalancing brings
+    the rows of a folder together, so that there are few files, and splits a busy day among several tasks.
     """
+    stored_files(batches, path, commit)
+    if commit is not None:
+        note_commit(batches.sparkSession, path, f"commit={commit}")
+
+
+def stored_files(batches: DataFrame, path: str, commit: int | None = None) -> None:
+    """The files of a commit, which readers do not see before it is noted."""
     filed = with_day(batches.select(*[c for c in BATCH_FIELDS if c in batches.columns]))
     muted = F.when(F.col("suppress_alert_sinks"), True)
     placed = filed.withColumn("suppress_alert_sinks", muted).hint("rebalance", "month", "day", "kind")
     _stored(placed, commit).option("timestampFormat", TIME_FORM).partitionBy("month", "day", "kind", "commit").json(path)
 
 
+def merge_commits(spark: SparkSession, path: str, upto: int) -> int:
+    """Merge the stored batches of all commits up to a number into one, to be run when none of them is tried again.
+
+    Returns the number of folders that are no longer needed and were deleted.
+    """
+    before = merged_up_to(names_in(spark, f"{path.rstrip('/')}/{NOTES}"))
+    if before is None or before < upto:
+        commit = commit_of(F.col("file"))
+        old = read_stored_batches(spark, path).where((commit >= MERGED) | ((commit != -1) & (place_of(commit) <= 2 * upto + 1)))
+        write_batches(checkpointed(old), path, MERGED + upto)
+        note_commit(spark, path, f"merged={upto}")
+    return drop_hidden(spark, path, upto)
+
+
+def place_of(commit: Column) -> Column:
+    """``commit_place`` of a column."""
+    return F.when(commit >= 0, 2 * commit).otherwise(2 * (-2 - commit) + 1)
+
+
 def file_sink(path: str, hosts: list[str] | None = None) -> Sink:
     """Stored batches of all hosts, or of some."""
 
@@ -64,16 +92,9 @@ def file_sink(path: str, hosts: list[str] | None = None) -> Sink:
     return write
 
 
-def commit_place(commit: int) -> int:
-    """Place of a commit in time: the end of a job after commit n, numbered -2 - n, stands between n and n + 1."""
-    return 2 * commit if commit >= 0 else 2 * (-2 - commit) + 1
-
-
 def last_slots(spark: SparkSession, path: str, place: int) -> DataFrame | None:
     """(webhook, send_at) of the newest message of every queue before a place, None at the first one."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
+    names = names_in(spark, path)
     earlier = [int(name[6:]) for name in names if re.fullmatch(r"place=\d+", name) and int(name[6:]) < place]
     return spark.read.parquet(f"{path}/place={max(earlier)}") if earlier else None
 

@@ -145,3 +145,35 @@ def test_outbox_queue_goes_on_over_commits(spark, tmp_path):
     # The title is part of the markdown message alone.
     refused, kept = (sorted(r.msgtype for r in spark.read.parquet(folder).collect()) for folder in (f"{huge}-rejected", huge))
     assert (refused, kept) == (["markdown"], ["text"])
+
+
+def test_commits_are_read_whole_and_merged(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    made = lambda *names: batches(spark, *[(name, DAY, name == "b") for name in names])
+    seen = lambda: sorted((r.host, r.log_id, r.suppress_alert_sinks) for r in readers.read_stored_batches(spark, path).collect())
+    rows = lambda names: [("h", name, name == "b") for name in names]
+    for names, commit in (("ab", 0), ("x", 1), ("c", 1), ("d", -3), ("e", 2), ("f", None)):
+        sinks.write_batches(made(*names), path, commit)
+    assert seen() == rows("abcdef")
+
+    def failing(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        # The data of commit 3 is there, its note is not.
+        patch.setattr(sinks, "note_commit", failing)
+        with pytest.raises(OSError):
+            sinks.write_batches(made("g"), path, 3)
+        with pytest.raises(OSError):
+            sinks.merge_commits(spark, path, 1)
+    assert seen() == rows("abcdef")
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "drop_hidden", failing)
+        with pytest.raises(OSError):
+            sinks.merge_commits(spark, path, 1)
+    assert seen() == rows("abcdef")
+    assert sinks.merge_commits(spark, path, 1) == 3 and seen() == rows("abcdef")
+    sinks.write_batches(made("g"), path, 3)
+    assert sinks.merge_commits(spark, path, 3) == 3 and seen() == rows("abcdefg")
+    assert sinks.merge_commits(spark, path, 3) == 0 and seen() == rows("abcdefg")
+    assert len({f.rsplit("/", 2)[1] for f in stored_lines(path)}) == 2
