@@ -7,17 +7,23 @@ containers of the host's winning path. A page without that path uses its own bes
 text there, unless its best container also stands beside the winner on pages where the winner is best. Votes are added before the shuffle, so a host
 with a third of all pages costs no more than another.
 
-Defined results: null or empty html gives an empty text; a page without any container text too. Unclosed and stray tags,
-cut-off tags and references are read the way browsers do: a cut-off tag is dropped, a cut-off reference stays text. A null
-or odd url counts as one host of its own. Repeated rows give equal texts; other columns are not read.
+Pages are read as a tree: end tags may be left out where HTML allows it, void and self-closed elements hold nothing, and an element
+that nothing closes ends with its parent. Elements are boilerplate by tag, role, hidden state or class, wherever they stand. Words
+such as "search" or "social" in a class only make an element doubtful: it is left out unless it holds most of the page's text.
+
+Defined results: null or empty html gives an empty text; a page without any container text too. A cut-off tag is dropped, a
+cut-off reference stays text. A null or odd url counts as one host of its own. Of paths with equal votes the last in order wins.
+Repeated rows give equal texts; other columns are not read. Very long and deeply nested pages take memory in proportion to their length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,115 +33,217 @@ from alertlake.llm.frames import quoted, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|title|button)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",
-    re.S | re.I,
+    re.S,
 )
-CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+# Elements whose content is no markup, up to their end tag.
+RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "noscript", "template", "textarea", "iframe", "title")}
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that hold other blocks and make up a path.
-CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tbody tr td th figure details center".split())
+CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table thead tbody tfoot tr td th figure details center dialog menu fieldset".split())
 # Elements that begin a new line of text without being part of a path.
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote hr caption figcaption address legend summary".split())
-# Elements and class words that never hold the article.
-NOISE_TAGS = frozenset("nav header footer aside form".split())
-# Elements whose class says how the page is laid out, not what they hold; and such words on other elements.
+# An element that opens ends those of the first group that are open, up to one of the second.
+LISTS, ROWS, CELLS = frozenset("ul ol menu".split()), frozenset("thead tbody tfoot".split()), frozenset("td th".split())
+ENDS = {
+    "li": (frozenset(["li"]), LISTS),
+    "dt": (frozenset("dt dd".split()), frozenset(["dl"])),
+    "tr": (frozenset(["tr"]), frozenset(["table"])),
+    "td": (CELLS, frozenset("tr table".split())),
+    "tbody": (ROWS, frozenset(["table"])),
+}
+ENDS |= {"dd": ENDS["dt"], "th": ENDS["td"], "thead": ENDS["tbody"], "tfoot": ENDS["tbody"]}
+TABLE_PARTS = ROWS | CELLS | {"table", "tr", "caption"}
+PARAGRAPH = frozenset(["p"])
+# Elements that never hold the article.
+NOISE_TAGS = frozenset("nav header footer aside form dialog menu label legend button select svg".split()) | RAW.keys()
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+UNSEEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
+# Class words that name boilerplate, and words that only make an element doubtful: it is boilerplate unless it holds most of the text.
+NOISE_WORD = re.compile(r"ads?|adv|advert\w*|adsby\w+|sponsor\w*|cookies?|consent|notices?|menu|nav\w*|breadcrumbs?|sidebar|footer|header|masthead|comment\w*|replies|disqus", re.I)
+DOUBTFUL_WORD = re.compile(r"banner|promo\w*|popup|modal|newsletter|subscribe|widget|related|recommend\w*|share|social|login|search", re.I)
+# Class names that say how a page is laid out or filed, and names of an article by themselves.
+LABEL = re.compile(r"(?:with|has|no|is|tag|category|type|format|status)[-_].*", re.I)
+LAYOUT_WORD = re.compile(r"[-_](?:with|has|no)[-_][\w-]+", re.I)
 LAYOUT_TAGS = frozenset("html body main".split())
-LAYOUT_WORD = re.compile(r"\b(?:with|has|no)-[\w-]+", re.I)
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|menu|nav\w*|"
-    r"breadcrumbs?|sidebar|widget|related|recommend\w*|share|social|footer|header|masthead|comments?|replies|disqus|login|search)(?:$|[\s_-])",
-    re.I,
-)
-UNSEEN = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
+ARTICLE_NAMES = frozenset("post article entry hentry story".split())
 DIGITS = re.compile(r"\d+")
 # Elements that are parts of a text; elements that hold one whole.
-PARTS = frozenset("section ul ol dl table tbody tr td th figure details center".split())
+PARTS = frozenset("section ul ol dl table thead tbody tfoot tr td th figure details center fieldset".split())
 WHOLES = frozenset("article main".split())
-LEAST_SHARE = 0.02
 # Below this share of the text of the page's own best container, the containers of the winning path are not its article.
 LITTLE = 0.25
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
+    """A container. Its path is its own tag and classes and a digest of the path above, so that deep pages stay small."""
+
     path: str
     tag: str
     noise: bool
     parent: int
+    doubtful: bool = False
     score: float = 0.0
     size: int = 0
     plain: float = 0.0
-    blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(page: str) -> list[Element]:
-    """The containers of a page, each with its own blocks of text and their places in the page."""
+@dataclass(slots=True)
+class Block:
+    """A piece of text: its element, its text, and its length without links."""
+
+    element: int
+    text: str
+    plain: float
+
+
+@dataclass(slots=True)
+class Page:
+    elements: list[Element]
+    blocks: list[Block]
+
+
+def judged(tag: str, rest: str) -> tuple[list[str], bool, bool]:
+    """Classes of an element in general form; whether it is boilerplate by itself; whether its names make it doubtful."""
+    noise, doubtful, classes = tag in NOISE_TAGS, False, []
+    if not rest or rest.isspace():
+        return classes, noise, doubtful
+    noise = noise or bool(UNSEEN.search(rest))
+    names: list[str] = []
+    for kind, value in MARK.findall(rest):
+        words = value.strip("\"'").split()
+        if kind.lower() == "role":
+            noise = noise or any(word.lower() in NOISE_ROLES for word in words)
+            continue
+        names += words
+        if kind.lower() == "class":
+            classes = sorted(DIGITS.sub("#", word) for word in words)
+    if tag in LAYOUT_TAGS:
+        return classes, noise, doubtful
+    article = tag == "article" or any(name.lower() in ARTICLE_NAMES for name in names)
+    for name in names:
+        words = [] if LABEL.fullmatch(name) else [word for word in re.split(r"[-_]+", LAYOUT_WORD.sub("", name)) if word]
+        if article and len(words) > 1:
+            continue
+        noise = noise or any(NOISE_WORD.fullmatch(word) for word in words)
+        doubtful = doubtful or any(DOUBTFUL_WORD.fullmatch(word) for word in words)
+    return classes, noise, doubtful
+
+
+def parse(page: str) -> Page:
+    """The tree of containers of a page, and its blocks of text in page order; text of boilerplate elements is left out."""
     elements = [Element("", "", False, -1)]
-    stack = [0]
+    blocks: list[Block] = []
+    # Open elements: tag, the container that text goes to, and whether text is left out.
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     pieces: list[str] = []
-    order = linked = inside_link = length = 0
+    linked = length = 0
+    inside_link = False
 
     def flush() -> None:
-        nonlocal order, linked, length, pieces
+        nonlocal linked, length, pieces
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                own = elements[stack[-1]]
-                own.blocks.append((order, text))
-                if not own.noise:
-                    share = 1 - linked / max(length, 1)
-                    own.score += len(text) * share
-                    own.size += len(text)
-                    own.plain += len(text) * share
-                    if own.parent >= 0:
-                        elements[own.parent].score += 0.3 * len(text) * share
-                order += 1
+                blocks.append(Block(stack[-1][1], text, len(text) * (1 - linked / max(length, 1))))
             pieces = []
         linked = length = 0
 
     def add(text: str) -> None:
         nonlocal linked, length
+        if stack[-1][2]:
+            return
         text = entities.unescape(text) if "&" in text else text
         pieces.append(text)
         length += len(text)
         linked += len(text) if inside_link else 0
 
+    def close(tags: frozenset[str], barriers: frozenset[str]) -> None:
+        """End the innermost open element of these tags, and all in it."""
+        if not any(opened[tag] for tag in tags):
+            return
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth][0] in tags:
+                opened.subtract(entry[0] for entry in stack[depth:])
+                del stack[depth:]
+                return
+            if stack[depth][0] in barriers:
+                return
+
     at = 0
-    for token in TOKEN.finditer(page):
+    while token := TOKEN.search(page, at):
         if token.start() > at:
             add(page[at : token.start()])
         at = token.end()
         tag = token["tag"]
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, rest = tag.lower(), token["rest"]
+        block = tag in CONTAINERS or tag in BREAKS
         if tag == "a":
             inside_link = not token["end"]
         elif tag == "br":
-            pieces.append(" ")
-        elif tag in BREAKS:
-            flush()
-        elif tag in CONTAINERS:
+            add(" ")
+        elif block:
             flush()
-            inside_link = 0
-            if token["end"]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if elements[stack[depth]].tag == tag:
-                        del stack[depth:]
-                        break
-            elif not token["rest"].endswith("/"):
-                above = elements[stack[-1]]
-                marks = [(name.lower(), value.strip("\"'")) for name, value in CLASS.findall(token["rest"])]
-                classes = sorted(DIGITS.sub("#", word) for name, value in marks if name == "class" for word in value.split())
-                words = [] if tag in LAYOUT_TAGS else [LAYOUT_WORD.sub("", value) for _, value in marks]
-                noise = above.noise or tag in NOISE_TAGS or any(map(NOISE_WORDS.search, words)) or bool(UNSEEN.search(token["rest"]))
-                elements.append(Element(f"{above.path}>{'.'.join([tag, *classes])}", tag, noise, stack[-1]))
-                stack.append(len(elements) - 1)
+        if tag in CONTAINERS:
+            inside_link = False
+        if token["end"]:
+            close(frozenset([tag]), frozenset() if tag in TABLE_PARTS else TABLE_PARTS if block else TABLE_PARTS | CONTAINERS | BREAKS)
+            continue
+        if block:
+            close(PARAGRAPH, TABLE_PARTS)
+            if tag in ENDS:
+                close(*ENDS[tag])
+        if tag in VOID or rest.endswith("/"):
+            continue
+        if tag in RAW and tag not in unclosed:
+            if end := RAW[tag].search(page, at):
+                at = end.end()
+                continue
+            unclosed.add(tag)  # nothing ends it but the end of its parent
+        classes, noise, doubtful = judged(tag, rest)
+        _, above, skipped = stack[-1]
+        if block and (tag in CONTAINERS or doubtful):
+            path = hashlib.blake2b(elements[above].path.encode("utf-8", "replace"), digest_size=8).hexdigest()
+            elements.append(Element(f"{'.'.join([tag, *classes])}@{path}", tag, noise or skipped, above, doubtful))
+            above = len(elements) - 1
+        elif not block and not noise:
+            continue
+        stack.append((tag, above, noise or skipped))
+        opened[tag] += 1
     if at < len(page):
         add(page[at:])
     flush()
-    return elements
+    return weighed(Page(elements, blocks))
+
+
+def weighed(page: Page) -> Page:
+    """Settle the doubtful elements by their share of the text, and add up the text of each container."""
+    elements, blocks = page.elements, page.blocks
+    held = [0.0] * len(elements)
+    for block in blocks:
+        held[block.element] += block.plain
+    total = sum(held)
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i].parent] += held[i]
+    for i, element in enumerate(elements):
+        around = i > 0 and elements[element.parent].noise
+        element.noise = element.noise or around or element.doubtful and held[i] <= total / 2
+    for block in blocks:
+        own = elements[block.element]
+        if not own.noise:
+            own.score += block.plain
+            own.size += len(block.text)
+            own.plain += block.plain
+            if own.parent >= 0:
+                elements[own.parent].score += 0.3 * block.plain
+    return page
 
 
 def wholes(elements: list[Element]) -> list[int]:
@@ -171,18 +279,18 @@ def path_scores(elements: list[Element]) -> dict[str, float]:
 
 def votes(page: str) -> dict[str, float]:
     """Share of the page's container text by path, the best path first."""
-    scores = path_scores(parse(page))
+    scores = path_scores(parse(page).elements)
     total = sum(scores.values())
-    return {path: score / total for path, score in sorted(scores.items(), key=lambda x: -x[1]) if score >= LEAST_SHARE * total}
+    return {path: score / total for path, score in sorted(scores.items(), key=lambda x: -x[1])}
 
 
-def below(elements: list[Element], path: str | None) -> list[Element]:
+def below(elements: list[Element], path: str | None) -> set[int]:
     """The elements at the path and all in them, without noise."""
     wanted: set[int] = set()
     for i, element in enumerate(elements):
         if not element.noise and (element.path == path or element.parent in wanted):
             wanted.add(i)
-    return [elements[i] for i in sorted(wanted)]
+    return wanted
 
 
 def extract(page: str, path: str | None, beside: Sequence[str] = ()) -> str:
@@ -190,15 +298,16 @@ def extract(page: str, path: str | None, beside: Sequence[str] = ()) -> str:
 
     ``beside`` are the paths known to stand beside the winning path.
     """
-    elements = parse(page)
+    parsed = parse(page)
+    elements = parsed.elements
     chosen = below(elements, path)
     scores = path_scores(elements)
     if scores:
         best = max(scores, key=scores.get)
         own = below(elements, best)
-        if not chosen or best not in beside and sum(x.plain for x in chosen) < LITTLE * sum(x.plain for x in own):
+        if not chosen or best not in beside and sum(elements[i].plain for i in chosen) < LITTLE * sum(elements[i].plain for i in own):
             chosen = own
-    return "\n".join(text for _, text in sorted(block for element in chosen for block in element.blocks))
+    return "\n".join(block.text for block in parsed.blocks if block.element in chosen)
 
 
 def host_of(url: Column) -> Column:
@@ -226,7 +335,10 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     added = stored(read.mapInArrow(vote, "host string, best string, path string, votes double").groupBy("host", "best", "path").agg(F.sum("votes").alias("votes")), "votes")
     total = added.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     winners = total.groupBy("host").agg(F.max(F.struct(F.round("votes", 6), "path")).alias("won")).select("host", F.col("won.path").alias("winner"))
-    near = added.join(winners, "host").groupBy("host", "winner").agg(F.collect_set(F.when(F.col("best") == F.col("winner"), F.col("path"))).alias("beside"))
+    # Only paths that are best on some page are ever looked up, which keeps the list short on hosts with generated class names.
+    bests = added.select("host", F.col("best").alias("path")).distinct()
+    beside = added.join(winners, "host").where(F.col("best") == F.col("winner")).join(bests, ["host", "path"], "left_semi")
+    near = winners.join(beside.groupBy("host").agg(F.collect_set("path").alias("beside")), "host", "left")
     return near.select("host", F.col("winner").alias("path"), "beside")
 
 
