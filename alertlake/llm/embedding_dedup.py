@@ -1,18 +1,23 @@
 """Near-duplicate embeddings by NN-descent.
 
-Equal vectors are one class. Random hyperplane codes, sorted, give every class some first neighbours; then each round
-joins neighbours with neighbours at their common centre and keeps the best ``K`` per class. An audit compares a bounded
-sample of classes with all others by brute force; while its recall is below ``RECALL``, another round begins with new hyperplanes.
+Equal vectors are one class. Random hyperplane codes, sorted, give every class some first neighbours: cells hold about
+``CELL`` classes at every size, and the number of tables grows with the number of code bits, so that a pair at the threshold misses
+all common cells with a probability of ``MISS``. Then each round joins neighbours with neighbours at their common centre and
+keeps the best ``K`` per class. An audit compares sampled classes with all others by brute force, more of them until ``LINKS`` true links have been
+seen or ``AUDITED`` classes, and counts the links that will be counted: those in the lists, and those of saturated classes within
+one component. While its recall is below ``RECALL``, another round begins with new hyperplanes; after ``ROUNDS`` the job fails.
 A list whose ``K`` entries all reach the threshold is saturated: it is enlarged to the whole component of links found so
 far, in tiles of ``TILE`` rows that return counts instead of pairs, so a group of any size is split over many tasks.
 
 Defined results: null vectors, and those of length zero, with null or non-finite components or no components at all, get
 0 links and themselves as component. Vectors of unequal sizes never link. Repeated ids: each row is returned, with the
-links of its own vector. Rows without an id are left out. Only the two named columns are read. An empty table gives an empty result.
+links of its own vector. A row without an id counts as a vector whose id is larger than any other; the component of a group of
+only such rows is null and all of them are kept. Only the two named columns are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -26,9 +31,14 @@ from alertlake.llm.graph import components
 
 THRESHOLD = 0.95
 K = 8
-TABLES, BESIDE = 16, 6
+# Classes per cell of a table, the least number of tables, and the likelihood that a pair at the threshold shares no cell.
+CELL, TABLES, MISS = 128, 16, 1e-5
+# Rows of a block: each row is compared with its own block and those on both sides.
+BLOCK = 64
 DESCENTS = 3
-AUDITED, RECALL, ROUNDS = 400, 0.995, 4
+AUDITED, LINKS, RECALL, ROUNDS = 6400, 200, 0.995, 8
+# Numbers for classes without an id of their own lie above this; no id does.
+UNNAMED = 2**63 - 2**53
 TILE = 2048
 # Members that one task joins at a centre; a centre with more of them is split by a hash.
 LOCAL = 128
@@ -42,7 +52,7 @@ def vector_rows(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     """(vec_id, dim, vector): scaled vectors as bytes, null where a vector cannot link; and the number format of the bytes."""
     element = df.schema[vector_col].dataType.elementType.typeName()
     kind = "<f4" if element == "float" else "<f8"
-    read = df.select(F.col(quoted(id_col)).cast("bigint").alias("vec_id"), F.col(quoted(vector_col)).alias("vector")).where("vec_id IS NOT NULL")
+    read = df.select(F.col(quoted(id_col)).cast("bigint").alias("vec_id"), F.col(quoted(vector_col)).alias("vector"))
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,41 +79,51 @@ class Space:
         rows /= np.abs(rows).max(axis=1, keepdims=True, initial=1e-300)
         return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
+    def tables(self, count: int) -> tuple[int, int]:
+        """Bits of a code and number of tables for so many vectors."""
+        bits = min(60, max(1, round(math.log2(max(count, 2) / CELL))))
+        shared = (1 - math.acos(min(1.0, max(-1.0, self.threshold))) / math.pi) ** bits
+        return bits, max(TABLES, math.ceil(math.log(MISS) / math.log(1 - shared)) if shared < 1 else 1)
+
     def first_neighbours(self, vectors: DataFrame, count: int, seed: int) -> DataFrame:
-        """Edges between rows that stand side by side when sorted by hyperplane code and one more projection."""
-        bits = min(60, max(4, int(math.log2(max(count, 2))) - 4))
-        unit, dim, parts = self.unit, self.dim, max(2, vectors.sparkSession.sparkContext.defaultParallelism)
+        """Edges to the best of the rows near each row, when sorted by hyperplane code and one more projection."""
+        unit, dim, threshold, parts = self.unit, self.dim, self.threshold, max(2, vectors.sparkSession.sparkContext.defaultParallelism)
+        bits, tables = self.tables(count)
 
         def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            planes = np.random.default_rng(seed).normal(size=(TABLES, bits + 1, dim))
+            planes = np.random.default_rng(seed).normal(size=(tables, bits + 1, dim))
             for batch in batches:
                 rows = unit(batch.column("vector"))
-                for k in range(TABLES):
+                for k in range(tables):
                     along = rows @ planes[k].T
                     code = (along[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     columns = [pa.array(np.full(len(rows), k, np.int32)), pa.array(code), pa.array(along[:, bits]), batch.column("id"), batch.column("vector")]
                     yield pa.RecordBatch.from_arrays(columns, names=["k", "code", "along", "id", "vector"])
 
         def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last: pa.RecordBatch | None = None
+            last: pa.Table | None = None
             for batch in batches:
-                both = pa.Table.from_batches([last, batch] if last is not None else [batch]).combine_chunks()
-                last = batch.slice(max(0, len(batch) - BESIDE))
-                if len(both) < 2:
-                    continue
-                ids, place = both.column("id").to_numpy(), both.column("k").to_numpy().astype(np.int64) << 60 | both.column("code").to_numpy()
-                rows = unit(both.column("vector"))
-                sims = np.full((len(ids), BESIDE), -2.0)
-                for step in range(1, min(BESIDE, len(ids) - 1) + 1):
-                    near = np.einsum("ij,ij->i", rows[:-step], rows[step:])
-                    sims[:-step, step - 1] = np.where(place[:-step] == place[step:], near, -2.0)
-                best = np.argsort(-sims, axis=1)[:, :2]
-                value = np.take_along_axis(sims, best, 1)
-                i, j = np.nonzero(value > -2.0)
-                i2, j2 = np.nonzero(sims >= self.threshold)
-                a = np.concatenate([ids[i], ids[i2]])
-                b = np.concatenate([ids[np.minimum(i + 1 + best[i, j], len(ids) - 1)], ids[i2 + 1 + j2]])
-                yield edge_batch(a, b, np.concatenate([value[i, j], sims[i2, j2]]))
+                new = pa.Table.from_batches([batch])
+                both = new if last is None else pa.concat_tables([last, new])
+                last = both.slice(max(0, len(both) - 2 * BLOCK)).combine_chunks()
+                if len(both) > 1:
+                    yield near_in_cells(both)
+
+        def near_in_cells(table: pa.Table) -> pa.RecordBatch:
+            ids, k, code = (table.column(name).to_numpy() for name in ("id", "k", "code"))
+            rows, edges = unit(table.column("vector")), []
+            for start in range(0, len(ids), BLOCK):
+                low, high = max(0, start - BLOCK), min(len(ids), start + 2 * BLOCK)
+                mine = np.arange(start, min(len(ids), start + BLOCK))
+                sims = rows[mine] @ rows[low:high].T
+                sims[(k[mine][:, None] != k[low:high]) | (code[mine][:, None] != code[low:high])] = -2.0
+                sims[np.arange(len(mine)), mine - low] = -2.0
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :K]
+                value = np.take_along_axis(sims, top, 1)
+                # The two nearest begin the descent; all others are only of use as links.
+                i, j = np.nonzero((value >= threshold) | (value > -2.0) & (np.arange(top.shape[1]) < 2))
+                edges.append((ids[mine[i]], ids[low + top[i, j]], value[i, j]))
+            return edge_batch(*[np.concatenate(x) for x in zip(*edges, strict=True)])
 
         coded = vectors.mapInArrow(codes, "k int, code bigint, along double, id bigint, vector binary")
         order = ["k", "code", "along", "id"]
@@ -138,24 +158,38 @@ class Space:
                 break
         return lists
 
-    def audit(self, vectors: DataFrame, component: DataFrame) -> float:
-        """Share of the true links of a bounded sample that lie within one component."""
-        sample = bounded_sample(vectors, AUDITED, "id").toPandas()
-        unit, threshold = self.unit, self.threshold
-        ids, rows = sample["id"].to_numpy(), unit(pa.array(sample["vector"].map(bytes), pa.binary()))
+    def audit(self, vectors: DataFrame, near: DataFrame, full: DataFrame, component: DataFrame, count: int) -> float:
+        """Share of the true links of sampled classes that ``search`` will count."""
+        found = near.select("a", "b").union(near.select("b", "a")).distinct().withColumn("listed", F.lit(True))
+        named = [component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in ("a", "b")]
+        fulls = [full.select(F.col("id").alias(side), F.lit(True).alias(f"f{side}")) for side in ("a", "b")]
+        same = (F.coalesce("ca", "a") == F.coalesce("cb", "b")) & (F.col("fa").isNotNull() | F.col("fb").isNotNull())
+        rows = 400
+        while True:
+            true = self.true_links(vectors, bounded_sample(vectors, rows, "id", count))
+            for right, side in zip([*named, *fulls], "abab", strict=True):
+                true = true.join(right, side, "left")
+            hit = F.coalesce("listed", F.lit(False)) | same
+            hits, links = true.join(found, ["a", "b"], "left").agg(F.count_if(hit), F.count("*")).first()
+            if links >= LINKS or rows >= min(count, AUDITED):
+                return hits / links if links else 1.0
+            rows *= 4
+
+    def true_links(self, vectors: DataFrame, sample: DataFrame) -> DataFrame:
+        """All links of a few vectors, by comparison with every vector."""
+        unit, threshold, taken = self.unit, self.threshold, sample.toPandas()
+        ids, rows = taken["id"].to_numpy(), unit(pa.array(taken["vector"].map(bytes), pa.binary()))
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sims = unit(batch.column("vector")) @ rows.T
-                i, j = np.nonzero(sims >= threshold)
-                other = batch.column("id").to_numpy()[i]
-                yield edge_batch(*[x[other != ids[j]] for x in (ids[j], other, sims[i, j])])
+                own, other = unit(batch.column("vector")), batch.column("id").to_numpy()
+                for start in range(0, len(own), 1024):
+                    sims = own[start : start + 1024] @ rows.T
+                    i, j = np.nonzero(sims >= threshold)
+                    a, b, sim = ids[j], other[start + i], sims[i, j]
+                    yield edge_batch(a[a != b], b[a != b], sim[a != b])
 
-        true = vectors.mapInArrow(exact, EDGES)
-        named = [component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in ("a", "b")]
-        same = F.coalesce("ca", "a") == F.coalesce("cb", "b")
-        hits, links = true.join(named[0], "a", "left").join(named[1], "b", "left").agg(F.sum(same.cast("int")), F.count("*")).first()
-        return (hits or 0) / links if links else 1.0
+        return vectors.mapInArrow(exact, EDGES)
 
     def enlarge(self, vectors: DataFrame, full: DataFrame, component: DataFrame) -> DataFrame:
         """(id, links): links between saturated classes and all others of their component, weighted by class size, tile by tile."""
@@ -199,15 +233,18 @@ def search(vectors: DataFrame, space: Space) -> tuple[DataFrame, DataFrame]:
     """(id, links), links to other classes weighted by their size, and (node, component), for the vectors of one size."""
     count = vectors.count()
     lists = None
-    for attempt in range(ROUNDS):
-        fresh = space.first_neighbours(vectors, count, seed=17 + attempt)
+    for attempt in itertools.count(1):
+        fresh = space.first_neighbours(vectors, count, seed=16 + attempt)
         lists = stored(best_lists(fresh if lists is None else fresh.union(lists)), "lists")
         lists = space.descend(vectors, lists)
         near = lists.where(F.col("sim") >= space.threshold)
+        full = near.groupBy("a").count().where(F.col("count") >= K).select(F.col("a").alias("id"))
         component = stored(components(near), "components")
-        if space.audit(vectors, component) >= RECALL:
+        recall = space.audit(vectors, near, full, component, count)
+        if recall >= RECALL:
             break
-    full = near.groupBy("a").count().where(F.col("count") >= K).select(F.col("a").alias("id"))
+        if attempt == ROUNDS:
+            raise RuntimeError(f"the search for near vectors ended with a recall of {recall:.4f}, below {RECALL}")
     mult = vectors.select(F.col("id").alias("b"), "mult")
     loose = near.select("a", "b").union(near.select("b", "a")).distinct()
     for side in ("a", "b"):
@@ -222,19 +259,27 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows, kind = vector_rows(df, id_col, vector_col)
     rows = stored(rows, "vectors")
     key = F.sha2("vector", 256).alias("key")
-    classes = rows.where("vector IS NOT NULL").groupBy("dim", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"))
-    classes = stored(classes.select("id", "dim", "mult", key, "vector"), "classes")
+    # A class is known by its smallest id; one without, or whose id has other vectors too, gets a number of its own.
+    several = rows.where("vector IS NOT NULL").groupBy(F.col("vec_id").alias("least")).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    several = several.where("first <> last").select("least", F.lit(True).alias("several"))
+    unnamed = F.lit(2**63 - 1) - F.monotonically_increasing_id()
+    classes = rows.where("vector IS NOT NULL").groupBy("dim", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
+    classes = classes.join(several, "least", "left").withColumn("id", F.coalesce(F.when(F.col("several").isNull(), F.col("least")), unnamed))
+    classes = stored(classes.select("id", "least", "dim", "mult", key, "vector"), "classes")
     # One vector size is the rule; each size is searched on its own.
     sizes = [row[0] for row in classes.select("dim").distinct().collect()]
     found = [search(classes.where(F.col("dim") == dim), Space(dim, kind, threshold)) for dim in sizes]
-    result = rows.select("vec_id", key).join(classes.select("key", "id", "mult"), "key", "left")
     if found:
         links, component = found[0]
         for more_links, more_component in found[1:]:
             links, component = links.union(more_links), component.union(more_component)
-        result = result.join(links, "id", "left").join(component.withColumnRenamed("node", "id"), "id", "left")
+        named = classes.select("key", "id", "least", "mult").join(links, "id", "left").join(component.withColumnRenamed("node", "id"), "id", "left")
     else:
-        result = result.withColumn("links", F.lit(None).cast("bigint")).withColumn("component", F.lit(None).cast("bigint"))
+        named = classes.select("key", "id", "least", "mult", F.lit(None).cast("bigint").alias("links"), F.lit(None).cast("bigint").alias("component"))
+    named = named.withColumn("root", F.coalesce("component", "id"))
+    others = named.where(F.col("id") > UNNAMED).groupBy("root").agg(F.min("least").alias("other"))
+    result = rows.select("vec_id", "vector", key).join(named, "key", "left").join(others, "root", "left")
     n_links = F.coalesce(F.col("mult") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
-    named = result.select("vec_id", n_links.cast("bigint").alias("n_links"), F.coalesce("component", "id", "vec_id").alias("component_id"))
-    return named.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    component = F.when(F.col("vector").isNull(), F.col("vec_id")).otherwise(F.least(F.when(F.col("root") <= UNNAMED, F.col("root")), "other"))
+    named = result.select("vec_id", n_links.cast("bigint").alias("n_links"), component.alias("component_id"))
+    return named.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

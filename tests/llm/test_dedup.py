@@ -178,11 +178,44 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     ids = [i for i, _ in rows]
     want = union_find([(ids[a], ids[b]) for a, b in np.argwhere(near) if a < b], ids)
     got = embedding_dedup.near_duplicates(frame).collect()
-    assert len(got) == len(rows) + 8 and len({row.vec_id for row in got}) == len(rows) + 7
+    assert len(got) == len(rows) + 9 and len({row.vec_id for row in got}) == len(rows) + 8
     for row in got:
         if row.vec_id in want and row.vec_id != 0:
             assert (row.component_id, row.n_links) == (want[row.vec_id], near[ids.index(row.vec_id)].sum() - 1)
     by_id = {row.vec_id: row for row in got}
     assert by_id[0].n_links == 1 and all(by_id[i].n_links == 0 and by_id[i].kept for i in range(1000, 1005))
     assert by_id[1006].component_id == 1005 and not by_id[1006].kept
+    assert by_id[1005].n_links == 2 and by_id[None].component_id == 1005 and by_id[None].n_links == 2 and not by_id[None].kept
     assert rows_of(embedding_dedup.near_duplicates(empty(spark, "vec_id bigint, embedding array<float>"))) == []
+
+
+def test_isolated_pairs_near_the_threshold_are_all_found(spark):
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(6000, 48))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    cos = rng.uniform(0.9505, 0.96, 600)[:, None]
+    side = rng.normal(size=(600, 48))
+    side -= (side * rows[:600]).sum(axis=1, keepdims=True) * rows[:600]
+    rows[600:1200] = cos * rows[:600] + np.sqrt(1 - cos**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    near = rows @ rows.T >= 0.95
+    frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    got = {row.vec_id: row.n_links for row in embedding_dedup.near_duplicates(frame).collect()}
+    assert got == {i: int(links) - 1 for i, links in enumerate(near.sum(axis=1))}
+
+
+def test_tables_grow_with_the_vectors():
+    space = embedding_dedup.Space(64, "<f8", 0.95)
+    for count in (1, 100, 10**4, 10**6, 10**8, 10**10):
+        bits, tables = space.tables(count)
+        assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables <= embedding_dedup.MISS * 1.01
+        assert count / 2**bits <= 2 * embedding_dedup.CELL
+
+
+def test_vectors_without_an_id_of_their_own(spark):
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a), (5, c), (9, b), (None, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.05]), (7, [0.0, -1.0, 0.0]), (None, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    found = sorted((tuple(row) for row in got), key=repr)
+    assert found == sorted(
+        [(5, 1, 5, True), (5, 0, 5, True), (9, 1, 5, False), (None, 1, None, True), (None, 1, None, True), (7, 0, 7, True), (None, 0, None, True)], key=repr
+    )
