@@ -3,7 +3,7 @@
 Pass one scores the containers of each page by the text that stands in them. A container that is only a part of a larger
 text (a list, table or section, or one beside text of its parent) counts for that larger one. The page votes for their
 generalised paths (tag and classes, digits masked), and Spark adds the votes up per host. Pass two takes the text from the
-containers of the host's winning path. A page without that path uses its own best container; so does a page that has little
+containers of the host's winning path; pages of a large host are dealt over many tasks. A page without that path uses its own best container; so does a page that has little
 text there, unless its best container also stands beside the winner on pages where the winner is best. Votes are added before the shuffle, so a host
 with a third of all pages costs no more than another.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -75,6 +76,8 @@ PARTS = frozenset("section ul ol dl table thead tbody tfoot tr td th figure deta
 WHOLES = frozenset("article main".split())
 # Below this share of the text of the page's own best container, the containers of the winning path are not its article.
 LITTLE = 0.25
+# A host with a larger share of all pages is split into parts of that share; so there are at most 1024 such hosts.
+HOT_SHARE = 1 / 1024
 
 
 @dataclass(slots=True)
@@ -345,9 +348,14 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     read = pages.select(F.col(quoted(id_col)).alias("page_id"), F.col(quoted(url_col)).alias("url"), F.col(quoted(html_col)).alias("html"))
-    # A sorted join: adaptive execution splits the pages of a large host among several tasks.
-    winners = host_paths(pages, url_col, html_col).hint("merge")
-    joined = read.withColumn("host", host_of(F.col("url"))).join(winners, "host", "left")
+    read = read.withColumn("host", host_of(F.col("url")))
+    # The few hosts that are split are broadcast; pages of such a host are dealt over its parts, and its one row to each of them.
+    room = max(1, math.ceil(pages.count() * HOT_SHARE))
+    hot = F.broadcast(stored(read.groupBy("host").agg(F.ceil(F.count("*") / room).alias("parts")).where("parts > 1"), "hosts"))
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    dealt = read.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), parts))
+    winners = host_paths(pages, url_col, html_col).join(hot, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    joined = dealt.drop("parts").join(winners.drop("parts").hint("merge"), ["host", "part"], "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
