@@ -243,6 +243,20 @@ def test_hot_key_over_many_slices(spark, slices):
     )
 
 
+def test_slices_meet_their_entries_in_many_partitions(spark):
+    """A larger input keeps its shuffle partitions apart; a slice and what is open before it still meet in one task."""
+    rows = [event(seq, "hot" if seq % 3 else f"k{seq % 20}", seq % 5 == 0) for seq in range(900)]
+    ordered = sorted(rows, key=lambda r: (r[5], r[10], r[11]))
+    groups = cut_groups([(r[5], seconds(r[10]) // 40, r[6]) for r in ordered], 3)
+    expected = sorted(sorted(ordered[i][8] for i in group) for group in groups if any(ordered[i][6] for i in group))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = batches.flush_batches(frame(spark, rows), 3, 40, slices=12).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(sorted(raws(b)) for b in got) == expected
+
+
 def test_interval_only_equals_a_model(spark):
     rnd = random.Random(5)
     rows = [event(s, f"k{rnd.randint(0, 5)}", rnd.random() < 0.1, arrival=s) for s in range(400)]
