@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -33,6 +35,7 @@ UNKNOWN_MARGIN = 10.0
 WORD = re.compile(r" *[^ ]+| +")
 # Words whose ids a task remembers; beyond it the memory starts anew and words are searched again.
 REMEMBERED = 400_000
+TWO = (2,)
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,15 @@ class Vocabulary:
     unknown_score: float
     longest: int
 
+    @cached_property
+    def sizes(self) -> dict[str, tuple[int, ...]]:
+        """By the last three characters: the lengths of pieces that end so, the longest first, and two."""
+        found: dict[str, set[int]] = {}
+        for text in self.pieces:
+            if len(text) > 2:
+                found.setdefault(text[-3:], set()).add(len(text))
+        return {end: (*sorted(lengths, reverse=True), 2) for end, lengths in found.items()}
+
 
 def read_vocabulary(path: str) -> Vocabulary:
     """Read a model file on the driver. Its pieces, a few ten thousand, travel with the tasks; executors need no file."""
@@ -83,7 +95,7 @@ def read_vocabulary(path: str) -> Vocabulary:
 def segment_words(words: Iterable[str], vocabulary: Vocabulary) -> dict[str, tuple[int, ...]]:
     """Ids of each word. Words are visited in sorted order; ``score[j]`` and ``back[j]`` hold the best way to the first j characters."""
     found: dict[str, tuple[int, ...]] = {}
-    get, longest, unknown_score = vocabulary.pieces.get, vocabulary.longest, vocabulary.unknown_score
+    get, sizes, unknown_score = vocabulary.pieces.get, vocabulary.sizes.get, vocabulary.unknown_score
     before = ""
     score: list[float] = [0.0]
     back: list[tuple[int, int]] = [(0, -1)]
@@ -93,18 +105,19 @@ def segment_words(words: Iterable[str], vocabulary: Vocabulary) -> dict[str, tup
             shared += 1
         del score[shared + 1 :], back[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            best, way, single = 0.0, (-1, -1), False
-            for start in range(max(0, end - longest), end):
-                hit = get(word[start:end])
-                if hit is not None:
-                    single = single or start == end - 1
-                    value = score[start] + hit[1]
-                    if way[0] < 0 or value > best:
-                        best, way = value, (start, hit[0])
-            if not single:
-                value = score[end - 1] + unknown_score
-                if way[0] < 0 or value > best:
-                    best, way = value, (end - 1, -1)
+            best, way = 0.0, (-1, -1)
+            # Only lengths of pieces with this ending are looked up, the longest first, and one character in the end.
+            for size in sizes(word[end - 3 : end], TWO) if end > 2 else TWO:
+                if size <= end:
+                    hit = get(word[end - size : end])
+                    if hit is not None:
+                        value = score[end - size] + hit[1]
+                        if way[0] < 0 or value > best:
+                            best, way = value, (end - size, hit[0])
+            hit = get(word[end - 1])
+            value = score[end - 1] + (unknown_score if hit is None else hit[1])
+            if way[0] < 0 or value > best:
+                best, way = value, (end - 1, -1 if hit is None else hit[0])
             score.append(best)
             back.append(way)
         before = word
@@ -124,19 +137,22 @@ def segment_words(words: Iterable[str], vocabulary: Vocabulary) -> dict[str, tup
 
 
 class Encoder:
-    """Encodes texts and remembers the words of earlier batches."""
+    """Encodes texts and remembers the words of earlier batches, with their ids as packed 32-bit numbers."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.known = vocabulary, {}
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [array("i", ids).tolist() for ids in self.packed(texts)]
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
         cut = [WORD.findall(" " + text) if text else [] for text in texts]
-        fresh = {word for words in cut for word in words if word not in self.known}
+        fresh = set(chain.from_iterable(cut)).difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known = {}
-            fresh = {word for words in cut for word in words}
-        self.known.update(segment_words(fresh, self.vocabulary))
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in cut]
+            fresh = set(chain.from_iterable(cut))
+        self.known.update((word, array("i", ids).tobytes()) for word, ids in segment_words(fresh, self.vocabulary).items())
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
 def decode_ids(ids: Iterable[int] | None, vocabulary: Vocabulary) -> str | None:
@@ -153,17 +169,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", part
     def columns(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         encoder = state.setdefault("encoder", Encoder(vocabulary))
         column = batch.column(text_col)
-        values: list[np.ndarray] = [np.zeros(0, np.int32)]
+        values: list[bytes] = []
         same: list[bool] = []
         for start in range(0, len(column), part):
             texts = column.slice(start, part).to_pylist()
-            for text, ids in zip(texts, encoder.encode(texts), strict=True):
-                values.append(np.array(ids, dtype=np.int32))
-                same.append(decode_ids(ids, vocabulary) == (text or ""))
-        lengths = np.array([len(ids) for ids in values[1:]], dtype=np.int64)
+            for text, ids in zip(texts, encoder.packed(texts), strict=True):
+                values.append(ids)
+                same.append(decode_ids(array("i", ids), vocabulary) == (text or ""))
+        lengths = np.array([len(ids) // 4 for ids in values], dtype=np.int64)
         offsets = np.concatenate([[0], lengths.cumsum()]).astype(np.int32)
         return {
-            "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values))),
+            "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), np.int32))),
             "n_tokens": pa.array(lengths),
             "round_trip": pa.array(same, pa.bool_()),
         }

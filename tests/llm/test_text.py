@@ -214,6 +214,22 @@ def test_segmentation_equals_brute_force():
         assert score.get(ids) == best(word)[0], word
 
 
+def test_only_lengths_of_pieces_are_looked_up():
+    """A long piece costs nothing at places where no piece ends in the same characters."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    long = "abcdefghijklmnop"
+    vocabulary = pieces.Vocabulary(Counted({letter: (k, -3.0) for k, letter in enumerate(long)} | {long: (99, -4.0)}), [], [], 0, -20.0, len(long))
+    assert pieces.segment_words(["p" * 50 + long], vocabulary) == {"p" * 50 + long: (15,) * 50 + (99,)}
+    assert Counted.asked <= 2 * 66 + 1
+
+
 def test_pieces_take_awkward_rows(spark):
     vocabulary = pieces.read_vocabulary(MODEL)
     docs = docs_frame(spark, clash=["ids", "N_TOKENS"])
