@@ -5,6 +5,7 @@ from test_batches import SCHEMA, event
 from test_stream import comparable
 
 from alertlake.operators.batches import flush_batches
+from alertlake.plans import slices
 from alertlake.streaming import commits
 
 
@@ -27,6 +28,22 @@ def test_commits_equal_one_run(spark, tmp_path, size):
     assert max(r["count"] for r in got) == (10 if size == 1 else 30)
 
 
+def test_commits_of_many_slices_in_many_partitions(spark, tmp_path, monkeypatch):
+    """A larger commit keeps its shuffle partitions apart; each slice still meets what is open before it."""
+    rows = [event(seq, "hot" if seq % 3 else f"k{seq % 20}", seq % 5 == 0) for seq in range(600)]
+    expected = comparable(flush_batches(spark.createDataFrame(rows, SCHEMA), 3, 40).collect())
+    monkeypatch.setattr(slices, "SMALL_ROWS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    state, got = str(tmp_path / "state"), []
+    try:
+        for commit, part in enumerate([rows[:330], rows[330:]]):
+            got += commits.group_commit(spark.createDataFrame(part, SCHEMA), commit, state, 3, 40).collect()
+        got += commits.final_flush(spark, 1, state).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert comparable(got) == expected
+
+
 def test_grouping_sink_on_a_stream(spark, tmp_path):
     folder, seen = str(tmp_path / "in"), []
     spark.createDataFrame([event(1, "a", True), event(2, "a", False), event(3, "b", False)], SCHEMA).write.parquet(folder)
